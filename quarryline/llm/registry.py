@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quarryline.llm.decontaminate import op3_decontaminate
 from quarryline.llm.simhash import op8_simhash
 from quarryline.llm.substring_dedup import op9_substring_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op8_simhash, op9_substring_dedup]
+    found = [op3_decontaminate, op8_simhash, op9_substring_dedup]
     return {f.__name__: f for f in found}
 
 
