@@ -7,14 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quarryline.llm.decontaminate import op3_decontaminate
+from quarryline.llm.mixing import MIX_SQL, op10_mixing
 from quarryline.llm.simhash import op8_simhash
 from quarryline.llm.substring_dedup import op9_substring_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op3_decontaminate, op8_simhash, op9_substring_dedup]
+    found = [op3_decontaminate, op8_simhash, op9_substring_dedup, op10_mixing]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_mixing": MIX_SQL}
