@@ -1,18 +1,18 @@
 """Removal of repeated word windows, with a count-min prefilter.
 
-1. Every task hashes all windows of its documents and emits a sparse count-min sketch: for each of
-   two rows of cells the touched cells in sorted order, as byte-sized gaps, with those touched more
-   than once. Sketches are merged segment by segment; what is left is one bit a cell, set when the
-   cell's count is two or more. The estimate never falls below the true count, so no repeated
-   window is lost.
-2. A second pass hashes the windows again and keeps only those that the merged sketch, broadcast at
-   a bounded size, estimates as repeated. Each task keeps the earliest place of every such window
-   and marks its other places at once; so one window has at most one row a task, however common.
+1. Every window has a minimiser: the smallest hash among the ``gram``-word runs in it. Equal windows
+   have equal minimisers at different places, so the count of a minimiser's places is never below the
+   count of a window that has it. Every task counts the places of its documents' minimisers in a
+   sparse count-min sketch: for each of two rows the touched cells in order, as byte-sized gaps, and
+   those touched again. Sketches are merged segment by segment into one bit a cell: counted twice or more.
+2. A second pass keeps the windows that the merged sketch, broadcast at a bounded size, estimates
+   as repeated: all that are, and few others. Each task keeps the earliest place of every such window
+   and marks its other places at once; so one window has at most one row a task part, however common.
 3. The rest is grouped exactly (96-bit hashes of the word sequence), sorted and streamed: the
    earliest place stays, the others are marked. Marks are joined to the documents.
 
-The sketch has ``cells_per_word`` cells a word, up to ``max_cells``. Beyond that it lets more windows
-through; the exact step then does more work and the result is the same.
+The sketch has ``cells_per_word`` cells a word and row, up to ``max_cells``. Beyond that it lets more
+windows through; the exact step then does more work and the result is the same.
 
 Edge cases: a null text has no words; a document under ``window`` words loses none; rows with equal
 doc_id and equal text are one document and get equal results; rows with equal doc_id and other texts
@@ -25,34 +25,34 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarryline.llm.common import SPACED_WORD, U64, WordHashes, as_signed, mix64, texts_of
+from quarryline.llm.common import U64, as_signed, mix64, table
+from quarryline.llm.words import Words, pieces, slices, texts
 
 LAST = np.iinfo(np.int64).max
 SEGMENT_BITS = 20
-CHUNK = 3_000_000
-#: Odd multipliers of the two window hashes.
-BASES = (U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F))
+GRAM = 10
+#: Odd multipliers of the hashes of windows (two) and of their runs.
+BASES = (U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F), U64(0xA24BAED4963EE407))
 
 
 def rolling(words: np.ndarray, window: int, base: np.uint64) -> np.ndarray:
     """The polynomial hash of every ``window`` words in a row, by doubling."""
     if len(words) < window:
         return np.zeros(0, dtype=U64)
-    part, size, have, got = words, 1, np.zeros(0, dtype=U64), 0
-    power = base
-    left = window
+    part, size, have, got = words, 1, None, 0
+    power, left = base, window
     with np.errstate(over="ignore"):
         while left:
             if left & 1:
-                if got:
+                if have is None:
+                    have = part
+                else:
                     n = min(len(have), len(part) - got)
                     have = have[:n] * power + part[got : got + n]
-                else:
-                    have = part
                 got += size
             left >>= 1
             if left:
@@ -62,92 +62,108 @@ def rolling(words: np.ndarray, window: int, base: np.uint64) -> np.ndarray:
         return mix64(have[: len(words) - window + 1])
 
 
-def pack(gaps: np.ndarray) -> bytes:
-    """Gaps as bytes; 255 means: add 255 and go on."""
-    more = gaps // 255
-    ends = np.cumsum(more + 1) - 1
-    out = np.full(int(ends[-1]) + 1 if len(ends) else 0, 255, dtype=np.uint8)
-    out[ends] = gaps % 255
-    return out.tobytes()
-
-
-def unpack(data: bytes) -> np.ndarray:
-    raw = np.frombuffer(data, dtype=np.uint8)
-    return np.cumsum(raw, dtype=np.int64)[raw != 255]
-
-
-class Chunks:
-    """Documents gathered until they have about CHUNK windows."""
-
-    def __init__(self, window: int) -> None:
-        self.window, self.words = window, WordHashes()
-        self.clear()
-
-    def clear(self) -> None:
-        self.hashes, self.docs, self.n = [], [], 0
+def sliding(values: np.ndarray, width: int, pick=np.minimum) -> np.ndarray:
+    """The smallest (or largest) of every ``width`` values in a row."""
+    part, size = values, 1
+    while size * 2 <= width:
+        part = pick(part[: len(part) - size], part[size:])
+        size *= 2
+    rest = width - size
+    return pick(part[: len(part) - rest], part[rest:]) if rest else part
 
-    def add(self, text: str, doc: tuple = ()) -> None:
-        found = SPACED_WORD.findall(text)
-        if len(found) >= self.window:
-            self.hashes.append(self.words.array(found))
-            self.docs.append(doc)
-            self.n += len(found)
 
-    def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Both hashes of every window, the number of its document here, its start there."""
-        sizes = np.array([len(h) for h in self.hashes])
-        flat = np.concatenate(self.hashes)
-        counts = sizes - self.window + 1
-        owner = np.repeat(np.arange(len(sizes)), counts)
-        first = np.cumsum(sizes) - sizes
-        start = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
-        at = first[owner] + start
-        return rolling(flat, self.window, BASES[0])[at], rolling(flat, self.window, BASES[1])[at], owner, start
+def packed(gaps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gaps as bytes, where 255 means: add 255 and go on; and where each gap begins."""
+    more = gaps // 255
+    ends = np.cumsum(more + 1)
+    out = np.full(int(ends[-1]) if len(ends) else 0, 255, dtype=np.uint8)
+    out[ends - 1] = gaps % 255
+    return out, ends - more - 1
+
+
+def unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The values that each element's gaps lead to, and the number of the element of each value."""
+    column = column.cast(pa.large_binary())
+    _, offsets, data = column.buffers()
+    edges = np.frombuffer(offsets, dtype=np.int64)[column.offset : column.offset + len(column) + 1]
+    if data is None or edges[-1] == edges[0]:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    raw = np.frombuffer(data, dtype=np.uint8)[edges[0] : edges[-1]]
+    edges = edges - edges[0]
+    sums = np.concatenate([[0], np.cumsum(raw, dtype=np.int64)])
+    at = np.flatnonzero(raw != 255)
+    owner = np.searchsorted(edges, at, side="right") - 1
+    return sums[at + 1] - sums[edges[owner]], owner
+
+
+class Windows:
+    """Windows of some documents: ``minimiser`` of each window, ``at`` its first word among all words."""
+
+    def __init__(self, batch: pa.RecordBatch, window: int) -> None:
+        words = Words(batch.column("text"))
+        self.hashes, self.window = words.hashes(), window
+        counts = np.maximum(words.counts() - window + 1, 0)
+        self.owner = np.repeat(np.arange(len(counts)), counts)
+        self.start = np.arange(len(self.owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+        self.at = words.edges[:-1][self.owner] + self.start
+        gram = min(GRAM, window)
+        if len(self.at):
+            self.grams = rolling(self.hashes, gram, BASES[2])
+            self.least = sliding(self.grams, window - gram + 1)
+            self.minimiser = self.least[self.at]
+
+    def counted(self) -> np.ndarray:
+        """The hash of every place that is the minimiser of some window, once a place."""
+        span = len(self.grams) - len(self.least) + 1
+        used = np.zeros(len(self.least) + 2 * (span - 1), dtype=U64)
+        used[self.at + span - 1] = self.minimiser
+        return self.grams[sliding(used, span, np.maximum) == self.grams]
+
+    def pair(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return rolling(self.hashes, self.window, BASES[0])[at], rolling(self.hashes, self.window, BASES[1])[at] >> U64(32)
+
+
+def rows_of(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two hashes that choose a cell in each row of the sketch."""
+    return hashes, mix64(hashes ^ BASES[0])
 
 
 def sketches(window: int, bits: int):
     """A function for mapInArrow: documents' texts -> (segment, once, more)."""
 
-    def of(chunks: Chunks) -> pa.RecordBatch:
-        one, two, _, _ = chunks.windows()
-        segments, once, more = [], [], []
-        for row, hashes in enumerate((one, two)):
-            cells = np.sort((hashes >> U64(64 - bits)).astype(np.int64))
-            fresh = np.concatenate([[True], cells[1:] != cells[:-1]])
-            again = np.unique(cells[~fresh])
-            cells = cells[fresh]
-            marks = cells >> SEGMENT_BITS
-            edges = np.concatenate([np.flatnonzero(np.concatenate([[True], marks[1:] != marks[:-1]])), [len(cells)]])
-            for a, b in zip(edges[:-1], edges[1:], strict=True):
-                lo = int(marks[a]) << SEGMENT_BITS
-                x, y = np.searchsorted(again, (lo, lo + (1 << SEGMENT_BITS)))
-                segments.append((int(marks[a]) << 1) | row)
-                once.append(pack(np.diff(cells[a:b], prepend=lo)))
-                more.append(pack(np.diff(again[x:y], prepend=lo)))
-        return pa.RecordBatch.from_arrays([pa.array(segments, pa.int64()), pa.array(once, pa.binary()), pa.array(more, pa.binary())], ["segment", "once", "more"])
+    def column(cells: np.ndarray, segments: np.ndarray) -> pa.Array:
+        """Gaps of sorted cells, for each segment in order."""
+        marks = cells >> SEGMENT_BITS
+        gaps = np.diff(cells, prepend=0)
+        head = np.flatnonzero(np.concatenate([[True], marks[1:] != marks[:-1]])) if len(cells) else np.zeros(0, np.int64)
+        gaps[head] = cells[head] & ((1 << SEGMENT_BITS) - 1)
+        data, begins = packed(gaps)
+        return pieces(data, np.concatenate([begins, [len(data)]])[np.searchsorted(marks, segments)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks = Chunks(window)
-        for batch in batches:
-            for text in texts_of(batch.column(0)):
-                chunks.add(text)
-                if chunks.n >= CHUNK:
-                    yield of(chunks)
-                    chunks.clear()
-        if chunks.n:
-            yield of(chunks)
+        for whole in batches:
+            for batch in slices(whole):
+                found = Windows(batch, window)
+                if not len(found.at):
+                    continue
+                for row, hashes in enumerate(rows_of(found.counted())):
+                    cells = np.sort((hashes >> U64(64 - bits)).astype(np.int64))
+                    fresh = np.concatenate([[True], cells[1:] != cells[:-1]])
+                    again = np.unique(cells[~fresh])
+                    segments = np.unique(cells >> SEGMENT_BITS)
+                    yield pa.RecordBatch.from_arrays([pa.array(segments * 2 + row), column(cells[fresh], segments), column(again, segments)], ["segment", "once", "more"])
 
     return run
 
 
 def merged(key: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One segment's sketches -> a bit a cell: count of two or more. Parts come one by one."""
+    """One segment's sketches -> a bit a cell: count of two or more. Parts come batch by batch."""
     counts = np.zeros(1 << SEGMENT_BITS, dtype=np.uint8)
     for part in parts:
-        for once, more in zip(part.column("once"), part.column("more"), strict=True):
-            cells = unpack(once.as_py())
+        for k in range(part.num_rows):
+            cells, _ = unpacked(part.column("once").slice(k, 1))
             counts[cells] = np.minimum(counts[cells] + 1, 2)
-            counts[unpack(more.as_py())] = 2
+        counts[unpacked(part.column("more"))[0]] = 2
     bits = np.packbits(counts >= 2, bitorder="little").tobytes()
     yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int64()), pa.array([bits], pa.binary())], ["segment", "bits"])
 
@@ -155,128 +171,97 @@ def merged(key: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 class Repeats:
     """The merged sketch: tells which windows may be repeated."""
 
-    def __init__(self, bits: int, rows: list) -> None:
+    def __init__(self, bits: int, rows) -> None:
         self.bits = bits
         self.table = np.zeros((2, 1 << (bits - 3)), dtype=np.uint8)
         size = 1 << (SEGMENT_BITS - 3)
         for row in rows:
-            part = np.frombuffer(row["bits"], dtype=np.uint8)
             at = (row["segment"] >> 1) * size
-            self.table[row["segment"] & 1, at : at + len(part)] = part[: self.table.shape[1]]
-
-    def maybe(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-        def hit(row: int, hashes: np.ndarray) -> np.ndarray:
-            cells = hashes >> U64(64 - self.bits)
-            return (self.table[row, (cells >> U64(3)).astype(np.int64)] >> (cells & U64(7)).astype(np.uint8)) & 1 == 1
+            self.table[row["segment"] & 1, at : at + size] = np.frombuffer(row["bits"], dtype=np.uint8)
 
-        found = hit(0, one)
-        at = np.flatnonzero(found)
-        found[at] = hit(1, two[at])
+    def maybe(self, hashes: np.ndarray) -> np.ndarray:
+        found = np.ones(len(hashes), dtype=bool)
+        for row, x in enumerate(rows_of(hashes)):
+            cells = x >> U64(64 - self.bits)
+            found &= (self.table[row, (cells >> U64(3)).astype(np.int64)] >> (cells & U64(7)).astype(np.uint8)) & 1 == 1
         return found
 
 
-MARKS = "h long, g long, doc long, t int, starts binary"
+NAMES = ["doc", "t", "starts"]
 
 
-def marked(doc: np.ndarray, t: np.ndarray, start: np.ndarray) -> list[tuple[int, int, bytes]]:
-    """Starts gathered by document."""
-    if not len(doc):
-        return []
+def marked(doc: np.ndarray, t: np.ndarray, start: np.ndarray) -> list[pa.Array]:
+    """Starts gathered by document, as columns."""
     order = np.lexsort((start, t, doc))
     doc, t, start = doc[order], t[order], start[order]
-    edges = np.concatenate([np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (t[1:] != t[:-1])])), [len(doc)]])
-    return [(int(doc[a]), int(t[a]), pack(np.diff(start[a:b], prepend=0))) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-
-
-def mark_batch(rows: list[tuple[int, int, bytes]]) -> list[pa.Array]:
-    doc, t, starts = ([r[k] for r in rows] for k in range(3))
-    return [pa.array(doc, pa.int64()), pa.array(t, pa.int32()), pa.array(starts, pa.binary())]
+    head = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (t[1:] != t[:-1])])) if len(doc) else np.zeros(0, np.int64)
+    gaps = np.diff(start, prepend=0)
+    gaps[head] = start[head]
+    data, begins = packed(gaps)
+    return [pa.array(doc[head], pa.int64()), pa.array(t[head], pa.int32()), pieces(data, begins[head])]
 
 
 def candidates(window: int, repeats):
     """A function for mapInArrow: (text, doc, t) -> places of windows that may be repeated, and marks."""
 
-    def of(chunks: Chunks, table: Repeats) -> Iterator[pa.RecordBatch]:
-        one, two, owner, start = chunks.windows()
-        keep = np.flatnonzero(table.maybe(one, two))
-        if not len(keep):
-            return
-        docs = np.array([d[0] for d in chunks.docs], dtype=np.int64)[owner[keep]]
-        ts = np.array([d[1] for d in chunks.docs], dtype=np.int32)[owner[keep]]
-        one, two, start = one[keep], two[keep] >> U64(32), start[keep]
-        order = np.lexsort((start, ts, docs, two, one))
-        a, b = one[order], two[order]
-        fresh = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-        # a place that only repeats itself (a row given twice) is not a repetition
-        first = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
-        d, t, s = docs[order], ts[order], start[order]
-        own = (d == d[first]) & (t == t[first]) & (s == s[first])
-        rows = marked(d[~own], t[~own], s[~own])
-        kept = np.sort(order[fresh])  # in the documents' order, which compresses best
-        n = len(kept)
-        for lo in range(0, n, 200_000):
-            part = kept[lo : lo + 200_000]
-            place = (two[part] << U64(32)) | start[part].astype(U64)
-            yield pa.RecordBatch.from_arrays([as_signed(one[part]), as_signed(place), pa.array(docs[part]), pa.array(ts[part]), pa.nulls(len(part), pa.binary())], ["h", "g", "doc", "t", "starts"])
-        if rows:
-            doc, t, starts = mark_batch(rows)
-            yield pa.RecordBatch.from_arrays([doc, pa.nulls(len(rows), pa.int64()), doc, t, starts], ["h", "g", "doc", "t", "starts"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, chunks = repeats.value, Chunks(window)
-        for batch in batches:
-            docs, ts = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            for text, doc, t in zip(texts_of(batch.column(0)), docs, ts, strict=True):
-                chunks.add(text, (doc, t))
-                if chunks.n >= CHUNK:
-                    yield from of(chunks, table)
-                    chunks.clear()
-        if chunks.n:
-            yield from of(chunks, table)
+        for whole in batches:
+            for batch in slices(whole):
+                found = Windows(batch, window)
+                keep = np.flatnonzero(repeats.value.maybe(found.minimiser)) if len(found.at) else ()
+                if not len(keep):
+                    continue
+                one, two = found.pair(found.at[keep])
+                start, owner = found.start[keep], found.owner[keep]
+                docs, ts = batch.column("doc").to_numpy()[owner], batch.column("t").to_numpy()[owner]
+                order = np.lexsort((start, ts, docs, two, one))
+                a, b, d, t, s = one[order], two[order], docs[order], ts[order], start[order]
+                fresh = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+                first = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
+                # a place that only repeats itself (a row given twice) is not a repetition
+                other = (d != d[first]) | (t != t[first]) | (s != s[first])
+                kept = np.sort(order[fresh])  # in the documents' order, which compresses best
+                for lo in range(0, len(kept), 100_000):
+                    part = kept[lo : lo + 100_000]
+                    place = (two[part] << U64(32)) | start[part].astype(U64)
+                    yield pa.RecordBatch.from_arrays([as_signed(one[part]), as_signed(place), pa.array(docs[part]), pa.array(ts[part]), pa.nulls(len(part), pa.binary())], ["h", "g", *NAMES])
+                if other.any():
+                    cols = marked(d[other], t[other], s[other])
+                    yield pa.RecordBatch.from_arrays([cols[0], pa.nulls(len(cols[0]), pa.int64()), *cols], ["h", "g", *NAMES])
 
     return run
 
 
 def later_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted places -> marks of all but each window's earliest. Needs only one batch at a time."""
-    names = ["doc", "t", "starts"]
-    last = None
+    """Sorted places -> marks of all but each window's earliest. Holds a few batches' marks at a time."""
+    last, held, size = None, [], 0
     for batch in batches:
-        passed = batch.filter(pa.compute.is_valid(batch.column("starts")))
+        passed = batch.filter(pc.is_valid(batch.column("starts")))
         if passed.num_rows:
-            yield pa.RecordBatch.from_arrays([passed.column(n) for n in names], names)
-        batch = batch.filter(pa.compute.is_null(batch.column("starts")))
+            yield passed.select(NAMES)
+        batch = batch.filter(pc.is_null(batch.column("starts")))
         if not batch.num_rows:
             continue
-        h, g, doc = (batch.column(n).to_numpy() for n in ("h", "g", "doc"))
-        t = batch.column("t").to_numpy()
+        h, g, doc, t = (batch.column(n).to_numpy() for n in ("h", "g", "doc", "t"))
         two, start = g.view(U64) >> U64(32), (g.view(U64) & U64(0xFFFFFFFF)).astype(np.int64)
         fresh = np.concatenate([[last is None or (h[0], two[0]) != last[:2]], (h[1:] != h[:-1]) | (two[1:] != two[:-1])])
-        at = np.where(fresh, np.arange(len(h)), -1)
-        at = np.maximum.accumulate(at)
-        f = np.maximum(at, 0)
-        fd, ft, fs = doc[f], t[f], start[f]
-        if at[0] < 0:
-            head = at < 0
+        at = np.maximum.accumulate(np.where(fresh, np.arange(len(h)), -1))
+        head, first = at < 0, np.maximum(at, 0)
+        fd, ft, fs = doc[first], t[first], start[first]
+        if head.any():
             fd[head], ft[head], fs[head] = last[2:]
-        other = (doc != fd) | (t != ft) | (start != fs)
         last = (h[-1], two[-1], fd[-1], ft[-1], fs[-1])
-        rows = marked(doc[other], t[other], start[other])
-        if rows:
-            yield pa.RecordBatch.from_arrays(mark_batch(rows), names)
-
-
-def cover(n_words: int, starts: list[bytes], window: int) -> np.ndarray:
-    """Which words stay."""
-    steps = np.zeros(n_words + 1, dtype=np.int64)
-    for data in starts:
-        at = unpack(data)
-        np.add.at(steps, at, 1)
-        np.add.at(steps, at + window, -1)
-    return np.cumsum(steps[:n_words]) == 0
+        other = (doc != fd) | (t != ft) | (start != fs)
+        held.append((doc[other], t[other], start[other]))
+        size += len(held[-1][0])
+        if size >= 1_000_000:
+            yield pa.RecordBatch.from_arrays(marked(*(np.concatenate(x) for x in zip(*held, strict=True))), NAMES)
+            held, size = [], 0
+    if size:
+        yield pa.RecordBatch.from_arrays(marked(*(np.concatenate(x) for x in zip(*held, strict=True))), NAMES)
 
 
-def repeated_windows(docs: DataFrame, window: int = 20, cells_per_word: float = 4, max_cells: int = 1 << 29) -> DataFrame:
+def repeated_windows(docs: DataFrame, window: int = 20, cells_per_word: float = 0.75, max_cells: int = 1 << 29) -> DataFrame:
     """For each document (doc, t) with repeated windows: packed starts of those that also start earlier.
 
     A document may have several rows. ``docs`` has text, doc (id, or the largest long) and t (a hash of the text).
@@ -285,9 +270,9 @@ def repeated_windows(docs: DataFrame, window: int = 20, cells_per_word: float =
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     bits = int(np.clip(np.ceil(np.log2(max(1, chars / 6 * cells_per_word))), SEGMENT_BITS, np.log2(max_cells)))
     parts = docs.select("text").mapInArrow(sketches(window, bits), "segment long, once binary, more binary")
-    rows = parts.groupBy("segment").applyInArrow(merged, "segment long, bits binary").collect()  # at most max_cells / 4 bytes
+    rows = parts.groupBy("segment").applyInArrow(merged, "segment long, bits binary").toLocalIterator()  # at most max_cells / 4 bytes
     repeats = spark.sparkContext.broadcast(Repeats(bits, rows))
-    places = docs.select("text", "doc", "t").mapInArrow(candidates(window, repeats), MARKS)
+    places = docs.select("text", "doc", "t").mapInArrow(candidates(window, repeats), "h long, g long, doc long, t int, starts binary")
     return places.repartition("h").sortWithinPartitions("h", F.shiftrightunsigned("g", 32), "doc", "t", "g").mapInArrow(later_places, "doc long, t int, starts binary")
 
 
@@ -301,23 +286,25 @@ def remove_repeats(documents: DataFrame, window: int = 20, **sketch) -> DataFram
     marks = repeated_windows(docs, window, **sketch).groupBy("doc", "t").agg(F.collect_list("starts").alias("starts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for text, starts in zip(texts_of(batch.column("text")), batch.column("starts").to_pylist(), strict=True):
-                words = SPACED_WORD.findall(text)
-                n = len(words)
-                if starts:
-                    stays = cover(n, starts, window)
-                    words = [w for w, s in zip(words, stays.tolist(), strict=True) if s]
-                out.append((n, n - len(words), " ".join(words)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array([r[k] for r in out], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.string())))], ["doc_id", "n_words", "n_removed", "kept"])
+        for whole in batches:
+            for batch in slices(whole):
+                words = Words(batch.column("text"))
+                lists = batch.column("starts")
+                filled = lists.fill_null([]) if lists.null_count else lists
+                owner_of = np.repeat(np.arange(len(filled)), pc.list_value_length(filled).to_numpy(zero_copy_only=False))
+                start, piece = unpacked(filled.flatten())
+                at = words.edges[owner_of[piece]] + start
+                n = len(words.starts)
+                steps = np.bincount(at, minlength=n + 1) - np.bincount(at + window, minlength=n + 1)
+                keep = np.cumsum(steps[:n]) == 0
+                data, edges = words.joined(keep)
+                counts, gone = words.counts(), np.concatenate([[0], np.cumsum(~keep)])[words.edges]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts), pa.array(np.diff(gone)), texts(data, edges)], ["doc_id", "n_words", "n_removed", "kept"])
 
     joined = docs.join(marks, ["doc", "t"], "left").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "starts")
     return joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
 
 
 def op9_substring_dedup(spark, sf_dir: str) -> DataFrame:
-    from quarryline.llm.common import table
-
     found = remove_repeats(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
