@@ -17,39 +17,52 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarryline.llm.common import SPACED_WORD, ascii_lower, components, cut, table, texts_of
+from quarryline.llm.common import as_signed, components, cut, table
+from quarryline.llm.words import Words, slices, xxh64
 
 SEED = 42
-
-
-def fingerprint(text: str, shingle: int = 3) -> int:
-    """The 64-bit SimHash: a bit is set if more than half of the shingles' hashes have it."""
-    words = SPACED_WORD.findall(ascii_lower(text))
-    if not words:
-        return 0
-    joined = " ".join(words).encode("utf-8", "surrogatepass")
-    digest = xxhash.xxh64_intdigest
-    if len(words) <= shingle:
-        return digest(joined, SEED)
-    view = memoryview(joined)
-    gaps = np.flatnonzero(np.frombuffer(joined, dtype=np.uint8) == 32)
-    starts = np.concatenate([[0], gaps + 1])[: len(words) - shingle + 1].tolist()
-    ends = np.concatenate([gaps, [len(joined)]])[shingle - 1 :].tolist()
-    n, ones = len(starts), np.zeros(64, dtype=np.int64)
-    for at in range(0, n, 65_536):  # a very long text a piece at a time
-        hashes = np.array([digest(view[a:b], SEED) for a, b in zip(starts[at : at + 65_536], ends[at : at + 65_536], strict=True)], dtype=np.uint64)
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(sum(1 << k for k in np.flatnonzero(ones * 2 > n).tolist()))
+PIECE = 1 << 17
+
+
+def simhash(column: pa.Array, shingle: int = 3) -> np.ndarray:
+    """The 64-bit SimHash of each text: a bit is set if more than half of its shingles' hashes have it."""
+    words = Words(column)
+    data, _ = words.joined(lower=True)
+    counts = words.counts()
+    lengths = words.ends - words.starts
+    firsts = words.edges[:-1]
+    gap = np.ones(len(lengths), dtype=np.int64)
+    gap[firsts[counts > 0]] = 0
+    ends = np.cumsum(lengths + gap)
+    starts = ends - lengths
+    n = np.where(counts > 0, np.maximum(counts - shingle + 1, 1), 0)
+    at = np.repeat(firsts - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+    hashes = xxh64(data, starts[at], ends[np.minimum(at + shingle, np.repeat(words.edges[1:], n)) - 1], SEED)
+    prints = np.zeros(len(counts), dtype=np.uint64)
+    weight = np.uint64(1) << np.arange(64, dtype=np.uint64)
+    full = np.flatnonzero(n)
+    edges = np.concatenate([[0], np.cumsum(n[full])])
+    k = 0
+    while k < len(full):  # documents with about PIECE shingles at a time; a longer one by itself, in parts
+        to = max(k + 1, int(np.searchsorted(edges, edges[k] + PIECE, side="right")) - 1)
+        ones = np.zeros((to - k, 64), dtype=np.int64)
+        for lo in range(edges[k], edges[to], PIECE):
+            hi = min(lo + PIECE, edges[to])
+            bits = np.unpackbits(hashes[lo:hi].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            heads = np.maximum(edges[k:to], lo) - lo if to - k > 1 else np.array([0])
+            ones += np.add.reduceat(bits, heads, axis=0, dtype=np.int32)
+        prints[full[k:to]] = ((ones * 2 > n[full[k:to], None]) * weight).sum(axis=1, dtype=np.uint64)
+        k = to
+    return prints
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        prints = np.fromiter(map(fingerprint, texts_of(batch.column(1))), dtype=np.uint64, count=batch.num_rows)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], ["doc_id", "print"])
+    for whole in batches:
+        for batch in slices(whole, most=4 << 20):
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), as_signed(simhash(batch.column("text")))], ["doc_id", "print"])
 
 
 def fingerprints(documents: DataFrame) -> DataFrame:
