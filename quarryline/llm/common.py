@@ -4,11 +4,9 @@ from __future__ import annotations
 
 import re
 import tempfile
-from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,26 +43,6 @@ def ascii_lower(text: str) -> str:
     return text.translate(ASCII_LOWER)
 
 
-class WordHashes(dict):
-    """word -> 64-bit hash, filled as words come, emptied when it holds too many."""
-
-    LIMIT = 1_000_000
-
-    def __init__(self, seed: int = 0) -> None:
-        super().__init__()
-        self.seed = seed
-
-    def __missing__(self, word: str) -> int:
-        value = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), self.seed)
-        if len(self) >= self.LIMIT:
-            self.clear()
-        self[word] = value
-        return value
-
-    def array(self, words: list[str]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), dtype=U64, count=len(words))
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser on 64-bit words, so that sums and products can be cut into bits."""
     x = x ^ (x >> U64(31))
@@ -74,20 +52,13 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(33))
 
 
-def texts_of(column: pa.Array | pa.ChunkedArray) -> Iterator[str]:
-    """The texts one by one, in small slices, so that one batch isn't held twice; null becomes the empty text."""
-    for at in range(0, len(column), 256):
-        for text in column.slice(at, 256).to_pylist():
-            yield text or ""
-
-
 def as_signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
-def ragged(values: np.ndarray, lengths: Iterable[int], kind: pa.DataType | None = None) -> pa.ListArray:
+def ragged(values: np.ndarray, lengths: np.ndarray, kind: pa.DataType | None = None) -> pa.ListArray:
     """A list column from its flat values and the length of each list."""
-    ends = np.concatenate([[0], np.cumsum(np.asarray(list(lengths), dtype=np.int64))]).astype(np.int32)
+    ends = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(values, type=kind))
 
 

@@ -21,10 +21,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarryline.llm.common import PLAIN_WORD, ascii_lower, ragged, table, texts_of
+from quarryline.llm.common import PLAIN_WORD, U64, ascii_lower, ragged, table
+from quarryline.llm.words import PLAIN, Words, slices, word_hash
 
 GAP = 64
 
@@ -41,6 +43,7 @@ class Block:
             ids = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words]
             for at in range(max(1, len(ids) - window + 1)):
                 owners.setdefault(tuple(ids[at : at + window]), set()).add(number[name])
+        self.terms = Vocabulary(list(self.vocabulary))
         self.phrases = list(owners)
         self.owners = [np.array(sorted(x)) for x in owners.values()]
         self.by_length = {}
@@ -63,27 +66,50 @@ def blocks(items: DataFrame, window: int, block_words: int) -> Iterator[Block]:
         yield Block(held, window)
 
 
-def posting_lists(text: str, vocabulary: dict[str, int]) -> tuple[int, np.ndarray, np.ndarray]:
-    """Number of words, and term and position of each word of the vocabulary, by term."""
-    words = PLAIN_WORD.findall(ascii_lower(text))
-    ids = np.fromiter((vocabulary.get(w, -1) for w in words), dtype=np.int32, count=len(words))
-    at = np.flatnonzero(ids >= 0)
-    terms = ids[at]
-    order = np.argsort(terms, kind="stable")
-    return len(words), terms[order], at[order].astype(np.int32)
+class Vocabulary:
+    """Finds the number of each hash among the terms', -1 for others."""
+
+    def __init__(self, terms: list[str]) -> None:
+        hashes = np.array([word_hash(t) for t in terms], dtype=U64)
+        self.order = np.argsort(hashes)
+        self.sorted = hashes[self.order]
+        self.bits = int(np.clip(np.ceil(np.log2(16 * max(1, len(terms)))), 16, 24))
+        slot = (self.sorted >> U64(64 - self.bits)).astype(np.int64)
+        self.slots = np.full(1 << self.bits, -1, dtype=np.int32)
+        self.slots[slot] = np.arange(len(slot))
+        self.slots[slot[1:][slot[1:] == slot[:-1]]] = -2  # shared: looked up by bisection
+
+    def numbers(self, hashes: np.ndarray) -> np.ndarray:
+        at = self.slots[(hashes >> U64(64 - self.bits)).astype(np.int64)]
+        if not len(self.sorted):
+            return at
+        shared = np.flatnonzero(at == -2)
+        at[shared] = np.minimum(np.searchsorted(self.sorted, hashes[shared]), len(self.sorted) - 1)
+        hit = np.flatnonzero(at >= 0)
+        hit = hit[self.sorted[at[hit]] == hashes[hit]]
+        out = np.full(len(hashes), -1, dtype=np.int32)
+        out[hit] = self.order[at[hit]]
+        return out
 
 
 class Postings:
     """Posting lists of a batch of documents; places count through the batch, with a gap after each document."""
 
-    def __init__(self, n_words: np.ndarray, terms: list[np.ndarray], places: list[np.ndarray], n_terms: int) -> None:
+    def __init__(self, n_words: np.ndarray, terms: np.ndarray, places: np.ndarray, n_terms: int) -> None:
+        """``terms`` and ``places`` of all occurrences, documents in order."""
         self.n_words = n_words
         self.base = np.concatenate([[0], np.cumsum(n_words + GAP)])
-        flat = np.concatenate(terms) if terms else np.zeros(0, np.int32)
-        where = np.concatenate([p + b for p, b in zip(places, self.base[:-1], strict=True)]) if places else np.zeros(0, np.int64)
-        order = np.argsort(flat, kind="stable")
-        self.places = where[order]
-        self.edges = np.concatenate([[0], np.cumsum(np.bincount(flat, minlength=n_terms))])
+        order = np.argsort(terms, kind="stable")
+        self.places = places[order]
+        self.edges = np.concatenate([[0], np.cumsum(np.bincount(terms, minlength=n_terms))])
+
+    @classmethod
+    def of_texts(cls, column: pa.Array, vocabulary: Vocabulary, n_terms: int) -> Postings:
+        words = Words(column, PLAIN)
+        numbers = vocabulary.numbers(words.hashes(lower=True))
+        at = np.flatnonzero(numbers >= 0)
+        owner = np.searchsorted(words.edges, at, side="right") - 1
+        return cls(words.counts(), numbers[at], at + owner * GAP, n_terms)
 
     def of(self, term: int) -> np.ndarray:
         return self.places[self.edges[term] : self.edges[term + 1]]
@@ -181,10 +207,8 @@ def matches(documents: DataFrame, items: DataFrame, window: int = 8, slop: int =
 
         def run(batches: Iterator[pa.RecordBatch], held=held, last=last) -> Iterator[pa.RecordBatch]:
             for whole in batches:
-                for at in range(0, whole.num_rows, 2000):
-                    batch = whole.slice(at, 2000)
-                    lists = [posting_lists(t, held.value.vocabulary) for t in texts_of(batch.column("text"))]
-                    postings = Postings(np.array([x[0] for x in lists]), [x[1] for x in lists], [x[2] for x in lists], len(held.value.vocabulary))
+                for batch in slices(whole, most=16 << 20):
+                    postings = Postings.of_texts(batch.column("text"), held.value.terms, len(held.value.vocabulary))
                     cols = _searched(batch, postings, held.value, slop)
                     yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *([] if last else [batch.column("text")]), *cols], ["doc_id", *([] if last else ["text"]), "n_words", "spans", "items", "near"])
 
@@ -200,11 +224,15 @@ def build_index(documents: DataFrame, items: DataFrame, window: int = 8, block_w
     held = documents.sparkSession.sparkContext.broadcast(passes[0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = [posting_lists(t, held.value.vocabulary) for t in texts_of(batch.column(1))]
-            sizes = [len(x[1]) for x in lists]
-            flat = [np.concatenate([x[k] for x in lists]) if lists else np.zeros(0, np.int32) for k in (1, 2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in lists], pa.int64()), ragged(flat[0], sizes, pa.int32()), ragged(flat[1], sizes, pa.int32())], ["doc_id", "n_words", "terms", "places"])
+        for whole in batches:
+            for batch in slices(whole):
+                words = Words(batch.column("text"), PLAIN)
+                numbers = held.value.terms.numbers(words.hashes(lower=True))
+                at = np.flatnonzero(numbers >= 0)
+                owner = np.searchsorted(words.edges, at, side="right") - 1
+                order = np.lexsort((at, numbers[at], owner))
+                sizes = np.bincount(owner, minlength=batch.num_rows)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(words.counts()), ragged(numbers[at][order], sizes, pa.int32()), ragged((at - words.edges[owner])[order], sizes, pa.int32())], ["doc_id", "n_words", "terms", "places"])
 
     index = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_words long, terms array<int>, places array<int>")
     return index, passes[0]
@@ -216,8 +244,11 @@ def search_index(index: DataFrame, block: Block, slop: int = 1) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            terms, places = ([np.array(x, dtype=np.int32) for x in batch.column(n).to_pylist()] for n in ("terms", "places"))
-            postings = Postings(batch.column("n_words").to_numpy(), terms, places, len(held.value.vocabulary))
+            n_words = batch.column("n_words").to_numpy()
+            sizes = pa.compute.list_value_length(batch.column("terms")).to_numpy(zero_copy_only=False)
+            base = np.repeat(np.cumsum(n_words + GAP) - n_words - GAP, sizes)
+            terms, places = (batch.column(n).flatten().to_numpy() for n in ("terms", "places"))
+            postings = Postings(n_words, terms, places + base, len(held.value.vocabulary))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *_searched(batch.select(["doc_id"]), postings, held.value, slop)], ["doc_id", "n_words", "spans", "items", "near"])
 
     return index.mapInArrow(run, f"doc_id long, {FOUND}")

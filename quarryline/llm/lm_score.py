@@ -29,12 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarryline.llm.common import SPACED_WORD, U64, WordHashes, ascii_lower, as_signed, crc_fold, cut, mix64, table, texts_of
+from quarryline.llm.common import U64, as_signed, crc_fold, cut, mix64, ragged, table
+from quarryline.llm.words import Words, slices
 
-#: The hash of the end token, which no word can spell: it holds a space.
-END = " end"
+#: The hash of the end token.
+END = U64(0xE7037ED1A0B428DB)
 SEGMENTS = 256
-PIECE = 1_500_000
+PIECE = 3_000_000
 PROBES = 3
 PAIR = (U64(0x9E3779B97F4A7C15), U64(0xD1B54A32D192ED03))
 LEVEL = U64(0xA0761D6478BD642F)
@@ -49,38 +50,43 @@ def quantised(counts: np.ndarray, base: float) -> np.ndarray:
     return (1 + np.floor(np.log(counts) / math.log(base) + 1e-9)).astype(np.int64)
 
 
-def words_of(text: str, words: WordHashes) -> np.ndarray:
-    """Hashes of a text's tokens, the end last."""
-    return words.array([*SPACED_WORD.findall(ascii_lower(text)), END])
+def tokens_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all texts' tokens, an end after each text, and where each text's tokens begin and the last end."""
+    words = Words(column)
+    n = len(column)
+    edges = words.edges + np.arange(n + 1)
+    out = np.full(len(words.starts) + n, END, dtype=U64)
+    inside = np.ones(len(out), dtype=bool)
+    inside[edges[1:] - 1] = False
+    out[inside] = words.hashes(lower=True)
+    return out, edges
 
 
 def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts -> packed counts by (kind, segment): kind 1 are words, 2 pairs. The hash's top byte is the segment."""
-    words, held, size = WordHashes(), [], 0
+    held, size = [], 0
 
     def flush() -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
-        end = U64(words[END])
         flat = np.concatenate(held)
-        before = np.concatenate([[end], flat[:-1]])
+        before = np.concatenate([[END], flat[:-1]])
         for kind, hashes in ((1, flat), (2, pair_hash(before, flat))):
-            seen, n = np.unique(hashes, return_counts=True)
+            hashes.sort()
+            head = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
+            seen, n = hashes[head], np.diff(head, append=len(hashes))
             edges = np.searchsorted(seen >> U64(56), np.arange(SEGMENTS + 1, dtype=U64))
-            for s, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
-                if a < b:
-                    rows.append((kind * SEGMENTS + s, seen[a:b].tobytes(), packed(n[a:b])))
-        for at in range(0, len(rows), 64):
-            part = rows[at : at + 64]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in part], kind) for k, kind in enumerate((pa.int32(), pa.binary(), pa.binary()))], ["part", "hashes", "counts"])
-
-    for batch in batches:
-        for text in texts_of(batch.column(0)):
-            held.append(words_of(text, words))
+            rows = [(kind * SEGMENTS + s, seen[a:b].tobytes(), packed(n[a:b])) for s, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if a < b]
+            for at in range(0, len(rows), 64):
+                part = rows[at : at + 64]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in part], kind) for k, kind in enumerate((pa.int32(), pa.binary(), pa.binary()))], ["part", "hashes", "counts"])
+
+    for whole in batches:
+        for batch in slices(whole):
+            held.append(tokens_of(batch.column("text"))[0])
             size += len(held[-1])
             if size >= PIECE:
                 yield from flush()
                 held, size = [], 0
-    if held:
+    if size:
         yield from flush()
 
 
@@ -161,7 +167,6 @@ class CountFilter:
 class Model:
     def __init__(self, counts: CountFilter, n: int, v: int, head: tuple[np.ndarray, np.ndarray], mu: float) -> None:
         self.counts, self.n, self.v, self.head, self.mu = counts, n, v, head, mu
-        self.end = WordHashes()[END]
 
     def base(self, c: np.ndarray) -> np.ndarray:
         return (c + 0.5) / (self.n + 0.5 * (self.v + 1))
@@ -170,7 +175,7 @@ class Model:
         """log10 p of every token after the one before it."""
         word, where = np.unique(tokens, return_inverse=True)
         c1 = self.counts.count(word, 1)[where]
-        before = np.concatenate([[U64(self.end)], tokens[:-1]])
+        before = np.concatenate([[END], tokens[:-1]])
         cb = np.concatenate([[self.counts.count(before[:1], 1)[0]], c1[:-1]])
         c2 = np.minimum(self.counts.count(pair_hash(before, tokens), 2), np.minimum(c1, cb))
         return np.log10((c2 + self.mu * self.base(c1)) / (cb + self.mu))
@@ -185,20 +190,11 @@ class Model:
         return np.where(hit, counts[at], 0), hit
 
 
-def word_counts(pieces: DataFrame) -> DataFrame:
-    """h, c of every training token, exactly."""
-
-    def run(key: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, total = summed(parts)
-        yield pa.RecordBatch.from_arrays([as_signed(seen), pa.array(total)], ["h", "c"])
-
-    return pieces.where(F.col("part") < 2 * SEGMENTS).groupBy("part").applyInArrow(run, "h long, c long")
-
-
-def filled(pieces: DataFrame, part_bits: int, base: float) -> DataFrame:
-    """part, bits: each part's range of the filter."""
+def gathered(pieces: DataFrame, part_bits: int, base: float) -> DataFrame:
+    """Sums every part exactly: its range of the filter (part, bits), and for words each hash and count (h, c)."""
 
     def run(key: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = key[0].as_py()
         seen, total = summed(parts)
         q = quantised(total, base)
         bits = np.zeros(1 << part_bits, dtype=bool)
@@ -207,24 +203,29 @@ def filled(pieces: DataFrame, part_bits: int, base: float) -> DataFrame:
             for k in range(PROBES):
                 with np.errstate(over="ignore"):
                     bits[((x + y * U64(k)) >> U64(64 - part_bits)).astype(np.int64)] = True
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], ["part", "bits"])
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64())], ["part", "bits", "h", "c"])
+        for at in range(0, len(seen) if part < 2 * SEGMENTS else 0, 100_000):
+            h, c = seen[at : at + 100_000], total[at : at + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(h), pa.int32()), pa.nulls(len(h), pa.binary()), as_signed(h), pa.array(c)], ["part", "bits", "h", "c"])
 
-    return pieces.groupBy("part").applyInArrow(run, "part int, bits binary")
+    return pieces.groupBy("part").applyInArrow(run, "part int, bits binary, h long, c long")
 
 
 def learn(training: DataFrame, base: float = 2.0, mu: float = 50.0, head: int = 1 << 18, bits_each: int = 8, max_bits: int = 1 << 30) -> tuple[Model, DataFrame]:
     """The model, and the exact word counts (h, c) as a table. ``training`` has ``text``."""
-    # by how many words there are the filter's size is set: at most one pair a word
-    pieces = cut(training.select("text").mapInArrow(counted, "part int, hashes binary, counts binary"))
-    counts = cut(word_counts(pieces))
+    # the filter's size follows the number of words, of which there are about a sixth as many as characters
+    size = training.agg(F.sum(F.length("text")).alias("chars"), F.count("*").alias("texts")).first()
+    entries = (size["chars"] or 0) / 6 + size["texts"]
+    part_bits = int(np.clip(np.ceil(np.log2(max(1, entries * bits_each / SEGMENTS / 2))), 10, np.log2(max_bits / SEGMENTS / 2)))
+    pieces = training.select("text").mapInArrow(counted, "part int, hashes binary, counts binary")
+    found = cut(gathered(pieces, part_bits, base))
+    counts = found.where("h IS NOT NULL").select("h", "c")
     totals = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
-    n, v = totals["n"] or 0, totals["v"]
-    part_bits = int(np.clip(np.ceil(np.log2(max(1, n * bits_each / SEGMENTS / 2))), 10, np.log2(max_bits / SEGMENTS / 2)))
-    parts = filled(pieces, part_bits, base).collect()  # max_bits at most
+    parts = found.where("bits IS NOT NULL").select("part", "bits").toLocalIterator()  # max_bits at most
     top = counts.orderBy(F.desc("c"), "h").limit(head).toArrow()  # the frequent words' fixed bound
     h, c = top.column("h").to_numpy().view(U64), top.column("c").to_numpy()
     order = np.argsort(h)
-    return Model(CountFilter(part_bits, base, parts), n, v, (h[order], c[order]), mu), counts
+    return Model(CountFilter(part_bits, base, parts), totals["n"] or 0, totals["v"], (h[order], c[order]), mu), counts
 
 
 def score(documents: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
@@ -234,25 +235,22 @@ def score(documents: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
     names = ["doc_id", "held_out", "n_tokens", "known", "base", "score", "rare", "times"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, words = held.value, WordHashes()
+        m = held.value
         for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
-                tokens = [words_of(t, words) for t in texts_of(batch.column("text"))]
-                sizes = np.array([len(t) for t in tokens])
-                flat, edges = np.concatenate(tokens), np.concatenate([[0], np.cumsum(sizes)])
+            for batch in slices(whole, most=4 << 20):
+                flat, edges = tokens_of(batch.column("text"))
+                sizes = np.diff(edges)
                 c, hit = m.known(flat)
                 add = lambda x: np.add.reduceat(x, edges[:-1])
                 base = add(np.where(hit, np.log10(m.base(c)), 0.0))
                 scored = add(m.log_probability(flat))
-                rare, times, lengths = [], [], []
-                for a, b in zip(edges[:-1], edges[1:], strict=True):
-                    h, n = np.unique(flat[a:b][~hit[a:b]], return_counts=True)
-                    rare.append(h)
-                    times.append(n)
-                    lengths.append(len(h))
-                offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
-                lists = [pa.ListArray.from_arrays(offsets, as_signed(np.concatenate(rare).astype(U64))), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(times).astype(np.int32)))]
+                at = np.flatnonzero(~hit)
+                owner = np.searchsorted(edges, at, side="right") - 1
+                order = np.lexsort((flat[at], owner))
+                h, o = flat[at][order], owner[order]
+                head = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (o[1:] != o[:-1])])) if len(h) else np.zeros(0, np.int64)
+                lengths = np.bincount(o[head], minlength=len(sizes))
+                lists = [ragged(h[head].view(np.int64), lengths, pa.int64()), ragged(np.diff(head, append=len(h)), lengths, pa.int32())]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(sizes), pa.array(add(hit.astype(np.int64))), pa.array(base), pa.array(scored), *lists], names)
 
     parts = documents.select("doc_id", "held_out", "text").mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rare array<long>, times array<int>")

@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quarryline.llm.decontaminate import op3_decontaminate
 from quarryline.llm.line_dedup import LINES_SQL, op1_line_dedup
+from quarryline.llm.lm_score import op7_lm_score
 from quarryline.llm.mixing import MIX_SQL, op10_mixing
 from quarryline.llm.simhash import op8_simhash
 from quarryline.llm.substring_dedup import op9_substring_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_line_dedup, op3_decontaminate, op8_simhash, op9_substring_dedup, op10_mixing]
+    found = [op1_line_dedup, op3_decontaminate, op7_lm_score, op8_simhash, op9_substring_dedup, op10_mixing]
     return {f.__name__: f for f in found}
 
 
