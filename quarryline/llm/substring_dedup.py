@@ -8,8 +8,9 @@
 2. A second pass keeps the windows that the merged sketch, broadcast at a bounded size, estimates
    as repeated: all that are, and few others. Each task keeps the earliest place of every such window
    and marks its other places at once; so one window has at most one row a task part, however common.
-3. The rest is grouped exactly (96-bit hashes of the word sequence), sorted and streamed: the
-   earliest place stays, the others are marked. Marks are joined to the documents.
+3. The rest is dealt out by minimiser, sorted and streamed: of windows that are equal (128 bits of
+   hashes) the earliest place stays, the others are marked. Neighbours mostly share a minimiser, so
+   marks come in runs, a row a run. Marks are joined to the documents.
 
 The sketch has ``cells_per_word`` cells a word and row, up to ``max_cells``. Beyond that it lets more
 windows through; the exact step then does more work and the result is the same.
@@ -35,8 +36,8 @@ from quarryline.llm.words import Words, pieces, slices, texts
 LAST = np.iinfo(np.int64).max
 SEGMENT_BITS = 20
 GRAM = 10
-#: Odd multipliers of the hashes of windows (two) and of their runs.
-BASES = (U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F), U64(0xA24BAED4963EE407))
+#: Odd multipliers of the hashes of windows and of their runs.
+BASES = (U64(0x9E3779B97F4A7C15), U64(0xA24BAED4963EE407))
 
 
 def rolling(words: np.ndarray, window: int, base: np.uint64) -> np.ndarray:
@@ -108,7 +109,7 @@ class Windows:
         self.at = words.edges[:-1][self.owner] + self.start
         gram = min(GRAM, window)
         if len(self.at):
-            self.grams = rolling(self.hashes, gram, BASES[2])
+            self.grams = rolling(self.hashes, gram, BASES[1])
             self.least = sliding(self.grams, window - gram + 1)
             self.minimiser = self.least[self.at]
 
@@ -119,9 +120,6 @@ class Windows:
         used[self.at + span - 1] = self.minimiser
         return self.grams[sliding(used, span, np.maximum) == self.grams]
 
-    def pair(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return rolling(self.hashes, self.window, BASES[0])[at], rolling(self.hashes, self.window, BASES[1])[at] >> U64(32)
-
 
 def rows_of(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The two hashes that choose a cell in each row of the sketch."""
@@ -187,22 +185,21 @@ class Repeats:
         return found
 
 
-NAMES = ["doc", "t", "starts"]
+NAMES = ["m", "h", "doc", "t", "start", "n"]
+MARKS = ["doc", "t", "start", "n"]
 
 
-def marked(doc: np.ndarray, t: np.ndarray, start: np.ndarray) -> list[pa.Array]:
-    """Starts gathered by document, as columns."""
+def runs(doc: np.ndarray, t: np.ndarray, start: np.ndarray) -> list[pa.Array]:
+    """Marked starts as runs: doc, t, first start, how many in a row."""
     order = np.lexsort((start, t, doc))
     doc, t, start = doc[order], t[order], start[order]
-    head = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (t[1:] != t[:-1])])) if len(doc) else np.zeros(0, np.int64)
-    gaps = np.diff(start, prepend=0)
-    gaps[head] = start[head]
-    data, begins = packed(gaps)
-    return [pa.array(doc[head], pa.int64()), pa.array(t[head], pa.int32()), pieces(data, begins[head])]
+    head = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (t[1:] != t[:-1]) | (start[1:] > start[:-1] + 1)]))
+    length = start[np.append(head[1:], len(start)) - 1] - start[head] + 1
+    return [pa.array(doc[head], pa.int64()), pa.array(t[head], pa.int32()), pa.array(start[head], pa.int32()), pa.array(length, pa.int32())]
 
 
 def candidates(window: int, repeats):
-    """A function for mapInArrow: (text, doc, t) -> places of windows that may be repeated, and marks."""
+    """A function for mapInArrow: (text, doc, t) -> places of windows that may be repeated (n is null), and marks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -211,11 +208,11 @@ def candidates(window: int, repeats):
                 keep = np.flatnonzero(repeats.value.maybe(found.minimiser)) if len(found.at) else ()
                 if not len(keep):
                     continue
-                one, two = found.pair(found.at[keep])
+                m, h = found.minimiser[keep], rolling(found.hashes, window, BASES[0])[found.at[keep]]
                 start, owner = found.start[keep], found.owner[keep]
                 docs, ts = batch.column("doc").to_numpy()[owner], batch.column("t").to_numpy()[owner]
-                order = np.lexsort((start, ts, docs, two, one))
-                a, b, d, t, s = one[order], two[order], docs[order], ts[order], start[order]
+                order = np.lexsort((start, ts, docs, m, h))
+                a, b, d, t, s = m[order], h[order], docs[order], ts[order], start[order]
                 fresh = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
                 first = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
                 # a place that only repeats itself (a row given twice) is not a repetition
@@ -223,48 +220,46 @@ def candidates(window: int, repeats):
                 kept = np.sort(order[fresh])  # in the documents' order, which compresses best
                 for lo in range(0, len(kept), 100_000):
                     part = kept[lo : lo + 100_000]
-                    place = (two[part] << U64(32)) | start[part].astype(U64)
-                    yield pa.RecordBatch.from_arrays([as_signed(one[part]), as_signed(place), pa.array(docs[part]), pa.array(ts[part]), pa.nulls(len(part), pa.binary())], ["h", "g", *NAMES])
+                    yield pa.RecordBatch.from_arrays([as_signed(m[part]), as_signed(h[part]), pa.array(docs[part]), pa.array(ts[part]), pa.array(start[part], pa.int32()), pa.nulls(len(part), pa.int32())], NAMES)
                 if other.any():
-                    cols = marked(d[other], t[other], s[other])
-                    yield pa.RecordBatch.from_arrays([cols[0], pa.nulls(len(cols[0]), pa.int64()), *cols], ["h", "g", *NAMES])
+                    cols = runs(d[other], t[other], s[other])
+                    yield pa.RecordBatch.from_arrays([as_signed(mix64(cols[0].to_numpy().view(U64))), pa.nulls(len(cols[0]), pa.int64()), *cols], NAMES)
 
     return run
 
 
 def later_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted places -> marks of all but each window's earliest. Holds a few batches' marks at a time."""
+    """Sorted places -> marks of all but each window's earliest. Holds a million marks at a time."""
     last, held, size = None, [], 0
     for batch in batches:
-        passed = batch.filter(pc.is_valid(batch.column("starts")))
+        passed = batch.filter(pc.is_valid(batch.column("n")))
         if passed.num_rows:
-            yield passed.select(NAMES)
-        batch = batch.filter(pc.is_null(batch.column("starts")))
+            yield passed.select(MARKS)
+        batch = batch.filter(pc.is_null(batch.column("n")))
         if not batch.num_rows:
             continue
-        h, g, doc, t = (batch.column(n).to_numpy() for n in ("h", "g", "doc", "t"))
-        two, start = g.view(U64) >> U64(32), (g.view(U64) & U64(0xFFFFFFFF)).astype(np.int64)
-        fresh = np.concatenate([[last is None or (h[0], two[0]) != last[:2]], (h[1:] != h[:-1]) | (two[1:] != two[:-1])])
+        m, h, doc, t, start = (batch.column(n).to_numpy() for n in NAMES[:5])
+        fresh = np.concatenate([[last is None or (m[0], h[0]) != last[:2]], (m[1:] != m[:-1]) | (h[1:] != h[:-1])])
         at = np.maximum.accumulate(np.where(fresh, np.arange(len(h)), -1))
         head, first = at < 0, np.maximum(at, 0)
         fd, ft, fs = doc[first], t[first], start[first]
         if head.any():
             fd[head], ft[head], fs[head] = last[2:]
-        last = (h[-1], two[-1], fd[-1], ft[-1], fs[-1])
+        last = (m[-1], h[-1], fd[-1], ft[-1], fs[-1])
         other = (doc != fd) | (t != ft) | (start != fs)
         held.append((doc[other], t[other], start[other]))
         size += len(held[-1][0])
         if size >= 1_000_000:
-            yield pa.RecordBatch.from_arrays(marked(*(np.concatenate(x) for x in zip(*held, strict=True))), NAMES)
+            yield pa.RecordBatch.from_arrays(runs(*(np.concatenate(x) for x in zip(*held, strict=True))), MARKS)
             held, size = [], 0
     if size:
-        yield pa.RecordBatch.from_arrays(marked(*(np.concatenate(x) for x in zip(*held, strict=True))), NAMES)
+        yield pa.RecordBatch.from_arrays(runs(*(np.concatenate(x) for x in zip(*held, strict=True))), MARKS)
 
 
 def repeated_windows(docs: DataFrame, window: int = 20, cells_per_word: float = 0.75, max_cells: int = 1 << 29) -> DataFrame:
-    """For each document (doc, t) with repeated windows: packed starts of those that also start earlier.
+    """Runs of windows that also start earlier: doc, t, start of the first, n in a row.
 
-    A document may have several rows. ``docs`` has text, doc (id, or the largest long) and t (a hash of the text).
+    ``docs`` has text, doc (id, or the largest long) and t (a hash of the text).
     """
     spark = docs.sparkSession
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
@@ -272,8 +267,8 @@ def repeated_windows(docs: DataFrame, window: int = 20, cells_per_word: float =
     parts = docs.select("text").mapInArrow(sketches(window, bits), "segment long, once binary, more binary")
     rows = parts.groupBy("segment").applyInArrow(merged, "segment long, bits binary").toLocalIterator()  # at most max_cells / 4 bytes
     repeats = spark.sparkContext.broadcast(Repeats(bits, rows))
-    places = docs.select("text", "doc", "t").mapInArrow(candidates(window, repeats), "h long, g long, doc long, t int, starts binary")
-    return places.repartition("h").sortWithinPartitions("h", F.shiftrightunsigned("g", 32), "doc", "t", "g").mapInArrow(later_places, "doc long, t int, starts binary")
+    places = docs.select("text", "doc", "t").mapInArrow(candidates(window, repeats), "m long, h long, doc long, t int, start int, n int")
+    return places.repartition("m").sortWithinPartitions(*NAMES[:5]).mapInArrow(later_places, "doc long, t int, start int, n int")
 
 
 def keyed(documents: DataFrame) -> DataFrame:
@@ -283,25 +278,24 @@ def keyed(documents: DataFrame) -> DataFrame:
 def remove_repeats(documents: DataFrame, window: int = 20, **sketch) -> DataFrame:
     """documents (doc_id, text) -> doc_id, n_words, n_removed, kept (array of the words that stay, joined by one space)."""
     docs = keyed(documents)
-    marks = repeated_windows(docs, window, **sketch).groupBy("doc", "t").agg(F.collect_list("starts").alias("starts"))
+    marks = repeated_windows(docs, window, **sketch).groupBy("doc", "t").agg(F.collect_list("start").alias("starts"), F.collect_list("n").alias("lengths"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole):
                 words = Words(batch.column("text"))
-                lists = batch.column("starts")
-                filled = lists.fill_null([]) if lists.null_count else lists
-                owner_of = np.repeat(np.arange(len(filled)), pc.list_value_length(filled).to_numpy(zero_copy_only=False))
-                start, piece = unpacked(filled.flatten())
-                at = words.edges[owner_of[piece]] + start
+                starts, lengths = (batch.column(c) for c in ("starts", "lengths"))
+                starts, lengths = (x.fill_null([]) if x.null_count else x for x in (starts, lengths))
+                owner = np.repeat(np.arange(len(starts)), pc.list_value_length(starts).to_numpy(zero_copy_only=False))
+                at = words.edges[owner] + starts.flatten().to_numpy()
                 n = len(words.starts)
-                steps = np.bincount(at, minlength=n + 1) - np.bincount(at + window, minlength=n + 1)
+                steps = np.bincount(at, minlength=n + 1) - np.bincount(at + lengths.flatten().to_numpy() - 1 + window, minlength=n + 1)
                 keep = np.cumsum(steps[:n]) == 0
                 data, edges = words.joined(keep)
                 counts, gone = words.counts(), np.concatenate([[0], np.cumsum(~keep)])[words.edges]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts), pa.array(np.diff(gone)), texts(data, edges)], ["doc_id", "n_words", "n_removed", "kept"])
 
-    joined = docs.join(marks, ["doc", "t"], "left").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "starts")
+    joined = docs.join(marks, ["doc", "t"], "left").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "starts", "lengths")
     return joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
 
 
