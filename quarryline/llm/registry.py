@@ -12,11 +12,12 @@ from quarryline.llm.lm_score import op7_lm_score
 from quarryline.llm.mixing import MIX_SQL, op10_mixing
 from quarryline.llm.simhash import op8_simhash
 from quarryline.llm.substring_dedup import op9_substring_dedup
+from quarryline.llm.toxicity import op5_toxicity
 from quarryline.llm.url_filter import URL_SQL, op6_url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_line_dedup, op3_decontaminate, op6_url_filter, op7_lm_score, op8_simhash, op9_substring_dedup, op10_mixing]
+    found = [op1_line_dedup, op3_decontaminate, op5_toxicity, op6_url_filter, op7_lm_score, op8_simhash, op9_substring_dedup, op10_mixing]
     return {f.__name__: f for f in found}
 
 
