@@ -7,8 +7,9 @@ their places join it, and where they differ is one more variable field. What joi
 the next one, ``rounds`` times, and else stands for itself. A line goes if an earlier document
 (smaller doc_id) has a line of its template; within its first document a template stays as often as it comes.
 
-Lines travel as hashes. Texts of templates are gathered once each, and compared with one centre a
-round, never with each other. The earliest line of a template is pre-aggregated in each task, so a line
+Lines travel as hashes. Only under leaves with several templates texts are gathered, once a template (a
+bitmap of fixed size, sent along in the plan, passes by most others), and compared with one centre a round,
+never with each other. The earliest line of a template is pre-aggregated in each task, so a line
 that a third of all documents have costs one row a task; in the join that brings it back to its lines
 Spark splits skewed partitions.
 
@@ -59,31 +60,39 @@ def agree(a: Column, b: Column) -> Column:
     return same / F.size(x)
 
 
-def generalised(templates: DataFrame, similarity: float, rounds: int) -> DataFrame:
-    """leaf, key, rest, template, at -> leaf, key, rest, at, group: the hash pair of the centre it joined, or its own."""
-    kept = ["leaf", "key", "rest", "at"]
-    many = templates.groupBy("leaf").agg(F.count("*").alias("_n")).where("_n > 1").select("leaf")
-    open_ = templates.join(many, "leaf", "left_semi")
-    alone = templates.join(many, "leaf", "left_anti").select(*kept, F.struct("key", "rest").alias("group"))
-    settled = alone
+def maybe_in(leaves: DataFrame, bits: int = 20) -> Column:
+    """A test on ``leaf`` that is true for all of ``leaves`` and, by a bitmap of 2 ** bits, for few others."""
+    slot = F.pmod(F.col("leaf"), F.lit(1 << bits))
+    words = leaves.groupBy(F.shiftright(slot, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(leaf, {1 << bits}) % 64 as int))")).alias("x"))
+    held = {r["w"]: r["x"] for r in words.collect()}  # at most 2 ** (bits - 6) rows
+    bitmap = F.split(F.lit(",".join(str(held.get(w, 0)) for w in range(1 << (bits - 6)))), ",").cast("array<bigint>")
+    return F.getbit(F.element_at(bitmap, (F.shiftright(slot, 6) + 1).cast("int")), (slot % 64).cast("int")) == 1
+
+
+def generalised(documents: DataFrame, found: DataFrame, lead: int, least: int, similarity: float, rounds: int) -> DataFrame:
+    """leaf, key, rest, at, group of all templates: the hash pair of the centre it joined, or its own."""
+    name, kept = ["leaf", "key", "rest"], ["leaf", "key", "rest", "at"]
+    templates = found.groupBy(*name).agg(F.min(F.struct("_doc", "_t")).alias("at"))
+    many = cut(templates.groupBy("leaf").agg(F.count("*").alias("_n")).where("_n > 1").select("leaf"))
+    settled = templates.join(many, "leaf", "left_anti").select(*kept, F.struct("key", "rest").alias("group"))
+    spelt = lines(documents, lead, least).where(maybe_in(many)).groupBy(*name).agg(F.min("template").alias("template"))
+    open_ = templates.join(many, "leaf", "left_semi").join(spelt, name).select(*kept, "template")
     for _ in range(rounds):
         centre = open_.groupBy("leaf").agg(F.min(F.struct("at", "template", "key", "rest")).alias("c"))
-        met = cut(open_.join(centre, "leaf").withColumn("near", agree(F.col("template"), F.col("c.template")) >= similarity))
-        settled = settled.unionByName(met.where("near").select(*kept, F.struct("c.key", "c.rest").alias("group")))
+        met = open_.join(centre, "leaf").withColumn("near", agree(F.col("template"), F.col("c.template")) >= similarity)
+        met = cut(met.select(*kept, "near", F.struct("c.key", "c.rest").alias("group"), F.when(~F.col("near"), F.col("template")).alias("template")))
+        settled = settled.unionByName(met.where("near").select(*kept, "group"))
         open_ = met.where("not near").select(*kept, "template")
     return settled.unionByName(open_.select(*kept, F.struct("key", "rest").alias("group")))
 
 
 def repeated_lines(documents: DataFrame, lead: int = 3, least: int = 3, similarity: float = 0.8, rounds: int = 2) -> DataFrame:
     """_doc, _t, line_no of every line whose template an earlier document has."""
-    found = lines(documents, lead, least)
-    at = F.struct("_doc", "_t")
-    templates = found.groupBy("leaf", "key", "rest").agg(F.min(F.struct(at.alias("at"), "template")).alias("m")).select("leaf", "key", "rest", "m.at", "m.template")
-    grouped = generalised(cut(templates), similarity, rounds)
+    found = cut(lines(documents, lead, least).select("_doc", "_t", "line_no", "leaf", "key", "rest"))
+    grouped = generalised(documents, found, lead, least, similarity, rounds)
     firsts = grouped.groupBy("leaf", "group").agg(F.min("at").alias("first"))
     owner = grouped.join(firsts, ["leaf", "group"]).select("leaf", "key", "rest", "first")
-    places = found.select("_doc", "_t", "line_no", "leaf", "key", "rest")
-    return places.join(owner, ["leaf", "key", "rest"]).where(at != F.col("first")).select("_doc", "_t", "line_no")
+    return found.join(owner, ["leaf", "key", "rest"]).where(F.struct("_doc", "_t") != F.col("first")).select("_doc", "_t", "line_no")
 
 
 def dedup_lines(documents: DataFrame, **settings) -> DataFrame:
