@@ -6,9 +6,9 @@ often it comes from a Poisson distribution of that mean, inverted at a uniform n
 seed and doc_id: the draw depends on nothing else, so a lost executor's work gives the same rows. The
 document is exploded by its count, and the copies are dealt over all partitions and sorted by a hash.
 
-Sums a source are pre-aggregated in each task; what is joined back is a row a source, and Spark broadcasts
-it only when its measured size is below the session's threshold (beyond it, a sort-merge join whose
-skewed partitions are split).
+Sums a source are pre-aggregated in each task; what is joined back is a row a source. With at most
+MOST_SOURCES sources, which are counted, these rows are broadcast; beyond that they are joined by source, and
+Spark splits skewed partitions.
 
 Edge cases: a null source is a source of its own; a null doc_id draws as the empty text; rows with
 equal doc_id draw alike, each for itself; a null or empty text counts one character; sources without a
@@ -21,10 +21,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarryline.llm.common import table
+from quarryline.llm.common import cut, table
 
 #: Poisson draws of a larger mean are sums of draws of equal smaller ones, for exp(-mean) must not vanish.
 LARGEST_MEAN = 200.0
+#: Up to so many sources their rates are broadcast (some 100 bytes each).
+MOST_SOURCES = 10_000
 #: Hexadecimal digits of an md5 that make a uniform number below 1.
 DIGITS = 13
 
@@ -64,6 +66,7 @@ def rates(documents: DataFrame, weights: dict[str, float] | None = None, power:
     else:
         weight = F.coalesce(F.create_map(*[F.lit(x) for kv in weights.items() for x in (kv[0], float(kv[1]))])[F.col("source")], F.lit(0.0)) if weights else F.lit(0.0)
     weighed = sizes.select("source", "chars", weight.alias("weight"))
+    weighed = cut(weighed)  # a row a source
     totals = weighed.agg(F.sum("weight").alias("all_weight"), F.sum("chars").alias("all_chars")).first()
     share = F.col("weight") / F.lit(totals["all_weight"] or 1.0)
     return weighed.select("source", share.alias("share"), (share * F.lit(totals["all_chars"] or 0.0) * F.lit(float(epochs)) / F.col("chars")).alias("rate"))
@@ -74,6 +77,8 @@ def mix(documents: DataFrame, weights: dict[str, float] | None = None, power: fl
     added = ("copy", "shuffle_key")
     own = [c for c in documents.columns if c not in added]
     means = rates(documents, weights, power, epochs).select(F.col("source").alias("_source"), F.col("rate").alias("_rate"))
+    if means.limit(MOST_SOURCES + 1).count() <= MOST_SOURCES:
+        means = F.broadcast(means)
     met = documents.select(*own).join(means, F.col("source").eqNullSafe(F.col("_source")))
     drawn = met.withColumn("_n", poisson_count(F.col("_rate"), seed, F.col("doc_id"))).where("_n > 0")
     copies = drawn.select(*own, F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("copy"))
