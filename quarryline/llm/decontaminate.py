@@ -24,6 +24,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarryline.llm.common import PLAIN_WORD, U64, ascii_lower, ragged, table
 from quarryline.llm.words import PLAIN, Words, slices, word_hash
@@ -192,14 +193,16 @@ def _searched(batch: pa.RecordBatch, postings: Postings, block: Block, slop: int
     return [pa.array(c, kind) for c, kind in zip([postings.n_words.tolist(), *cols], FOUND_TYPES, strict=True)]
 
 
-def matches(documents: DataFrame, items: DataFrame, window: int = 8, slop: int = 1, block_words: int = 1_000_000) -> DataFrame:
-    """documents (doc_id, text), items (item_id, text) -> doc_id, n_words, spans, items, near.
+def matches(documents: DataFrame, items: DataFrame, window: int = 8, slop: int = 1, block_words: int = 1_000_000, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """documents (doc_id, text), items (item_id, text) -> the columns ``keep``, n_words, spans, items, near.
 
     ``spans``: [start, end) of the words inside exact matches, merged. ``items``: ids, as sorted strings,
     of the items with an exactly matching phrase; ``near``: with a match within ``slop``, exact ones included.
     """
     spark = documents.sparkSession
-    found = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    own = [f"_{n}" for n in range(len(keep))]  # no name of theirs can clash with an added one
+    found = documents.select(*[F.col(c).alias(n) for c, n in zip(keep, own, strict=True)], F.col("text").cast("string").alias("text"))
+    fields = found.schema.fields[:-1]
     passes = list(blocks(items, window, block_words)) or [Block([], window)]
     for number, block in enumerate(passes):
         last = number == len(passes) - 1
@@ -210,10 +213,11 @@ def matches(documents: DataFrame, items: DataFrame, window: int = 8, slop: int =
                 for batch in slices(whole, most=16 << 20):
                     postings = Postings.of_texts(batch.column("text"), held.value.terms, len(held.value.vocabulary))
                     cols = _searched(batch, postings, held.value, slop)
-                    yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *([] if last else [batch.column("text")]), *cols], ["doc_id", *([] if last else ["text"]), "n_words", "spans", "items", "near"])
+                    yield pa.RecordBatch.from_arrays([*map(batch.column, own), *([] if last else [batch.column("text")]), *cols], [*own, *([] if last else ["text"]), "n_words", "spans", "items", "near"])
 
-        found = found.mapInArrow(run, f"doc_id long, {'' if last else 'text string, '}{FOUND}")
-    return found
+        added = T.StructType.fromDDL(f"{'' if last else 'text string, '}{FOUND}")
+        found = found.mapInArrow(run, T.StructType([*fields, *added.fields]))
+    return found.select(*[F.col(n).alias(c) for c, n in zip(keep, own, strict=True)], *[F.col(c) for c in ("n_words", "spans", "items", "near") if c not in keep])
 
 
 def build_index(documents: DataFrame, items: DataFrame, window: int = 8, block_words: int = 1_000_000) -> tuple[DataFrame, Block]:
@@ -254,12 +258,13 @@ def search_index(index: DataFrame, block: Block, slop: int = 1) -> DataFrame:
     return index.mapInArrow(run, f"doc_id long, {FOUND}")
 
 
-def report(found: DataFrame, least_items: int = 2) -> DataFrame:
+def report(found: DataFrame, least_items: int = 2, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The digest of :func:`matches`; a document with ``least_items`` items or more is contaminated."""
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + (s[1] - s[0]).cast("long"))
     n = F.size("items").cast("long")
-    return found.select("doc_id", "n_words", hit.alias("n_hit"), n.alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (n >= least_items).alias("contaminated"), F.size("near").cast("long").alias("n_near_items"))
+    return found.select(*keep, "n_words", hit.alias("n_hit"), n.alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (n >= least_items).alias("contaminated"), F.size("near").cast("long").alias("n_near_items"))
 
 
 def op3_decontaminate(spark, sf_dir: str) -> DataFrame:
-    return report(matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+    documents = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return report(matches(documents, table(spark, sf_dir, "benchmark")))

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corpus_pipeline import pipeline
 from quarryline.llm.decontaminate import op3_decontaminate
 from quarryline.llm.line_dedup import LINES_SQL, op1_line_dedup
 from quarryline.llm.lm_score import op7_lm_score
@@ -17,7 +18,7 @@ from quarryline.llm.url_filter import URL_SQL, op6_url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_line_dedup, op3_decontaminate, op5_toxicity, op6_url_filter, op7_lm_score, op8_simhash, op9_substring_dedup, op10_mixing]
+    found = [op1_line_dedup, op3_decontaminate, op5_toxicity, op6_url_filter, op7_lm_score, op8_simhash, op9_substring_dedup, op10_mixing, pipeline]
     return {f.__name__: f for f in found}
 
 

@@ -35,6 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarryline.llm.common import ascii_lower, crc_fold, table
 from quarryline.llm.words import Words, slices
@@ -376,22 +377,23 @@ def training_rows(documents: DataFrame, labels: DataFrame, most: int, longest: i
 
 
 def scores(documents: DataFrame, labels: DataFrame, most: int = 500, longest: int = 6_000, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns of documents, and score."""
+    """``keep`` columns of documents, and score (which takes the place of one so named)."""
     machine = fit(*training_rows(documents, labels, most, longest))
+    own = [f"_{n}" for n in range(len(keep))]  # no name of theirs can clash with an added one
+    named = [F.col(n).alias(c) for c, n in zip(keep, own, strict=True) if c != "score"]
+    judged = documents.select(*[F.col(c).alias(n) for c, n in zip(keep, own, strict=True)], F.col("text").cast("string").alias("judged"))
     if machine is None:
-        return documents.select(*keep, F.lit(0.0).alias("score"))
+        return judged.select(*named, F.lit(0.0).alias("score"))
     held = documents.sparkSession.sparkContext.broadcast(machine)
-    fields = [f for f in documents.select(*keep).schema.fields]
+    fields = judged.schema.fields[:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "_judged", 4 << 20):
-                p = held.value.probability(held.value.highest(batch.column("_judged")))
-                yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in fields), pa.array(p)], [*(f.name for f in fields), "score"])
+            for batch in slices(whole, "judged", 4 << 20):
+                p = held.value.probability(held.value.highest(batch.column("judged")))
+                yield pa.RecordBatch.from_arrays([*map(batch.column, own), pa.array(p)], [*own, "score"])
 
-    from pyspark.sql import types as T
-
-    return documents.select(*keep, F.col("text").alias("_judged")).mapInArrow(run, T.StructType([*fields, T.StructField("score", T.DoubleType())]))
+    return judged.mapInArrow(run, T.StructType([*fields, T.StructField("score", T.DoubleType())])).select(*named, "score")
 
 
 def op5_toxicity(spark, sf_dir: str) -> DataFrame:
