@@ -11,6 +11,7 @@ from quarryline.llm.decontaminate import op3_decontaminate
 from quarryline.llm.line_dedup import LINES_SQL, op1_line_dedup
 from quarryline.llm.lm_score import op7_lm_score
 from quarryline.llm.mixing import MIX_SQL, op10_mixing
+from quarryline.llm.neighbours import op4_neighbours
 from quarryline.llm.simhash import op8_simhash
 from quarryline.llm.substring_dedup import op9_substring_dedup
 from quarryline.llm.toxicity import op5_toxicity
@@ -18,7 +19,7 @@ from quarryline.llm.url_filter import URL_SQL, op6_url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_line_dedup, op3_decontaminate, op5_toxicity, op6_url_filter, op7_lm_score, op8_simhash, op9_substring_dedup, op10_mixing, pipeline]
+    found = [op1_line_dedup, op3_decontaminate, op4_neighbours, op5_toxicity, op6_url_filter, op7_lm_score, op8_simhash, op9_substring_dedup, op10_mixing, pipeline]
     return {f.__name__: f for f in found}
 
 
