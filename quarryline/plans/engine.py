@@ -154,7 +154,7 @@ class Compiler:
             elif key in df.columns:
                 kind = df.schema[key].dataType
                 out.append(field_condition(df[key], kind, key in self.table.json, value, lambda c, df=df: self._ref(df, c)))
-            elif compound := self._compound(key, value, df):
+            elif (compound := self._compound(key, value, df)) is not None:
                 out.append(compound)
             else:
                 raise ValidationError(f"unknown field {key} of {self.table.name}; known: {', '.join(df.columns)}")
@@ -519,8 +519,10 @@ def attach(engine: Engine, meta: Table, page: DataFrame, with_: dict, shown: lis
         if spec is False or spec is None:
             continue
         child = related(engine, relation, page, {} if spec is True else given(spec), skip, depth, f"_r_{name}")
-        on = everything([out[c] == child[f"_k{n}"] for n, c in enumerate(relation.here)])
-        out = out.join(child, on, "left").drop(*[f"_k{n}" for n in range(len(relation.here))])
+        own = [f"_c{depth}_{n}" for n in range(len(relation.here))]  # the page may have keys of its own
+        child = child.withColumnsRenamed({f"_k{n}": c for n, c in enumerate(own)})
+        on = everything([out[c] == child[n] for n, c in zip(own, relation.here, strict=True)])
+        out = out.join(child, on, "left").drop(*own)
         made = F.col(f"_r_{name}")
         extra.append((made if relation.single else F.coalesce(made, F.array().cast(child.schema[f"_r_{name}"].dataType))).alias(name))
     return out.select(*[F.col(c) for c in shown], *extra)
