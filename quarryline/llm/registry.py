@@ -14,12 +14,13 @@ from quarryline.llm.mixing import MIX_SQL, op10_mixing
 from quarryline.llm.neighbours import op4_neighbours
 from quarryline.llm.simhash import op8_simhash
 from quarryline.llm.substring_dedup import op9_substring_dedup
+from quarryline.llm.token_counts import op2_token_counts
 from quarryline.llm.toxicity import op5_toxicity
 from quarryline.llm.url_filter import URL_SQL, op6_url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_line_dedup, op3_decontaminate, op4_neighbours, op5_toxicity, op6_url_filter, op7_lm_score, op8_simhash, op9_substring_dedup, op10_mixing, pipeline]
+    found = [op1_line_dedup, op2_token_counts, op3_decontaminate, op4_neighbours, op5_toxicity, op6_url_filter, op7_lm_score, op8_simhash, op9_substring_dedup, op10_mixing, pipeline]
     return {f.__name__: f for f in found}
 
 
