@@ -21,12 +21,15 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarryline.llm.common import table
+from quarryline.llm.common import cut, table
 
 UPPER, LOWERED = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The symbols that have a code of their own, from 1; digits fold to 0, all others to code 0.
 SYMBOLS = LOWERED + "0./-_"
 SIZE = len(SYMBOLS) + 1
+#: How they are folded to the characters from @ to _, and what stands there already to @.
+ALL = SYMBOLS + "123456789" + "@[]\\^"
+FOLDED = "".join(chr(65 + k) for k in range(len(SYMBOLS))) + "[" * 9 + "@@@@@"
 #: Fixed rules of the contract, as (rule, verdict).
 RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
 
@@ -48,23 +51,25 @@ def rule_for(host: Column, path: Column, rules=RULES) -> Column:
     return out
 
 
-def codes(host: Column, path: Column) -> Column:
-    """Symbol codes, 0 to 31, of host and path."""
-    text = F.translate(F.concat(host, F.translate(path, UPPER, LOWERED)), "123456789", "000000000")
-    return F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.when(F.length(text) > 0, F.instr(F.lit(SYMBOLS), F.substring(text, i, F.lit(1)))).otherwise(0))
+def folded(host: Column, path: Column) -> Column:
+    """Host and path as symbols: the characters from @ (code 0) to _ (code 31) stand for the 32 symbols."""
+    text = F.translate(F.concat(host, F.translate(path, UPPER, LOWERED)), ALL, FOLDED)
+    return F.regexp_replace(text, "[^@-_]", "@")
 
 
-def grams(code: str, order: int) -> Column:
-    """For each position the number that its symbol and the ``order`` before it spell; before the text stand zeros."""
-    c = F.col(code)
+def grams(word: str, order: int) -> Column:
+    """Each symbol of a folded text with the ``order`` before it; before the text stand zeros."""
+    padded = F.concat(F.lit("@" * order), F.col(word))
+    n = F.length(F.col(word))
+    return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(padded, i, F.lit(order + 1)))).otherwise(F.array().cast("array<string>"))
 
-    def at(i: Column) -> Column:
-        out = F.lit(0)
-        for back in range(order, -1, -1):
-            out = out * SIZE + F.when(i > back, F.element_at(c, F.greatest(F.lit(1), i - back))).otherwise(0)
-        return out
 
-    return F.transform(F.filter(F.sequence(F.lit(1), F.size(c)), lambda i: i <= F.size(c)), at)
+def number(gram: Column, order: int) -> Column:
+    """A gram's symbols read as the digits of a number."""
+    out = F.lit(0)
+    for k in range(order + 1):
+        out = out * SIZE + (F.ascii(F.substring(gram, k + 1, 1)) - 64)
+    return out
 
 
 @dataclass
@@ -80,7 +85,8 @@ class Ratio:
         if self.ratios is None:
             return F.lit(0.0)
         held = F.split(F.lit(self.ratios), ",").cast("array<double>")
-        total = F.aggregate(gram, F.lit(0.0), lambda s, g: s + F.element_at(held, g + 1))
+        order = self.order
+        total = F.aggregate(gram, F.lit(0.0), lambda s, g: s + F.element_at(held, number(g, order) + 1))
         return total / F.greatest(F.lit(1), F.size(gram))
 
     def verdict(self, score: Column) -> Column:
@@ -90,23 +96,23 @@ class Ratio:
 def log_ratios(counts: DataFrame, order: int) -> DataFrame:
     """gram, a, b (how often in allowed and blocked URLs) -> gram, ratio, for every gram there can be."""
     spark = counts.sparkSession
-    p = spark.range(SIZE).select(F.col("id").cast("int").alias("gram"), F.lit(1.0 / SIZE).alias("pa"), F.lit(1.0 / SIZE).alias("pb"))
+    p = spark.range(0, SIZE, 1, 1).select(F.col("id").cast("int").alias("gram"), F.lit(1.0 / SIZE).alias("pa"), F.lit(1.0 / SIZE).alias("pb"))
     for k in range(order + 1):
         n = counts.groupBy((F.col("gram") % SIZE ** (k + 1)).alias("gram")).agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
         seen = n.groupBy(F.floor(F.col("gram") / SIZE).cast("int").alias("context")).agg(
             F.sum("a").alias("na"), F.sum("b").alias("nb"), F.sum((F.col("a") > 0).cast("long")).alias("ta"), F.sum((F.col("b") > 0).cast("long")).alias("tb")
         )
-        every = spark.range(SIZE ** (k + 1)).select(F.col("id").cast("int").alias("gram"))
+        every = spark.range(0, SIZE ** (k + 1), 1, 1).select(F.col("id").cast("int").alias("gram"))
         lower = p.select(F.col("gram").alias("shorter"), F.col("pa").alias("la"), F.col("pb").alias("lb"))
-        met = every.join(n, "gram", "left").join(seen, F.floor(F.col("gram") / SIZE) == F.col("context"), "left")
-        met = met.join(lower, F.col("gram") % SIZE ** max(k, 1) == F.col("shorter"))
+        met = every.join(F.broadcast(n), "gram", "left").join(F.broadcast(seen), F.floor(F.col("gram") / SIZE) == F.col("context"), "left")
+        met = met.join(F.broadcast(lower), F.col("gram") % SIZE ** max(k, 1) == F.col("shorter"))
         zero = F.lit(0)
 
         def mixed(x: str) -> Column:
             count, total, kinds = (F.coalesce(f"{name}{x}", zero) for name in ("", "n", "t"))
             return F.when(total == 0, F.col(f"l{x}")).otherwise((count + kinds * F.col(f"l{x}")) / (total + kinds))
 
-        p = met.select("gram", mixed("a").alias("pa"), mixed("b").alias("pb"))
+        p = cut(met.select("gram", mixed("a").alias("pa"), mixed("b").alias("pb")))
     return p.select("gram", (F.log("pa") - F.log("pb")).alias("ratio"))
 
 
@@ -114,13 +120,15 @@ def train(urls: DataFrame, order: int = 2) -> Ratio:
     """``urls`` has gram (array) and verdict (allow or block)."""
     flat = urls.select("verdict", F.explode("gram").alias("gram"))
     counts = flat.groupBy("gram").agg(F.sum((F.col("verdict") == "allow").cast("long")).alias("a"), F.sum((F.col("verdict") == "block").cast("long")).alias("b"))
+    counts = cut(counts.select(number(F.col("gram"), order).alias("gram"), "a", "b").coalesce(1))  # at most SIZE ** (order + 1) rows
     sides = counts.agg(F.sum("a").alias("a"), F.sum("b").alias("b")).first()
     if not sides["a"] or not sides["b"]:
         return Ratio(None, 0.0, order)
     in_order = F.transform(F.array_sort(F.collect_list(F.struct("gram", "ratio"))), lambda x: x["ratio"].cast("string"))
     ratios = log_ratios(counts, order).agg(F.array_join(in_order, ",").alias("ratios")).first()["ratios"]  # SIZE ** (order + 1) numbers
     model = Ratio(ratios, 0.0, order)
-    marks = urls.groupBy("verdict").agg(F.avg(model.score("gram")).alias("mean"), F.stddev_pop(model.score("gram")).alias("sd")).collect()  # two rows
+    scored = urls.select("verdict", model.score("gram").alias("score"))
+    marks = scored.groupBy("verdict").agg(F.avg("score").alias("mean"), F.stddev_pop("score").alias("sd")).collect()  # two rows
     at = {r["verdict"]: (r["mean"], r["sd"]) for r in marks}
     (ma, sa), (mb, sb) = at["allow"], at["block"]
     model.threshold = (ma * sb + mb * sa) / (sa + sb) if sa + sb > 0 else (ma + mb) / 2
@@ -134,8 +142,8 @@ def judge(pages: DataFrame, rules=RULES, order: int = 2) -> DataFrame:
     by_rule = F.lit(None).cast("string")
     for rule, verdict in rules:
         by_rule = F.when(F.col("rule") == rule, F.lit(verdict)).otherwise(by_rule)
-    coded = ruled.withColumn("by_rule", by_rule).withColumn("code", F.when(F.length(F.concat("host", "path")) > 0, codes(F.col("host"), F.col("path"))).otherwise(F.array().cast("array<int>")))
-    spelt = coded.withColumn("gram", grams("code", order))
+    coded = ruled.withColumn("by_rule", by_rule).withColumn("word", folded(F.col("host"), F.col("path")))
+    spelt = coded.withColumn("gram", grams("word", order))
     model = train(spelt.where("by_rule IS NOT NULL").select("gram", F.col("by_rule").alias("verdict")), order)
     score = model.score("gram")
     return spelt.select("page_id", "host", "path", "rule", F.coalesce("by_rule", model.verdict(score)).alias("verdict"), score.alias("ratio"))
