@@ -61,7 +61,11 @@ def contained(column: Column, pattern: object, path: str = "$") -> Column:
         return reduce(lambda a, b: a & b, inner, F.coalesce(F.startswith(F.ltrim(at), F.lit("{")), F.lit(False)))
     if isinstance(pattern, list):
         items = F.from_json(at, "array<string>")
-        inner = [F.coalesce(F.exists(items, lambda x, p=p: contained(x, p) if isinstance(p, dict | list) else x == json_text(p)), F.lit(False)) for p in pattern]
+
+        def some(wanted: object) -> Column:
+            return F.coalesce(F.exists(items, lambda x: contained(x, wanted) if isinstance(wanted, dict | list) else x == json_text(wanted)), F.lit(False))
+
+        inner = [some(p) for p in pattern]
         return reduce(lambda a, b: a & b, inner, F.coalesce(F.startswith(F.ltrim(at), F.lit("[")), F.lit(False)))
     return F.coalesce(at == json_text(pattern), F.lit(False))
 
