@@ -39,18 +39,23 @@ def keyed(documents: DataFrame) -> DataFrame:
 
 
 def lines(documents: DataFrame, lead: int, least: int) -> DataFrame:
-    """_doc, _t, line_no, n, leaf, key, rest, template of every line of ``least`` tokens or more.
+    """_doc, _t, line_no, leaf, key, rest, template of every line of ``least`` tokens or more.
 
     ``key`` and ``rest`` are two hashes of the template, ``template`` its tokens, joined by a space.
     """
     spread = keyed(documents).select("_doc", "_t", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    plain = F.array_remove(F.split("line", SPACE, -1), "")
-    marked = F.when(F.col("line").rlike("[0-9]"), F.array_remove(F.split(F.regexp_replace("line", FIELD, MARK), SPACE, -1), "")).otherwise(F.col("plain"))
-    fields = F.size(F.filter("marked", lambda x: x == MARK))
-    tokens = F.when(F.col("line").rlike("[0-9]") & (fields * 2 <= F.size("plain")), F.col("marked")).otherwise(F.col("plain"))
-    cutup = spread.withColumn("plain", plain).where(F.size("plain") >= least).withColumn("marked", marked).withColumn("tokens", tokens)
-    found = cutup.select("_doc", "_t", "line_no", F.size("tokens").alias("n"), F.slice("tokens", 1, lead).alias("first"), F.array_join("tokens", " ").alias("template"))
-    return found.select("_doc", "_t", "line_no", "n", F.xxhash64("n", "first").alias("leaf"), F.xxhash64("template").alias("key"), F.hash("template").alias("rest"), "template")
+
+    def words(text: Column) -> Column:
+        # most lines have no white space but spaces, and splitting at one character needs no pattern
+        odd = F.contains(text, F.lit("\t")) | F.contains(text, F.lit("\r")) | F.contains(text, F.lit("\x0b")) | F.contains(text, F.lit("\x0c"))
+        return F.array_remove(F.when(odd, F.split(text, SPACE, -1)).otherwise(F.split(text, " ", -1)), "")
+
+    cutup = spread.withColumn("plain", words(F.col("line"))).where(F.size("plain") >= least).withColumn("digits", F.col("line").rlike("[0-9]"))
+    cutup = cutup.withColumn("marked", F.when(F.col("digits"), words(F.regexp_replace("line", FIELD, MARK))))
+    few = F.col("digits") & (F.size(F.filter("marked", lambda x: x == MARK)) * 2 <= F.size("plain"))
+    found = cutup.select("_doc", "_t", "line_no", F.when(few, F.col("marked")).otherwise(F.col("plain")).alias("tokens"))
+    hashes = (F.xxhash64(F.size("tokens"), F.slice("tokens", 1, lead)).alias("leaf"), F.xxhash64("tokens").alias("key"), F.hash("tokens").alias("rest"))
+    return found.select("_doc", "_t", "line_no", *hashes, F.array_join("tokens", " ").alias("template"))
 
 
 def agree(a: Column, b: Column) -> Column:
