@@ -59,10 +59,7 @@ class Encoder:
     def pieces(self, text: str) -> tuple[list[int], list[int]]:
         """Length and token count of every pre-token."""
         found = self.pattern.findall(text)
-        known = self.known
-        for piece in set(found) - known.keys():
-            self.count(piece)
-        get = known.get
+        get = self.known.get
         return list(map(len, found)), [get(p) or self.count(p) for p in found]
 
 
