@@ -3,13 +3,16 @@
 A line's tokens are its words between white space; a token with a digit is a variable field. The tree has
 a fixed depth: number of tokens, then the first ``lead`` tokens, fields generalised. Under each leaf the
 template with the earliest line is a centre; templates that agree with it in ``similarity`` or more of
-their places join it, and where they differ is one more variable field. What joins no centre may join
-the next one, ``rounds`` times, and else stands for itself. A line goes if an earlier document
-(smaller doc_id) has a line of its template; within its first document a template stays as often as it comes.
+their places join it, and where they differ is one more variable field. Of what is left the earliest is the
+next centre, until nothing is left: a template joins the earliest centre it agrees with, or is one.
+A line goes if an earlier document (smaller doc_id) has a line of its template; within its first document
+a template stays as often as it comes.
 
 Lines travel as hashes. Only under leaves with several templates texts are gathered, once a template (a
-bitmap of fixed size, sent along in the plan, passes by most others), and compared with one centre a round,
-never with each other. The earliest line of a template is pre-aggregated in each task, so a line
+bitmap of fixed size, sent along in the plan, passes by most others). Templates that agree have one of a few
+stretches of tokens in common (``filed``), so what shares none stands for itself. Each round makes centres of all
+templates that come first in all their stretches, as nothing can come before them, and compares the
+others with these only, at most one a stretch, never with each other. Rounds go on until all are settled. The earliest line of a template is pre-aggregated in each task, so a line
 that a third of all documents have costs one row a task; in the join that brings it back to its lines
 Spark splits skewed partitions.
 
@@ -21,7 +24,7 @@ comes last. Columns pass through; n_chars, if there, is set anew.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarryline.llm.common import cut, table
@@ -74,27 +77,66 @@ def maybe_in(leaves: DataFrame, bits: int = 20) -> Column:
     return F.getbit(F.element_at(bitmap, (F.shiftright(slot, 6) + 1).cast("int")), (slot % 64).cast("int")) == 1
 
 
-def generalised(documents: DataFrame, found: DataFrame, lead: int, least: int, similarity: float, rounds: int) -> DataFrame:
+def filed(lead: int, similarity: float) -> Column:
+    """What a template is filed under: hashes of its leaf and of one stretch of the tokens after the first ``lead``.
+
+    Of two templates that agree in ``similarity`` of their places at most ``apart`` differ, so of
+    ``apart`` + 1 stretches one is equal. Where there are fewer places than that, the leaf is the only key.
+    """
+    tokens = F.split("template", " ", -1)
+    apart = F.floor(F.size(tokens) * (1 - similarity) + 1e-6)
+    parts = F.when(apart < F.size(tokens) - lead, apart + 1).otherwise(F.lit(1)).cast("int")
+
+    def key(x: Column, k: Column) -> Column:
+        behind = F.size(x.words) - lead
+        start, stop = F.floor(k * behind / x.parts).cast("int"), F.floor((k + 1) * behind / x.parts).cast("int")
+        return F.xxhash64("leaf", k, F.when(x.apart < behind, F.slice(x.words, start + 1 + lead, stop - start)))
+
+    # inside a function of an array's elements the tokens are cut up once, not once a stretch
+    cutup = F.array(F.struct(tokens.alias("words"), apart.alias("apart"), parts.alias("parts")))
+    return F.element_at(F.transform(cutup, lambda x: F.when(x.apart > 0, F.transform(F.sequence(F.lit(0), x.parts - 1), lambda k: key(x, k)))), 1)
+
+
+def generalised(documents: DataFrame, found: DataFrame, lead: int, least: int, similarity: float) -> DataFrame:
     """leaf, key, rest, at, group of all templates: the hash pair of the centre it joined, or its own."""
     name, kept = ["leaf", "key", "rest"], ["leaf", "key", "rest", "at"]
     templates = found.groupBy(*name).agg(F.min(F.struct("_doc", "_t")).alias("at"))
     many = cut(templates.groupBy("leaf").agg(F.count("*").alias("_n")).where("_n > 1").select("leaf"))
     settled = templates.join(many, "leaf", "left_anti").select(*kept, F.struct("key", "rest").alias("group"))
     spelt = lines(documents, lead, least).where(maybe_in(many)).groupBy(*name).agg(F.min("template").alias("template"))
-    open_ = templates.join(many, "leaf", "left_semi").join(spelt, name).select(*kept, "template")
-    for _ in range(rounds):
-        centre = open_.groupBy("leaf").agg(F.min(F.struct("at", "template", "key", "rest")).alias("c"))
-        met = open_.join(centre, "leaf").withColumn("near", agree(F.col("template"), F.col("c.template")) >= similarity)
-        met = cut(met.select(*kept, "near", F.struct("c.key", "c.rest").alias("group"), F.when(~F.col("near"), F.col("template")).alias("template")))
-        settled = settled.unionByName(met.where("near").select(*kept, "group"))
-        open_ = met.where("not near").select(*kept, "template")
-    return settled.unionByName(open_.select(*kept, F.struct("key", "rest").alias("group")))
-
-
-def repeated_lines(documents: DataFrame, lead: int = 3, least: int = 3, similarity: float = 0.8, rounds: int = 2) -> DataFrame:
+    place = F.row_number().over(Window.partitionBy("leaf", "at").orderBy("template", "key", "rest"))
+    spelt = templates.join(many, "leaf", "left_semi").join(spelt, name).withColumn("place", place)
+    spelt = cut(spelt.select(*kept, F.struct("at", "place", "key", "rest").alias("me"), "template", filed(lead, similarity).alias("files")))
+    under = spelt.select(*name, F.explode("files").alias("file"))
+    shared = under.groupBy("file").agg(F.count("*").alias("_n")).where("_n > 1").select("file")
+    files = under.join(shared, "file").groupBy(*name).agg(F.collect_list("file").alias("files"))
+    met = cut(spelt.select(*kept, "me").join(files, name, "left"))
+    settled = settled.unionByName(met.where("files IS NULL").select(*kept, F.struct("key", "rest").alias("group")))
+    left = met.where("files IS NOT NULL").select("leaf", "me", "files", F.when(F.lit(False), F.col("me")).alias("centre"))
+    # rounds are many and small: merge joins, for each broadcast stays in the driver's memory for a while
+    while not left.isEmpty():
+        each = left.select("leaf", "me", "centre", F.explode("files").alias("file"))
+        first = each.where("centre IS NULL").groupBy("file").agg(F.min("me").alias("first"))
+        # the earliest open template of all that share a file with this one; itself, if nothing can come before it
+        ahead = each.join(first.hint("merge"), "file", "left").groupBy("leaf", "me").agg(F.min("first").alias("first"))
+        done = F.when(F.col("centre").isNull(), F.col("first") == F.col("me")).otherwise(F.col("first").isNull() | (F.col("first") > F.col("centre")))
+        now = cut(left.join(ahead.hint("merge"), ["leaf", "me"]).withColumn("done", done).drop("first"))
+        group = F.struct(F.coalesce("centre.key", "me.key").alias("key"), F.coalesce("centre.rest", "me.rest").alias("rest")).alias("group")
+        settled = settled.unionByName(now.where("done").select("leaf", "me.key", "me.rest", "me.at", group))
+        new = now.where("done AND centre IS NULL").select(F.explode("files").alias("file"), F.col("me").alias("new"))
+        left = now.where("NOT done").drop("done")
+        pairs = left.select("leaf", "me", "centre", F.explode("files").alias("file")).join(new.hint("merge"), "file").where(F.col("new") < F.coalesce("centre", "me"))
+        near = pairs.select("leaf", "me", "new").distinct().join(spelt.select("leaf", "me", F.col("template").alias("one")).hint("merge"), ["leaf", "me"])
+        near = near.join(spelt.select("leaf", F.col("me").alias("new"), F.col("template").alias("other")).hint("merge"), ["leaf", "new"])
+        near = near.where(agree(F.col("one"), F.col("other")) >= similarity).groupBy("leaf", "me").agg(F.min("new").alias("new"))
+        left = cut(left.join(near.hint("merge"), ["leaf", "me"], "left").select("leaf", "me", "files", F.coalesce("new", "centre").alias("centre")))
+    return settled
+
+
+def repeated_lines(documents: DataFrame, lead: int = 3, least: int = 3, similarity: float = 0.8) -> DataFrame:
     """_doc, _t, line_no of every line whose template an earlier document has."""
     found = cut(lines(documents, lead, least).select("_doc", "_t", "line_no", "leaf", "key", "rest"))
-    grouped = generalised(documents, found, lead, least, similarity, rounds)
+    grouped = generalised(documents, found, lead, least, similarity)
     firsts = grouped.groupBy("leaf", "group").agg(F.min("at").alias("first"))
     owner = grouped.join(firsts, ["leaf", "group"]).select("leaf", "key", "rest", "first")
     return found.join(owner, ["leaf", "key", "rest"]).where(F.struct("_doc", "_t") != F.col("first")).select("_doc", "_t", "line_no")

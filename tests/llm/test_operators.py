@@ -153,6 +153,31 @@ def test_line_dedup(spark, docs, empty):
     assert line_dedup.dedup_lines(empty).count() == 0 and line_dedup.dedup_lines(docs).count() == len(corpus())
 
 
+def test_line_dedup_under_full_leaves(spark):
+    rnd = random.Random(5)
+    rows = []
+    bases = [[rnd.choice("abcdefgh") + rnd.choice("xyz") for _ in range(n)] for n in (2, 6, 7, 12) for _ in range(5)]
+    for d in range(40):
+        said = [[w if rnd.random() < 0.9 else rnd.choice("uvw") for w in rnd.choice(bases)] for _ in range(4)]
+        rows.append((d, "\n".join(" ".join(["on", "this", "day", *x]) for x in said)))
+    born = {}
+    for d, text in rows:
+        for line in text.split("\n"):
+            born.setdefault(tuple(line.split()), d)
+    centres, group = [], {}
+    for t in sorted(born, key=lambda t: (born[t], " ".join(t))):
+        group[t] = next((c for c in centres if len(c) == len(t) and sum(x == y for x, y in zip(c, t, strict=True)) >= 0.8 * len(t)), t)
+        if group[t] == t:
+            centres.append(t)
+    first = {}
+    for t, g in group.items():
+        first[g] = min(first.get(g, born[t]), born[t])
+    assert max(Counter(len(c) for c in centres).values()) > 2
+    want = {d: "\n".join(x for x in text.split("\n") if first[group[tuple(x.split())]] == d) for d, text in rows}
+    found = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert {r["doc_id"]: r["text"] for r in found.collect()} == want
+
+
 def test_mixing(docs, empty):
     out = mixing.mix(docs, {"s0": 3.0, "s1": 1.0}, epochs=400.0).groupBy("source").agg(F.sum(F.greatest(F.lit(1), F.length("text"))).alias("n")).collect()
     size = {r["source"]: r["n"] for r in out}
