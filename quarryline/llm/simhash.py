@@ -6,6 +6,10 @@ copies is one row from there on. Two fingerprints within ``radius`` bits agree,
 filed under each segment's value, looks up the small Hamming ball around it, and the full distance of
 what it meets is checked. Links join distinct fingerprints only; components come from star steps.
 
+The pipeline's stage is on sets of five-word shingles at a similarity of 0.8 (``near_copies``). Such texts
+differ in some ten bits of a fingerprint, a radius that no index of segments serves; their candidates
+come from bands of minimum hashes, and every link is checked on the whole sets.
+
 Edge cases: a null or empty text has no words and fingerprint zero, linked like any other; texts of
 fewer than three words are one shingle; a null doc_id is fingerprinted but names no component; rows
 given twice are in one component. Other columns are ignored.
@@ -20,15 +24,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarryline.llm.common import as_signed, components, cut, table
+from quarryline.llm.common import as_signed, components, cut, mix64, ragged, table
 from quarryline.llm.words import Words, slices, xxh64
 
 SEED = 42
 PIECE = 1 << 17
 
 
-def simhash(column: pa.Array, shingle: int = 3) -> np.ndarray:
-    """The 64-bit SimHash of each text: a bit is set if more than half of its shingles' hashes have it."""
+def shingles(column: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of each text's shingles, one text after the other, and where each text's begin."""
     words = Words(column)
     data, _ = words.joined(lower=True)
     counts = words.counts()
@@ -41,7 +45,14 @@ def simhash(column: pa.Array, shingle: int = 3) -> np.ndarray:
     n = np.where(counts > 0, np.maximum(counts - shingle + 1, 1), 0)
     at = np.repeat(firsts - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
     hashes = xxh64(data, starts[at], ends[np.minimum(at + shingle, np.repeat(words.edges[1:], n)) - 1], SEED)
-    prints = np.zeros(len(counts), dtype=np.uint64)
+    return hashes, np.concatenate([[0], np.cumsum(n)])
+
+
+def simhash(column: pa.Array, shingle: int = 3) -> np.ndarray:
+    """The 64-bit SimHash of each text: a bit is set if more than half of its shingles' hashes have it."""
+    hashes, begins = shingles(column, shingle)
+    n = np.diff(begins)
+    prints = np.zeros(len(n), dtype=np.uint64)
     weight = np.uint64(1) << np.arange(64, dtype=np.uint64)
     full = np.flatnonzero(n)
     edges = np.concatenate([[0], np.cumsum(n[full])])
@@ -95,6 +106,74 @@ def groups(documents: DataFrame, radius: int = 2) -> DataFrame:
     return found.join(labels, "print").select("doc_id", "print", "component_id")
 
 
+def _bands(batches: Iterator[pa.RecordBatch], shingle: int, bands: int, rows: int) -> Iterator[pa.RecordBatch]:
+    salts = mix64(np.arange(1, bands * rows + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    factors = mix64(salts) | np.uint64(1)
+    for whole in batches:
+        for batch in slices(whole, most=4 << 20):
+            hashes, begins = shingles(batch.column("text"), shingle)
+            full = np.flatnonzero(np.diff(begins))
+            values = np.zeros((len(full), bands), dtype=np.uint64)
+            for k, salt in enumerate(salts if len(full) else []):
+                least = np.minimum.reduceat((hashes ^ salt) * factors[k], begins[full])
+                values[:, k // rows] = mix64(values[:, k // rows] ^ least)
+            n = np.where(np.diff(begins) > 0, bands, 0)  # a text without words has no bands
+            yield pa.RecordBatch.from_arrays([batch.column("node"), ragged(values.view(np.int64).ravel(), n)], ["node", "bands"])
+
+
+def _sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for batch in slices(whole, most=4 << 20):
+            hashes, begins = shingles(batch.column("text"), shingle)
+            sets = [np.unique(hashes[a:b]) for a, b in zip(begins[:-1], begins[1:], strict=True)]
+            flat = np.concatenate([*sets, np.zeros(0, dtype=np.uint64)])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), ragged(flat.view(np.int64), np.array([len(x) for x in sets], dtype=np.int64))], ["node", "shingles"])
+
+
+def similar(texts: DataFrame, shingle: int = 5, similarity: float = 0.8, bands: int = 20, rows: int = 6) -> DataFrame:
+    """Pairs a < b of nodes that link texts whose sets of shingles have a Jaccard similarity of ``similarity`` or more.
+
+    ``texts`` has ``node`` (a hash of the text) and ``text``; texts without words are alike. Candidates agree in one of ``bands`` bands of ``rows`` minimum hashes
+    (of texts of similarity 0.8 all but 0.23 % do by calculation); each is checked on the whole sets. Of a band's value one
+    member is compared with all others; where that leaves several components, all pairs across them are.
+    """
+    made = texts.select("node", "text").mapInArrow(lambda x: _bands(x, shingle, bands, rows), "node long, bands array<long>")
+    made = cut(made.groupBy("node").agg(F.first("bands").alias("bands")))
+    blank = made.where(F.size("bands") == 0).select("node")
+    under = made.select("node", F.posexplode("bands").alias("band", "value"))
+    shared = under.groupBy("band", "value").agg(F.count("*").alias("_n"), F.min(F.struct(F.xxhash64("node", "band").alias("h"), "node")).getField("node").alias("head")).where("_n > 1").drop("_n")
+    met = cut(under.join(shared, ["band", "value"]))
+    named = texts.groupBy("node").agg(F.min("text").alias("text")).join(met.select("node").distinct(), "node", "left_semi")
+    held = cut(named.mapInArrow(lambda x: _sets(x, shingle), "node long, shingles array<long>"))
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        both = pairs.distinct().join(held.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(held.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+        common = F.size(F.array_intersect("x", "y"))
+        return cut(both.where(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b"))
+
+    order = (F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b"))
+    linked = checked(met.where("node <> head").select(*order))
+    linked = linked.unionByName(blank.crossJoin(blank.agg(F.min("node").alias("a"))).where("a < node").select("a", F.col("node").alias("b")))
+    roots = cut(components(linked))
+    rooted = met.join(roots, "node", "left").select("band", "value", "node", F.coalesce("root", "node").alias("root"))
+    split = rooted.groupBy("band", "value").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+    open_ = cut(rooted.join(split.drop("low", "high"), ["band", "value"]))
+    other = open_.select("band", "value", F.col("node").alias("b"), F.col("root").alias("r"))
+    across = open_.join(other, ["band", "value"]).where("node < b AND root <> r").select(F.col("node").alias("a"), "b")
+    return linked.unionByName(checked(across))
+
+
+def near_copies(documents: DataFrame, **settings) -> DataFrame:
+    """doc_id, text_hash, component: of each (doc_id, text), the smallest such pair reached over similar texts."""
+    keyed = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    keyed = keyed.select("doc_id", "text", F.xxhash64("text").alias("node"))
+    found = cut(keyed.select("doc_id", "node").distinct())
+    roots = components(similar(keyed.select("node", "text"), **settings))
+    named = found.join(roots, "node", "left").select("doc_id", F.col("node").alias("text_hash"), F.coalesce("root", "node").alias("root"))
+    least = named.where("doc_id IS NOT NULL").groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("component"))
+    return named.join(least, "root", "left").select("doc_id", "text_hash", "component")
+
+
 def op8_simhash(spark, sf_dir: str) -> DataFrame:
     found = groups(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
