@@ -14,7 +14,7 @@ query's nearest there: pairs are never rows.
 
 Edge cases: vectors that are null, zero, or hold null, NaN or infinite numbers take no part, nor do null ids;
 queries are compared with vectors of their own length only; ids given twice are one candidate; of queries with equal ids one is
-asked; a query with fewer candidates found gets fewer rows; other columns are ignored.
+asked; a query for which fewer than ``k`` are found is compared with all vectors of its length, block by block; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -151,7 +151,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, tables: int = 16
         return df.where(F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("id"), v.alias("v")).where(F.col("v").isNotNull() & sound).select("id", F.size("v").alias("dim"), "v")
 
     copies = Window.partitionBy("v").orderBy("id")
-    kept = clean(vectors).withColumn("_n", F.row_number().over(copies)).where(F.col("_n") <= k + 1).select("id", "dim", "v")
+    kept = clean(vectors).distinct().withColumn("_n", F.row_number().over(copies)).where(F.col("_n") <= k + 1).select("id", "dim", "v")
     schema = "bucket long, id long, dim int, v array<float>"
     index = cut(kept.mapInArrow(hashed(tables, 1), schema))
     rows = index.count()
@@ -169,7 +169,16 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, tables: int = 16
     found = left.groupBy("g").cogroup(right.groupBy("g")).applyInArrow(lambda a, b: nearest_within(k)(a, b), FOUND)
     met = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     rank = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return met.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    ranked = cut(met.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"))
+    short = cut(own.join(ranked.where(F.col("rank") == k), F.col("id") == F.col("query_id"), "left_anti"))
+    if short.isEmpty():
+        return ranked
+    left = kept.select(F.pmod(F.xxhash64("id"), F.lit(groups)).alias("g"), F.lit(0).cast("long").alias("place"), "id", "dim", "v")
+    right = short.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("g"), "id", "dim", "v", F.array(F.lit(0).cast("long")).alias("places"))
+    exact = left.groupBy("g").cogroup(right.groupBy("g")).applyInArrow(lambda a, b: nearest_within(k)(a, b), FOUND)
+    exact = exact.groupBy("query_id", "vec_id").agg(F.min("score").alias("score")).withColumn("rank", F.row_number().over(rank))
+    full = ranked.join(short.select(F.col("id").alias("query_id")), "query_id", "left_anti")
+    return full.unionByName(exact.where(F.col("rank") <= k)).select("query_id", "rank", "vec_id", "score")
 
 
 def op4_neighbours(spark, sf_dir: str) -> DataFrame:

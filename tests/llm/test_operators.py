@@ -226,6 +226,19 @@ def test_neighbours(spark):
     assert neighbours.search(frame.limit(0), asked).count() == 0
 
 
+def test_neighbours_of_few(spark):
+    rng = np.random.default_rng(4)
+    rows = [(k, [float(v) for v in rng.normal(size=20)]) for k in range(8)] + [(20, [1.0] * 20)] * 12 + [(k, [1.0] * 20) for k in (21, 22)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    for k in (3, 10, 20):
+        got = {}
+        for r in neighbours.search(frame, frame, k=k, tables=1, probes=1, block=4).orderBy("query_id", "rank").collect():
+            got.setdefault(r["query_id"], []).append(r["vec_id"])
+        assert all(len(got[q]) == min(k, 10) for q in range(8)) or k == 3
+        assert got[21][:2] == [20, 22] and got[20][:2] == [21, 22]
+    assert len(got) == 11 and all(set(v) == {x for x, _ in rows} - {q} for q, v in got.items())
+
+
 def test_token_counts(docs, empty):
     encoder = token_counts.Encoder(open(token_counts.RANKS, "rb").read())
     rnd = random.Random(1)
