@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import re
-import tempfile
+import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Fixed patterns of the contracts.
@@ -24,18 +24,40 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; only without one a temporary folder is set."""
+    """The folder that ``spark.checkpoint.dir`` names. Where none is set, one beside the warehouse, which executors reach as well."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
+        context.setCheckpointDir(named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "-checkpoints")
     return context.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cuts lineage by a checkpoint in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """Cuts lineage: the rows are written as a table in the shared folder and read again, column by column."""
+    path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def dealt(df: DataFrame, *columns: str) -> DataFrame:
+    """Rows dealt out over all shuffle partitions, however few bytes they are: for what grows in the next step."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
+
+
+def named(column: str) -> Column:
+    """A column by its whole name, dots and all."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def boxed(df: DataFrame, **added: Column) -> DataFrame:
+    """All columns in one struct ``row``, and those added: none of theirs can clash with one of ours."""
+    return df.select(F.struct(*[named(c) for c in df.columns]).alias("row"), *[x.alias(c) for c, x in added.items()])
+
+
+def unboxed(df: DataFrame, like: DataFrame, **new: Column) -> DataFrame:
+    """The columns of ``like`` out of ``row``, with those of ``new`` in place of theirs or after them."""
+    inside = [new.get(c, F.col("row").getField(c)).alias(c) for c in like.columns]
+    return df.select(*inside, *[x.alias(c) for c, x in new.items() if c not in like.columns])
 
 
 def crc_fold(doc_id: str = "doc_id"):

@@ -1,71 +1,73 @@
 """Line dedup by a log-template tree, in DataFrame functions only.
 
 A line's tokens are its words between white space; a token with a digit is a variable field. The tree has
-a fixed depth: number of tokens, then the first ``lead`` tokens, fields generalised. Under each leaf the
-template with the earliest line is a centre; templates that agree with it in ``similarity`` or more of
-their places join it, and where they differ is one more variable field. Of what is left the earliest is the
-next centre, until nothing is left: a template joins the earliest centre it agrees with, or is one.
-A line goes if an earlier document (smaller doc_id) has a line of its template; within its first document
-a template stays as often as it comes.
-
-Lines travel as hashes. Only under leaves with several templates texts are gathered, once a template (a
-bitmap of fixed size, sent along in the plan, passes by most others). Templates that agree have one of a few
-stretches of tokens in common (``filed``), so what shares none stands for itself. Each round makes centres of all
-templates that come first in all their stretches, as nothing can come before them, and compares the
-others with these only, at most one a stretch, never with each other. Rounds go on until all are settled. The earliest line of a template is pre-aggregated in each task, so a line
-that a third of all documents have costs one row a task; in the join that brings it back to its lines
-Spark splits skewed partitions.
-
-Edge cases: null and empty texts have no lines that could go; lines under ``least`` tokens stay, blank
-ones too; a template with more fields than other tokens isn't generalised; rows with equal doc_id and
-text are one document, and equal doc_id with other texts are ordered by a hash of the text; a null doc_id
-comes last. Columns pass through; n_chars, if there, is set anew.
+a fixed depth: number of tokens, then the first ``lead`` tokens, fields generalised, then the stretches. What
+follows the lead is cut into stretches of a tenth of the tokens each (one token at least). Two templates under a
+leaf are one if they differ within at most two stretches, in lines of five to nine tokens within one: what
+stands there is a variable field, and they agree in four fifths of their tokens or more. In lines of fewer than 15
+tokens that is every pair that agrees in so many. A line goes if an earlier document (smaller doc_id) has a line whose template is one with its own;
+within its first document a template stays as often as it comes.
+
+No template is compared with another: it is filed under its hash without each two stretches, and the earliest
+document under these nodes is what counts, so the work grows in proportion to the templates, however many
+are under a leaf. Lines travel as hashes, 32 bits a stretch. Only under leaves with several templates nodes are made
+(a bitmap of fixed size, sent along in the plan, passes by most others), and only for templates that share a third of their
+stretches with another one, as all that are one do. The earliest document is pre-aggregated in each task, so a
+line that a third of all documents have costs one row a task; in the joins that bring it back to templates and
+lines both sides are plain shuffles, of which Spark splits skewed partitions.
+
+Edge cases: null and empty texts have no lines that could go; lines without tokens stay; lines of fewer than five
+tokens are one only if their templates are equal; a template with more fields than other tokens isn't generalised,
+neither at its digits nor at stretches; all rows of one doc_id are one document, rows without one another, which comes last. Columns pass
+through, whatever their names, but text, n_chars (set anew if there) and, unless ``counted`` is False, n_lines and n_dropped.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarryline.llm.common import cut, table
+from quarryline.llm.common import boxed, cut, dealt, table, unboxed
 
 LAST = (1 << 63) - 1
 #: Fixed patterns: white space between tokens, a token with a digit, what stands for a field.
 SPACE = r"[\x20\x09\x0B-\x0D]+"
 FIELD = r"(?<![^\x20\x09\x0B-\x0D])[^\x20\x09\x0B-\x0D0-9]*+[0-9][^\x20\x09\x0B-\x0D]*+"
 MARK = "<*>"
+#: A stretch is one of so many parts of a line; lines below ONE tokens have no variable stretch, below TWO only one.
+TENTH, ONE, TWO = 10, 5, 10
 
 
 def keyed(documents: DataFrame) -> DataFrame:
-    """Adds _doc and _t: a document's place in the order, and what tells apart texts of equal ids."""
-    return documents.withColumns({"_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "_t": F.xxhash64(F.coalesce("text", F.lit("")))})
+    """row (all columns), doc and t: a document's place in the order, and what tells apart texts of equal ids."""
+    return boxed(documents, doc=F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), t=F.xxhash64(F.coalesce("text", F.lit(""))))
 
 
-def lines(documents: DataFrame, lead: int, least: int) -> DataFrame:
-    """_doc, _t, line_no, leaf, key, rest, template of every line of ``least`` tokens or more.
+def lines(documents: DataFrame, lead: int) -> DataFrame:
+    """doc, t, line_no, leaf, key, fields, stretches of every line with tokens.
 
-    ``key`` and ``rest`` are two hashes of the template, ``template`` its tokens, joined by a space.
+    ``key`` is a hash of the template, ``stretches`` one of each stretch, ``fields`` how many of them may differ.
     """
-    spread = keyed(documents).select("_doc", "_t", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    spread = keyed(documents).select("doc", "t", F.posexplode(F.split("row.text", "\n", -1)).alias("line_no", "line"))
 
     def words(text: Column) -> Column:
         # most lines have no white space but spaces, and splitting at one character needs no pattern
         odd = F.contains(text, F.lit("\t")) | F.contains(text, F.lit("\r")) | F.contains(text, F.lit("\x0b")) | F.contains(text, F.lit("\x0c"))
         return F.array_remove(F.when(odd, F.split(text, SPACE, -1)).otherwise(F.split(text, " ", -1)), "")
 
-    cutup = spread.withColumn("plain", words(F.col("line"))).where(F.size("plain") >= least).withColumn("digits", F.col("line").rlike("[0-9]"))
+    cutup = spread.withColumn("plain", words(F.col("line"))).where(F.size("plain") > 0).withColumn("digits", F.col("line").rlike("[0-9]"))
     cutup = cutup.withColumn("marked", F.when(F.col("digits"), words(F.regexp_replace("line", FIELD, MARK))))
-    few = F.col("digits") & (F.size(F.filter("marked", lambda x: x == MARK)) * 2 <= F.size("plain"))
-    found = cutup.select("_doc", "_t", "line_no", F.when(few, F.col("marked")).otherwise(F.col("plain")).alias("tokens"))
-    hashes = (F.xxhash64(F.size("tokens"), F.slice("tokens", 1, lead)).alias("leaf"), F.xxhash64("tokens").alias("key"), F.hash("tokens").alias("rest"))
-    return found.select("_doc", "_t", "line_no", *hashes, F.array_join("tokens", " ").alias("template"))
-
-
-def agree(a: Column, b: Column) -> Column:
-    """Share of the places at which two templates of equal length have the same token."""
-    x, y = F.split(a, " ", -1), F.split(b, " ", -1)
-    same = F.aggregate(F.zip_with(x, y, lambda p, q: (p == q).cast("int")), F.lit(0), lambda s, v: s + v)
-    return same / F.size(x)
+    many = F.size(F.filter("marked", lambda x: x == MARK)) * 2 > F.size("plain")
+    found = cutup.withColumn("open", F.when(F.col("digits"), ~many).otherwise(F.lit(True)))
+    found = found.select("doc", "t", "line_no", "open", F.size("plain").alias("n"), F.when(F.col("digits") & F.col("open"), F.col("marked")).otherwise(F.col("plain")).alias("tokens"))
+    width = F.greatest(F.lit(1), F.floor(F.col("n") / TENTH).cast("int"))
+    numbers = F.sequence(F.lit(0), F.ceil((F.col("n") - lead) / width).cast("int") - 1)
+    stretches = F.transform(numbers, lambda k: F.hash(F.slice("tokens", k * width + (lead + 1), width)))
+    fields = F.when(~F.col("open") | (F.col("n") < max(ONE, lead + 1)), 0).when(F.col("n") < TWO, 1).otherwise(2)
+    return found.select(
+        "doc", "t", "line_no", F.xxhash64("n", F.slice("tokens", 1, lead)).alias("leaf"), F.xxhash64("tokens").alias("key"),
+        fields.cast("tinyint").alias("fields"), F.when(fields > 0, stretches).alias("stretches"),
+    )
 
 
 def maybe_in(leaves: DataFrame, bits: int = 20) -> Column:
@@ -77,82 +79,56 @@ def maybe_in(leaves: DataFrame, bits: int = 20) -> Column:
     return F.getbit(F.element_at(bitmap, (F.shiftright(slot, 6) + 1).cast("int")), (slot % 64).cast("int")) == 1
 
 
-def filed(lead: int, similarity: float) -> Column:
-    """What a template is filed under: hashes of its leaf and of one stretch of the tokens after the first ``lead``.
-
-    Of two templates that agree in ``similarity`` of their places at most ``apart`` differ, so of
-    ``apart`` + 1 stretches one is equal. Where there are fewer places than that, the leaf is the only key.
-    """
-    tokens = F.split("template", " ", -1)
-    apart = F.floor(F.size(tokens) * (1 - similarity) + 1e-6)
-    parts = F.when(apart < F.size(tokens) - lead, apart + 1).otherwise(F.lit(1)).cast("int")
-
-    def key(x: Column, k: Column) -> Column:
-        behind = F.size(x.words) - lead
-        start, stop = F.floor(k * behind / x.parts).cast("int"), F.floor((k + 1) * behind / x.parts).cast("int")
-        return F.xxhash64("leaf", k, F.when(x.apart < behind, F.slice(x.words, start + 1 + lead, stop - start)))
-
-    # inside a function of an array's elements the tokens are cut up once, not once a stretch
-    cutup = F.array(F.struct(tokens.alias("words"), apart.alias("apart"), parts.alias("parts")))
-    return F.element_at(F.transform(cutup, lambda x: F.when(x.apart > 0, F.transform(F.sequence(F.lit(0), x.parts - 1), lambda k: key(x, k)))), 1)
-
-
-def generalised(documents: DataFrame, found: DataFrame, lead: int, least: int, similarity: float) -> DataFrame:
-    """leaf, key, rest, at, group of all templates: the hash pair of the centre it joined, or its own."""
-    name, kept = ["leaf", "key", "rest"], ["leaf", "key", "rest", "at"]
-    templates = found.groupBy(*name).agg(F.min(F.struct("_doc", "_t")).alias("at"))
-    many = cut(templates.groupBy("leaf").agg(F.count("*").alias("_n")).where("_n > 1").select("leaf"))
-    settled = templates.join(many, "leaf", "left_anti").select(*kept, F.struct("key", "rest").alias("group"))
-    spelt = lines(documents, lead, least).where(maybe_in(many)).groupBy(*name).agg(F.min("template").alias("template"))
-    place = F.row_number().over(Window.partitionBy("leaf", "at").orderBy("template", "key", "rest"))
-    spelt = templates.join(many, "leaf", "left_semi").join(spelt, name).withColumn("place", place)
-    spelt = cut(spelt.select(*kept, F.struct("at", "place", "key", "rest").alias("me"), "template", filed(lead, similarity).alias("files")))
-    under = spelt.select(*name, F.explode("files").alias("file"))
-    shared = under.groupBy("file").agg(F.count("*").alias("_n")).where("_n > 1").select("file")
-    files = under.join(shared, "file").groupBy(*name).agg(F.collect_list("file").alias("files"))
-    met = cut(spelt.select(*kept, "me").join(files, name, "left"))
-    settled = settled.unionByName(met.where("files IS NULL").select(*kept, F.struct("key", "rest").alias("group")))
-    left = met.where("files IS NOT NULL").select("leaf", "me", "files", F.when(F.lit(False), F.col("me")).alias("centre"))
-    # rounds are many and small: merge joins, for each broadcast stays in the driver's memory for a while
-    while not left.isEmpty():
-        each = left.select("leaf", "me", "centre", F.explode("files").alias("file"))
-        first = each.where("centre IS NULL").groupBy("file").agg(F.min("me").alias("first"))
-        # the earliest open template of all that share a file with this one; itself, if nothing can come before it
-        ahead = each.join(first.hint("merge"), "file", "left").groupBy("leaf", "me").agg(F.min("first").alias("first"))
-        done = F.when(F.col("centre").isNull(), F.col("first") == F.col("me")).otherwise(F.col("first").isNull() | (F.col("first") > F.col("centre")))
-        now = cut(left.join(ahead.hint("merge"), ["leaf", "me"]).withColumn("done", done).drop("first"))
-        group = F.struct(F.coalesce("centre.key", "me.key").alias("key"), F.coalesce("centre.rest", "me.rest").alias("rest")).alias("group")
-        settled = settled.unionByName(now.where("done").select("leaf", "me.key", "me.rest", "me.at", group))
-        new = now.where("done AND centre IS NULL").select(F.explode("files").alias("file"), F.col("me").alias("new"))
-        left = now.where("NOT done").drop("done")
-        pairs = left.select("leaf", "me", "centre", F.explode("files").alias("file")).join(new.hint("merge"), "file").where(F.col("new") < F.coalesce("centre", "me"))
-        near = pairs.select("leaf", "me", "new").distinct().join(spelt.select("leaf", "me", F.col("template").alias("one")).hint("merge"), ["leaf", "me"])
-        near = near.join(spelt.select("leaf", F.col("me").alias("new"), F.col("template").alias("other")).hint("merge"), ["leaf", "new"])
-        near = near.where(agree(F.col("one"), F.col("other")) >= similarity).groupBy("leaf", "me").agg(F.min("new").alias("new"))
-        left = cut(left.join(near.hint("merge"), ["leaf", "me"], "left").select("leaf", "me", "files", F.coalesce("new", "centre").alias("centre")))
-    return settled
-
-
-def repeated_lines(documents: DataFrame, lead: int = 3, least: int = 3, similarity: float = 0.8) -> DataFrame:
-    """_doc, _t, line_no of every line whose template an earlier document has."""
-    found = cut(lines(documents, lead, least).select("_doc", "_t", "line_no", "leaf", "key", "rest"))
-    grouped = generalised(documents, found, lead, least, similarity)
-    firsts = grouped.groupBy("leaf", "group").agg(F.min("at").alias("first"))
-    owner = grouped.join(firsts, ["leaf", "group"]).select("leaf", "key", "rest", "first")
-    return found.join(owner, ["leaf", "key", "rest"]).where(F.struct("_doc", "_t") != F.col("first")).select("_doc", "_t", "line_no")
-
-
-def dedup_lines(documents: DataFrame, **settings) -> DataFrame:
-    """The documents without repeated lines; adds n_lines and n_dropped."""
-    gone = repeated_lines(documents, **settings).groupBy("_doc", "_t").agg(F.collect_set("line_no").alias("_gone"))
-    own = [c for c in documents.columns if c not in ("n_lines", "n_dropped", "_doc", "_t", "_gone")]
-    met = keyed(documents.select(*own)).join(gone, ["_doc", "_t"], "left").withColumn("_lines", F.split("text", "\n", -1))
-    stays = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone"))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stays, lambda k: F.element_at("_lines", k + 1)), "\n"))
-    out = met.withColumns({"n_lines": F.coalesce(F.size("_lines"), F.lit(0)), "n_dropped": F.coalesce(F.size("_gone"), F.lit(0)), "text": text})
-    if "n_chars" in own:
-        out = out.withColumn("n_chars", F.length("text").cast(dict(documents.dtypes)["n_chars"]))
-    return out.select(*own, "n_lines", "n_dropped")
+def nodes(marks: Column, fields: Column) -> Column:
+    """Hashes of a template without each one or two of its stretches, from the marks (hashes with place) of all."""
+    whole = F.aggregate(marks, F.lit(0).cast("long"), lambda s, x: s.bitwiseXOR(x))
+    one = F.transform(marks, lambda x, i: F.xxhash64(i, whole.bitwiseXOR(x)))
+
+    def with_later(x: Column, i: Column) -> Column:
+        return F.transform(F.slice(marks, i + 2, F.size(marks)), lambda y, j: F.xxhash64(i, j, whole.bitwiseXOR(x).bitwiseXOR(y)))
+
+    return F.when(fields == 1, one).otherwise(F.flatten(F.transform(marks, with_later)))
+
+
+def linked(found: DataFrame) -> DataFrame:
+    """leaf, key, first: the earliest document with a template that is one with this, for templates that may have such."""
+    crowded = found.where("fields > 0").groupBy("leaf").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a <> b")
+    templates = found.where("fields > 0").where(maybe_in(crowded)).groupBy("leaf", "key").agg(F.min("doc").alias("doc"), F.max("fields").alias("fields"), F.max("stretches").alias("stretches"))
+    marked = templates.select("leaf", "key", "doc", "fields", F.transform("stretches", lambda x, k: F.xxhash64(k, x)).alias("marks"))
+    marked = cut(marked)
+    # two of three thirds may hold what differs, so the third one is shared
+    edge = lambda k: F.floor(F.size("marks") * k / 3).cast("int")
+    thirds = F.array(*[F.xxhash64(F.lit(k), F.slice("marks", edge(k) + 1, edge(k + 1) - edge(k))) for k in range(3)])
+    filed = marked.select("leaf", "key", F.explode(thirds).alias("third"))
+    shared = cut(filed.groupBy("leaf", "third").agg(F.count("*").alias("n")).where("n > 1").drop("n"))
+    some = filed.join(shared, ["leaf", "third"]).select("leaf", "key").distinct()
+    under = cut(dealt(marked.join(some, ["leaf", "key"]), "key").select("leaf", "key", "doc", F.explode(nodes(F.col("marks"), F.col("fields"))).alias("node")))
+    firsts = cut(under.groupBy("leaf", "node").agg(F.min("doc").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
+    return under.join(firsts, ["leaf", "node"]).groupBy("leaf", "key").agg(F.min("first").alias("first"))
+
+
+def repeated_lines(documents: DataFrame, lead: int = 3) -> DataFrame:
+    """doc, t, line_no of every line whose template an earlier document has."""
+    found = cut(lines(documents, lead))
+    templates = found.groupBy("leaf", "key").agg(F.min("doc").alias("doc"), F.max("doc").alias("last"))
+    met = templates.join(linked(found), ["leaf", "key"], "left")
+    # only templates that some later document has
+    owner = cut(met.select("leaf", "key", F.coalesce("first", "doc").alias("first"), "last").where("first < last").drop("last"))
+    return found.join(owner, ["leaf", "key"]).where("doc > first").select("doc", "t", "line_no")
+
+
+def dedup_lines(documents: DataFrame, counted: bool = True, **settings) -> DataFrame:
+    """The documents without repeated lines; adds n_lines and n_dropped if ``counted``."""
+    gone = repeated_lines(documents, **settings).groupBy("doc", "t").agg(F.collect_set("line_no").alias("gone"))
+    met = keyed(documents).join(gone, ["doc", "t"], "left").select("row", "gone", F.split("row.text", "\n", -1).alias("lines"))
+    stays = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
+    text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(F.array_join(F.transform(stays, lambda k: F.element_at("lines", k + 1)), "\n"))
+    new = {"text": text}
+    if "n_chars" in documents.columns:
+        new["n_chars"] = F.length(text).cast(documents.schema["n_chars"].dataType)
+    if counted:
+        new |= {"n_lines": F.coalesce(F.size("lines"), F.lit(0)), "n_dropped": F.coalesce(F.size("gone"), F.lit(0))}
+    return unboxed(met, documents, **new)
 
 
 def op1_line_dedup(spark, sf_dir: str) -> DataFrame:
@@ -165,23 +141,21 @@ WITH spread AS (
 cutup AS (
   SELECT *, list_filter(regexp_split_to_array(line, '[\x20\x09\x0B-\x0D]+'), lambda x: x <> '') AS plain FROM spread),
 marked AS (
-  SELECT *, list_transform(plain, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS m FROM cutup WHERE len(plain) >= 3),
+  SELECT *, list_transform(plain, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS m FROM cutup WHERE len(plain) > 0),
 tokens AS (
-  SELECT doc_id, line_no, CASE WHEN len(list_filter(m, lambda x: x = '<*>')) * 2 <= len(plain) THEN m ELSE plain END AS tokens FROM marked),
-keyed AS (SELECT *, len(tokens)::VARCHAR || ' ' || array_to_string(tokens[1:3], ' ') AS leaf, array_to_string(tokens, ' ') AS template FROM tokens),
-t0 AS (SELECT leaf, template, any_value(tokens) AS tokens, min(doc_id) AS born FROM keyed GROUP BY leaf, template),
-c1 AS (SELECT leaf, arg_min(tokens, row(born, {tie})) AS c FROM t0 GROUP BY leaf),
-m1 AS (SELECT t0.*, c, len(list_filter(list_zip(tokens, c), lambda z: z[1] = z[2])) / len(tokens) >= 0.8 AS near FROM t0 JOIN c1 USING (leaf)),
-c2 AS (SELECT leaf, arg_min(tokens, row(born, {tie})) AS c FROM m1 WHERE NOT near GROUP BY leaf),
-m2 AS (SELECT m1.leaf, m1.template, m1.tokens, m1.born, c2.c, len(list_filter(list_zip(m1.tokens, c2.c), lambda z: z[1] = z[2])) / len(m1.tokens) >= 0.8 AS near FROM m1 JOIN c2 USING (leaf) WHERE NOT m1.near),
-grouped AS (
-  SELECT leaf, template, born, array_to_string(c, ' ') AS g FROM m1 WHERE near
-  UNION ALL SELECT leaf, template, born, array_to_string(c, ' ') FROM m2 WHERE near
-  UNION ALL SELECT leaf, template, born, template FROM m2 WHERE NOT near),
-firsts AS (SELECT leaf, g, min(born) AS first FROM grouped GROUP BY leaf, g),
-owner AS (SELECT grouped.leaf, grouped.template, first FROM grouped JOIN firsts USING (leaf, g)),
-gone AS (SELECT doc_id, line_no FROM keyed JOIN owner USING (leaf, template) WHERE doc_id <> first)
+  SELECT *, NOT regexp_matches(line, '[0-9]') OR len(list_filter(m, lambda x: x = '<*>')) * 2 <= len(plain) AS open FROM marked),
+keyed AS (
+  SELECT doc_id, line_no, open, CASE WHEN open THEN m ELSE plain END AS tokens FROM tokens),
+t0 AS (
+  SELECT tokens, open, len(tokens) AS n, tokens[1:3] AS lead, greatest(1, len(tokens) // 10) AS width,
+    CASE WHEN NOT open OR len(tokens) < 5 THEN 0 WHEN len(tokens) < 10 THEN 1 ELSE 2 END AS fields, min(doc_id) AS born FROM keyed GROUP BY tokens, open),
+pairs AS (
+  SELECT a.tokens, a.open, b.born, a.fields,
+    len(list_distinct(list_transform(list_filter(range(4, a.n + 1), lambda i: a.tokens[i] <> b.tokens[i]), lambda i: (i - 4) // a.width))) AS apart
+  FROM t0 a JOIN t0 b ON a.n = b.n AND a.lead = b.lead WHERE b.fields = a.fields AND (a.fields > 0 OR a.tokens = b.tokens)),
+firsts AS (SELECT tokens, open, min(born) AS first FROM pairs WHERE apart <= fields GROUP BY tokens, open),
+gone AS (SELECT doc_id, line_no FROM keyed JOIN firsts USING (tokens, open) WHERE doc_id > first)
 SELECT s.doc_id, count(*)::INT AS n_lines, count(gone.line_no)::INT AS n_dropped,
   coalesce(string_agg(line, chr(10) ORDER BY s.line_no) FILTER (WHERE gone.line_no IS NULL), '') AS text
 FROM spread s LEFT JOIN gone ON s.doc_id = gone.doc_id AND s.line_no = gone.line_no GROUP BY s.doc_id
-""".replace("{tie}", "template")
+"""
