@@ -1,14 +1,16 @@
 """Language-model scores from a log-frequency Bloom filter.
 
 Counts of words and of word pairs are gathered from all training texts: each task counts hashes in
-pieces and ships one row a piece and segment (packed hashes and counts), so a very common word costs a
-few bytes a piece. A segment is a range of hashes: its task sums the counts exactly and writes its
-range of the filter. The count c of an n-gram is quantised to q = 1 + floor(log(c) / log(base)); the n-gram
-is stored with each level 1..q. All probes of an n-gram stay in its segment's part of the filter, so
+pieces and ships one row a piece and part (packed hashes and counts), so a very common word costs a
+few bytes a piece. A part is a range of hashes of one kind, of which there are the more the more there is to learn from; its task sums the counts exactly and writes its
+part of the filter. The count c of an n-gram is quantised to q = 1 + floor(log(c) / log(base)); the n-gram
+is stored with each level 1..q. All probes of an n-gram stay in its part of the filter, so
 parts are built apart and put side by side. A count is read back by probing levels until one is missing.
 
-The filter has ``bits_each`` bits an entry up to ``max_bits``, the proven bound of what is broadcast; beyond
-it false positives grow, and scores get worse, never missing. The plain base score needs exact counts:
+Every part has ``bits_each`` bits for each level it holds, so the share of false positives is the same at every size of input
+and the filter grows with what is learnt. Up to ``max_bytes`` it is broadcast. A larger one stays a table: the distinct
+n-grams of each batch of texts are sent to their parts, probed there, and the levels sent back to the batch. Both ways
+give the same scores. The plain base score needs exact counts:
 the ``head`` most frequent words are broadcast (a fixed bound), all others are looked up by a join on
 the word's hash, after they are summed within each document.
 
@@ -22,6 +24,7 @@ twice; a null doc_id counts as the empty text for the fold; with nothing to lear
 from __future__ import annotations
 
 import math
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,16 +37,20 @@ from quarryline.llm.words import Words, slices
 
 #: The hash of the end token.
 END = U64(0xE7037ED1A0B428DB)
-SEGMENTS = 256
-PIECE = 3_000_000
+PIECE = 1 << 20
 PROBES = 3
+#: The levels that a count can have.
+LEVELS = 64
 PAIR = (U64(0x9E3779B97F4A7C15), U64(0xD1B54A32D192ED03))
 LEVEL = U64(0xA0761D6478BD642F)
 
 
 def pair_hash(before: np.ndarray, word: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
-        return mix64(before * PAIR[0] + word * PAIR[1] + U64(1))
+        x = before * PAIR[0]
+        x += word * PAIR[1]
+        x += U64(1)
+        return mix64(x)
 
 
 def quantised(counts: np.ndarray, base: float) -> np.ndarray:
@@ -62,32 +69,39 @@ def tokens_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, edges
 
 
-def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts -> packed counts by (kind, segment): kind 1 are words, 2 pairs. The hash's top byte is the segment."""
-    held, size = [], 0
+def counted(segment_bits: int):
+    """A function for mapInArrow: texts -> packed counts by part, words first, then pairs. The hash's top bits are the segment."""
+    segments = 1 << segment_bits
 
-    def flush() -> Iterator[pa.RecordBatch]:
+    def flush(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         flat = np.concatenate(held)
-        before = np.concatenate([[END], flat[:-1]])
-        for kind, hashes in ((1, flat), (2, pair_hash(before, flat))):
+        held.clear()
+        for kind in (1, 0):  # words last, for they are sorted in place
+            hashes = pair_hash(np.concatenate([[END], flat[:-1]]), flat) if kind else flat
             hashes.sort()
             head = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
             seen, n = hashes[head], np.diff(head, append=len(hashes))
-            edges = np.searchsorted(seen >> U64(56), np.arange(SEGMENTS + 1, dtype=U64))
-            rows = [(kind * SEGMENTS + s, seen[a:b].tobytes(), packed(n[a:b])) for s, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if a < b]
-            for at in range(0, len(rows), 64):
-                part = rows[at : at + 64]
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in part], kind) for k, kind in enumerate((pa.int32(), pa.binary(), pa.binary()))], ["part", "hashes", "counts"])
-
-    for whole in batches:
-        for batch in slices(whole):
-            held.append(tokens_of(batch.column("text"))[0])
-            size += len(held[-1])
-            if size >= PIECE:
-                yield from flush()
-                held, size = [], 0
-    if size:
-        yield from flush()
+            del hashes, head
+            edges = np.searchsorted(seen >> U64(64 - segment_bits), np.arange(segments + 1, dtype=U64))
+            full = np.flatnonzero(np.diff(edges))
+            for at in range(0, len(full), 64):
+                part = full[at : at + 64]
+                ranges = [(edges[s], edges[s + 1]) for s in part.tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array(part + kind * segments, pa.int32()), pa.array([seen[a:b].tobytes() for a, b in ranges], pa.binary()), pa.array([packed(n[a:b]) for a, b in ranges], pa.binary())], ["part", "hashes", "counts"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for whole in batches:
+            for batch in slices(whole, most=4 << 20):
+                held.append(tokens_of(batch.column("text"))[0])
+                size += len(held[-1])
+                if size >= PIECE:
+                    yield from flush(held)
+                    size = 0
+        if size:
+            yield from flush(held)
+
+    return run
 
 
 def packed(counts: np.ndarray) -> bytes:
@@ -133,51 +147,63 @@ def levels_hash(hashes: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]
         return x, mix64(x) | U64(1)
 
 
+def levels_in(data: np.ndarray, hashes: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The highest level of each hash before the first missing one; its bits are ``size`` from ``first`` on."""
+    out = np.zeros(len(hashes), dtype=np.uint8)
+    alive = np.arange(len(hashes))
+    for level in range(1, LEVELS):
+        if not len(alive):
+            break
+        x, y = levels_hash(hashes[alive], level)
+        at, width = first[alive], size[alive]
+        held = width > 0
+        for k in range(PROBES):
+            bit = at + placed(x, y, k, width)
+            held &= (data[np.where(held, bit >> 3, 0)] >> (bit & 7).astype(np.uint8)) & 1 == 1
+        alive = alive[held]
+        out[alive] = level
+    return out
+
+
+def placed(x: np.ndarray, y: np.ndarray, k: int, size: np.ndarray) -> np.ndarray:
+    """The place of probe ``k`` among ``size`` bits (fewer than 2 ** 32)."""
+    with np.errstate(over="ignore"):
+        return ((((x + y * U64(k)) >> U64(32)) * size.astype(U64)) >> U64(32)).astype(np.int64)
+
+
+def middles(base: float) -> np.ndarray:
+    """The count that each level stands for: the middle of those quantised to it; 0 for none."""
+    low = [math.ceil(base ** (q - 1) - 1e-9) for q in range(1, LEVELS)]
+    return np.array([0.0] + [(a + max(a, math.ceil(base ** (k + 1) - 1e-9) - 1)) / 2 for k, a in enumerate(low)])
+
+
 class CountFilter:
-    """The filter's bits, a part for every kind and segment."""
-
-    def __init__(self, part_bits: int, base: float, parts: list) -> None:
-        self.part_bits, self.base = part_bits, base
-        self.bytes = np.zeros(2 * SEGMENTS << (part_bits - 3), dtype=np.uint8)
-        for row in parts:
-            at = (row["part"] - SEGMENTS) << (part_bits - 3)
-            self.bytes[at : at + (1 << (part_bits - 3))] = np.frombuffer(row["bits"], dtype=np.uint8)
-
-    def count(self, hashes: np.ndarray, kind: int) -> np.ndarray:
-        """Estimated counts: the middle of the highest level before the first missing one; 0 where level 1 is missing."""
-        part = ((hashes >> U64(56)).astype(np.int64) + (kind - 1) * SEGMENTS) << self.part_bits
-        out = np.zeros(len(hashes))
-        alive = np.arange(len(hashes))
-        level = 1
-        while len(alive) and level < 64:
-            x, y = levels_hash(hashes[alive], level)
-            held = np.ones(len(alive), dtype=bool)
-            for k in range(PROBES):
-                with np.errstate(over="ignore"):
-                    bit = part[alive] + ((x + y * U64(k)) >> U64(64 - self.part_bits)).astype(np.int64)
-                held &= (self.bytes[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
-            alive = alive[held]
-            low = math.ceil(self.base ** (level - 1) - 1e-9)
-            high = max(low, math.ceil(self.base**level - 1e-9) - 1)
-            out[alive] = (low + high) / 2
-            level += 1
-        return out
+    """The filter's bits, its parts one after the other."""
+
+    def __init__(self, segment_bits: int, parts: list) -> None:
+        self.segment_bits = segment_bits
+        held = {row["part"]: row["bits"] for row in parts}
+        sizes = np.array([len(held.get(k, b"")) for k in range(2 << segment_bits)], dtype=np.int64)
+        self.first, self.size = (np.cumsum(sizes) - sizes) * 8, sizes * 8
+        self.bytes = np.frombuffer(b"".join(held[k] for k in sorted(held)) or bytes(1), dtype=np.uint8)
+
+    def levels(self, hashes: np.ndarray, kind: int) -> np.ndarray:
+        part = (hashes >> U64(64 - self.segment_bits)).astype(np.int64) + (kind << self.segment_bits)
+        return levels_in(self.bytes, hashes, self.first[part], self.size[part])
 
 
 class Model:
-    def __init__(self, counts: CountFilter, n: int, v: int, head: tuple[np.ndarray, np.ndarray], mu: float) -> None:
-        self.counts, self.n, self.v, self.head, self.mu = counts, n, v, head, mu
+    def __init__(self, n: int, v: int, head: tuple[np.ndarray, np.ndarray], mu: float, base: float) -> None:
+        self.n, self.v, self.head, self.mu, self.middles = n, v, head, mu, middles(base)
 
     def base(self, c: np.ndarray) -> np.ndarray:
         return (c + 0.5) / (self.n + 0.5 * (self.v + 1))
 
-    def log_probability(self, tokens: np.ndarray) -> np.ndarray:
-        """log10 p of every token after the one before it."""
-        word, where = np.unique(tokens, return_inverse=True)
-        c1 = self.counts.count(word, 1)[where]
-        before = np.concatenate([[END], tokens[:-1]])
-        cb = np.concatenate([[self.counts.count(before[:1], 1)[0]], c1[:-1]])
-        c2 = np.minimum(self.counts.count(pair_hash(before, tokens), 2), np.minimum(c1, cb))
+    def log_probability(self, tokens: np.ndarray, grams: Grams, words: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+        """log10 p of every token after the one before it, from the levels of all distinct words and pairs."""
+        c1 = self.middles[words][grams.word_of]
+        cb = np.concatenate([[self.middles[words[grams.end]]], c1[:-1]]) if len(c1) else c1
+        c2 = np.minimum(self.middles[pairs][grams.pair_of], np.minimum(c1, cb))
         return np.log10((c2 + self.mu * self.base(c1)) / (cb + self.mu))
 
     def known(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -190,77 +216,144 @@ class Model:
         return np.where(hit, counts[at], 0), hit
 
 
-def gathered(pieces: DataFrame, part_bits: int, base: float) -> DataFrame:
+class Grams:
+    """The distinct words and pairs of a batch, sorted, and which of them stands where."""
+
+    def __init__(self, tokens: np.ndarray) -> None:
+        self.words, self.word_of = np.unique(tokens, return_inverse=True)
+        self.pairs, self.pair_of = np.unique(pair_hash(np.concatenate([[END], tokens[:-1]]), tokens) if len(tokens) else tokens, return_inverse=True)
+        self.end = int(np.searchsorted(self.words, END))  # every batch has an end token
+
+
+def gathered(pieces: DataFrame, segment_bits: int, base: float, bits_each: int) -> DataFrame:
     """Sums every part exactly: its range of the filter (part, bits), and for words each hash and count (h, c)."""
 
     def run(key: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = key[0].as_py()
         seen, total = summed(parts)
         q = quantised(total, base)
-        bits = np.zeros(1 << part_bits, dtype=bool)
+        size = 8 * max(8, -(-int(q.sum()) * bits_each // 8))
+        bits = np.zeros(size, dtype=bool)
         for level in range(1, int(q.max(initial=0)) + 1):
             x, y = levels_hash(seen[q >= level], level)
             for k in range(PROBES):
-                with np.errstate(over="ignore"):
-                    bits[((x + y * U64(k)) >> U64(64 - part_bits)).astype(np.int64)] = True
+                bits[placed(x, y, k, np.array(size))] = True
         yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64())], ["part", "bits", "h", "c"])
-        for at in range(0, len(seen) if part < 2 * SEGMENTS else 0, 100_000):
+        for at in range(0, len(seen) if part < 1 << segment_bits else 0, 100_000):
             h, c = seen[at : at + 100_000], total[at : at + 100_000]
             yield pa.RecordBatch.from_arrays([pa.nulls(len(h), pa.int32()), pa.nulls(len(h), pa.binary()), as_signed(h), pa.array(c)], ["part", "bits", "h", "c"])
 
     return pieces.groupBy("part").applyInArrow(run, "part int, bits binary, h long, c long")
 
 
-def learn(training: DataFrame, base: float = 2.0, mu: float = 50.0, head: int = 1 << 18, bits_each: int = 8, max_bits: int = 1 << 30) -> tuple[Model, DataFrame]:
-    """The model, and the exact word counts (h, c) as a table. ``training`` has ``text``."""
-    # the filter's size follows the number of words, of which there are about a sixth as many as characters
+def learn(training: DataFrame, base: float = 2.0, mu: float = 50.0, head: int = 1 << 18, bits_each: int = 12, part_tokens: int = 1 << 19) -> tuple[Model, int, DataFrame, DataFrame]:
+    """The model, how many bits number a segment, the filter's parts (part, bits) and the exact word counts (h, c). ``training`` has ``text``."""
+    # the number of parts follows the number of words, of which there are about a sixth as many as characters
     size = training.agg(F.sum(F.length("text")).alias("chars"), F.count("*").alias("texts")).first()
-    entries = (size["chars"] or 0) / 6 + size["texts"]
-    part_bits = int(np.clip(np.ceil(np.log2(max(1, entries * bits_each / SEGMENTS / 2))), 10, np.log2(max_bits / SEGMENTS / 2)))
-    pieces = training.select("text").mapInArrow(counted, "part int, hashes binary, counts binary")
-    found = cut(gathered(pieces, part_bits, base))
-    counts = found.where("h IS NOT NULL").select("h", "c")
+    tokens = (size["chars"] or 0) / 6 + size["texts"]
+    segment_bits = int(np.clip(np.ceil(np.log2(max(1, tokens / part_tokens))), 8, 24))
+    pieces = training.select("text").mapInArrow(counted(segment_bits), "part int, hashes binary, counts binary")
+    found = cut(gathered(pieces, segment_bits, base, bits_each))
+    counts, parts = found.where("h IS NOT NULL").select("h", "c"), found.where("bits IS NOT NULL").select("part", "bits")
     totals = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
-    parts = found.where("bits IS NOT NULL").select("part", "bits").toLocalIterator()  # max_bits at most
     top = counts.orderBy(F.desc("c"), "h").limit(head).toArrow()  # the frequent words' fixed bound
     h, c = top.column("h").to_numpy().view(U64), top.column("c").to_numpy()
     order = np.argsort(h)
-    return Model(CountFilter(part_bits, base, parts), totals["n"] or 0, totals["v"], (h[order], c[order]), mu), counts
+    return Model(totals["n"] or 0, totals["v"], (h[order], c[order]), mu, base), segment_bits, parts, counts
+
+
+SCORED = "doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rare array<long>, times array<int>"
 
 
-def score(documents: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
-    """Adds n_tokens, n_known, base_score and score to doc_id and held_out."""
-    spark = documents.sparkSession
-    held = spark.sparkContext.broadcast(model)
-    names = ["doc_id", "held_out", "n_tokens", "known", "base", "score", "rare", "times"]
+def scored(model: Model, flat: np.ndarray, sizes: np.ndarray, grams: Grams, words: np.ndarray, pairs: np.ndarray, ids: pa.Array, held_out: pa.Array) -> pa.RecordBatch:
+    """A batch's rows: exact sums over the frequent words, the others with how often they come, and the score."""
+    edges = np.concatenate([[0], np.cumsum(sizes)])
+    c, hit = model.known(flat)
+    add = lambda x: np.add.reduceat(x, edges[:-1])
+    base = add(np.where(hit, np.log10(model.base(c)), 0.0))
+    at = np.flatnonzero(~hit)
+    owner = np.searchsorted(edges, at, side="right") - 1
+    order = np.lexsort((flat[at], owner))
+    h, o = flat[at][order], owner[order]
+    head = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (o[1:] != o[:-1])])) if len(h) else np.zeros(0, np.int64)
+    lengths = np.bincount(o[head], minlength=len(sizes))
+    lists = [ragged(h[head].view(np.int64), lengths, pa.int64()), ragged(np.diff(head, append=len(h)), lengths, pa.int32())]
+    score = add(model.log_probability(flat, grams, words, pairs))
+    return pa.RecordBatch.from_arrays([ids, held_out, pa.array(sizes), pa.array(add(hit.astype(np.int64))), pa.array(base), pa.array(score), *lists], [x.split()[0] for x in SCORED.split(", ")])
+
+
+def by_broadcast(documents: DataFrame, model: Model, segment_bits: int, parts: DataFrame) -> DataFrame:
+    """Scores with the whole filter on every worker."""
+    held = documents.sparkSession.sparkContext.broadcast((model, CountFilter(segment_bits, parts.toLocalIterator())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = held.value
+        m, counts = held.value
+        for whole in batches:
+            for batch in slices(whole, most=4 << 20):
+                flat, edges = tokens_of(batch.column("text"))
+                grams = Grams(flat)
+                yield scored(m, flat, np.diff(edges), grams, counts.levels(grams.words, 0), counts.levels(grams.pairs, 1), batch.column("doc_id"), batch.column("held_out"))
+
+    return documents.select("doc_id", "held_out", "text").mapInArrow(run, SCORED)
+
+
+def by_part(documents: DataFrame, model: Model, segment_bits: int, parts: DataFrame) -> DataFrame:
+    """Scores with each part of the filter in one place: a batch's distinct n-grams go there, and their levels come back."""
+    held = documents.sparkSession.sparkContext.broadcast(model)
+    names = ["batch", "part", "hashes", "ids", "held", "sizes"]
+    kinds = [pa.binary(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64())]
+
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, most=4 << 20):
+                name = os.urandom(16)  # the rows are written before they are read, so each batch has one name
                 flat, edges = tokens_of(batch.column("text"))
-                sizes = np.diff(edges)
-                c, hit = m.known(flat)
-                add = lambda x: np.add.reduceat(x, edges[:-1])
-                base = add(np.where(hit, np.log10(m.base(c)), 0.0))
-                scored = add(m.log_probability(flat))
-                at = np.flatnonzero(~hit)
-                owner = np.searchsorted(edges, at, side="right") - 1
-                order = np.lexsort((flat[at], owner))
-                h, o = flat[at][order], owner[order]
-                head = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (o[1:] != o[:-1])])) if len(h) else np.zeros(0, np.int64)
-                lengths = np.bincount(o[head], minlength=len(sizes))
-                lists = [ragged(h[head].view(np.int64), lengths, pa.int64()), ragged(np.diff(head, append=len(h)), lengths, pa.int32())]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(sizes), pa.array(add(hit.astype(np.int64))), pa.array(base), pa.array(scored), *lists], names)
-
-    parts = documents.select("doc_id", "held_out", "text").mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rare array<long>, times array<int>")
-    parts = cut(parts.withColumn("row", F.monotonically_increasing_id()))  # rows without texts; read twice below
+                grams = Grams(flat)
+                own = [[name], [-1], [flat.tobytes()], [batch.column("doc_id").to_pylist()], [batch.column("held_out").to_pylist()], [np.diff(edges).tolist()]]
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(own, kinds, strict=True)], names)
+                for kind, hashes in enumerate((grams.words, grams.pairs)):
+                    bounds = np.searchsorted(hashes >> U64(64 - segment_bits), np.arange((1 << segment_bits) + 1, dtype=U64))
+                    full = np.flatnonzero(np.diff(bounds))
+                    rows = [hashes[bounds[s] : bounds[s + 1]].tobytes() for s in full.tolist()]
+                    none = [pa.nulls(len(full), k) for k in kinds[3:]]
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(full), pa.binary()), pa.array(full + (kind << segment_bits), pa.int32()), pa.array(rows, pa.binary()), *none], names)
+
+    def answered(rows: pa.Table, part: pa.Table) -> pa.Table:
+        bits = np.frombuffer(part.column("bits")[0].as_py() if part.num_rows else bytes(1), dtype=np.uint8)
+        size = len(bits) * 8 if part.num_rows else 0
+        out = []
+        for one in rows.column("hashes"):
+            h = np.frombuffer(one.as_py(), dtype=U64)
+            out.append(levels_in(bits, h, np.zeros(len(h), np.int64), np.full(len(h), size)).tobytes())
+        return pa.table({"batch": rows.column("batch"), "part": rows.column("part"), "levels": pa.array(out, pa.binary())})
+
+    def put_together(own: pa.Table, answers: pa.Table) -> pa.Table:
+        flat = np.frombuffer(own.column("hashes")[0].as_py(), dtype=U64)
+        part = answers.column("part").to_numpy()
+        order, split = np.argsort(part), int((part < 1 << segment_bits).sum())
+        found = answers.column("levels").to_pylist()
+        words, pairs = (np.frombuffer(b"".join(found[k] for k in some), dtype=np.uint8) for some in (order[:split], order[split:]))
+        sizes = np.array(own.column("sizes")[0].as_py(), dtype=np.int64)
+        ids, flags = (pa.array(own.column(c)[0].as_py(), k) for c, k in (("ids", pa.int64()), ("held", pa.bool_())))
+        return pa.Table.from_batches([scored(held.value, flat, sizes, Grams(flat), words, pairs, ids, flags)])
+
+    rows = cut(documents.select("doc_id", "held_out", "text").mapInArrow(asked, "batch binary, part int, hashes binary, ids array<long>, held array<boolean>, sizes array<long>"))
+    levels = rows.where("part >= 0").select("batch", "part", "hashes").groupBy("part").cogroup(parts.groupBy("part")).applyInArrow(lambda a, b: answered(a, b), "batch binary, part int, levels binary")
+    return rows.where("part < 0").groupBy("batch").cogroup(levels.groupBy("batch")).applyInArrow(lambda a, b: put_together(a, b), SCORED)
+
+
+def score(documents: DataFrame, learnt: tuple[Model, int, DataFrame, DataFrame], max_bytes: int = 1 << 27) -> DataFrame:
+    """Adds n_tokens, n_known, base_score and score to doc_id and held_out. A filter above ``max_bytes`` is not broadcast."""
+    model, segment_bits, parts, counts = learnt
+    size = parts.agg(F.sum(F.length("bits"))).first()[0] or 0
+    found = (by_broadcast if size <= max_bytes else by_part)(documents, model, segment_bits, parts)
+    found = cut(found.withColumn("row", F.monotonically_increasing_id()))  # rows without texts; read twice below
     unseen = F.lit(math.log10(0.5 / (model.n + 0.5 * (model.v + 1))))
-    rare = parts.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("h"), F.col("x.times").alias("times"))
+    rare = found.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("h"), F.col("x.times").alias("times"))
     met = rare.join(counts, "h", "left")
     p = F.when(F.col("c").isNull(), unseen).otherwise(F.log10((F.col("c") + 0.5) / F.lit(model.n + 0.5 * (model.v + 1))))
     tail = met.groupBy("row").agg(F.sum(F.when(F.col("c").isNotNull(), F.col("times")).otherwise(0)).alias("tail_known"), F.sum(p * F.col("times")).alias("tail_base"))
-    done = parts.drop("rare", "times").join(tail, "row", "left")
+    done = found.drop("rare", "times").join(tail, "row", "left")
     zero = F.lit(0)
     return done.select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("tail_known", zero)).alias("n_known"),
@@ -270,5 +363,4 @@ def score(documents: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
 
 def op7_lm_score(spark, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text", (crc_fold() == 1).alias("held_out"))
-    model, counts = learn(documents.where("not held_out"))
-    return score(documents, model, counts)
+    return score(documents, learn(documents.where("not held_out")))

@@ -115,31 +115,69 @@ def test_decontaminate(spark, docs, empty):
                     names |= windows[tuple(w[a : a + n])]
                     hit |= set(range(a, a + n))
         want[r[0], len(w), len(hit), len(names), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest(), len(names) >= 2] += 1
-    columns = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+    columns = ["kept.doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
     for size in (1_000_000, 5):  # one block, and several
         assert Counter(map(tuple, decontaminate.report(decontaminate.matches(docs, bench, block_words=size)).select(*columns).collect())) == want
-    index, block = decontaminate.build_index(docs, bench)
-    assert Counter(map(tuple, decontaminate.report(decontaminate.search_index(index, block)).select(*columns).collect())) == want
-    near = spark.createDataFrame([(1, "alpha beta gamma delta"), (2, "alpha zz beta gamma")], "doc_id long, text string")
-    found = {r["doc_id"]: (r["items"], r["near"]) for r in decontaminate.matches(near, spark.createDataFrame([(9, "alpha beta gamma")], "item_id long, text string")).collect()}
-    assert found == {1: (["9"], ["9"]), 2: ([], ["9"])}
+    kept = decontaminate.matches(docs, bench, keep=tuple(docs.columns)).select("kept.*")
+    assert kept.columns == docs.columns and Counter(map(str, kept.collect())) == Counter(map(str, docs.collect()))
+    keys = decontaminate.contaminated_texts(docs, bench).join(docs.select(*decontaminate.text_key(), "text"), ["a", "b"])
+    texts = {r[1] for r in rows if any(w[2] and w[0] == r[0] for w in want)}
+    assert {r["text"] for r in keys.collect()} == texts
     assert decontaminate.report(decontaminate.matches(empty, bench.limit(0))).count() == 0
 
 
+def test_decontaminate_near(spark):
+    rnd = random.Random(7)
+    rows = [(k, " ".join(rnd.choice("abcd") + rnd.choice("xy") for _ in range(rnd.randint(0, 30)))) for k in range(60)]
+    items = [(k, " ".join(rnd.choice("abcd") + rnd.choice("xy") for _ in range(n))) for k, n in enumerate([1, 2, 3, 4, 9, 12])]
+    frames = spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string")
+    for slop in (0, 1, 2):
+        for window, block in ((4, 100), (4, 3), (8, 100)):
+            got = {r["kept"]["doc_id"]: (r["found"]["items"], r["found"]["near"]) for r in decontaminate.matches(*frames, window=window, slop=slop, block_words=block).collect()}
+            for d, text in rows:
+                w = text.split()
+                exact, near = set(), set()
+                for name, item in items:
+                    x = item.split()
+                    for a in range(max(1, len(x) - window + 1)):
+                        p = x[a : a + window]
+                        for start in range(-40, len(w) + 5):
+                            far = [min((abs(j - start - k) for j, t in enumerate(w) if t == q), default=99) for k, q in enumerate(p)]
+                            if max(far) <= slop:
+                                near.add(str(name))
+                                if max(far) == 0:
+                                    exact.add(str(name))
+                assert got[d] == (sorted(exact), sorted(near)), (slop, window, d)
+
+
 def test_lm_score(docs, empty):
     train = docs.withColumn("held_out", F.col("doc_id") % 5 == 1).select("doc_id", "text", F.coalesce("held_out", F.lit(False)).alias("held_out"))
-    model, counts = lm_score.learn(train.where("not held_out"), head=3)
-    got = Counter((r["doc_id"], r["n_tokens"], r["n_known"], round(r["base_score"], 6)) for r in lm_score.score(train, model, counts).collect())
+    learnt = lm_score.learn(train.where("not held_out"), head=3, bits_each=2000)  # so many bits that nothing is taken for another
+    found = {}
+    for name, most in (("broadcast", 1 << 27), ("parts", 0)):
+        rows = lm_score.score(train, learnt, max_bytes=most).collect()
+        found[name] = Counter((r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6), round(r["score"], 6)) for r in rows)
     tokens = [(r[0], [*SPACED.findall(low(r[1] or "")), " end"]) for r in corpus()]
-    c = Counter(w for d, t in tokens if d is None or d % 5 != 1 for w in t)
+    training = [t for d, t in tokens if d is None or d % 5 != 1]
+    c = Counter(w for t in training for w in t)
+    pairs = Counter(p for t in training for p in zip([" end", *t], t))
     n, v = sum(c.values()), len(c)
-    assert got == Counter((d, len(t), sum(c[w] > 0 for w in t), round(sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in t), 6)) for d, t in tokens)
-    hashes = np.array([words.word_hash(w) for w in c if w != " end"], dtype=np.uint64)
-    read = model.counts.count(hashes, 1)
-    for w, have in zip([w for w in c if w != " end"], read, strict=True):
-        assert have >= c[w] / 2 - 1e-9  # no count is lost, and quantisation halves at most
-    model, counts = lm_score.learn(empty)
-    assert lm_score.score(train, model, counts).where("n_known > 0").count() == 0
+
+    def read(count):
+        q = 1 + math.floor(math.log2(count)) if count else 0
+        return (2 ** (q - 1) + max(2 ** (q - 1), 2**q - 1)) / 2 if q else 0
+
+    base = lambda x: (x + 0.5) / (n + 0.5 * (v + 1))
+
+    def model(before, word):
+        c1, cb = read(c[word]), read(c[before])
+        return math.log10((min(read(pairs[before, word]), c1, cb) + 50 * base(c1)) / (cb + 50))
+
+    want = Counter((d, len(t), sum(c[w] > 0 for w in t), n, round(sum(math.log10(base(c[w])) for w in t), 6), round(sum(model(*p) for p in zip([" end", *t], t)), 6)) for d, t in tokens)
+    assert found["broadcast"] == want and found["parts"] == want
+    learnt = lm_score.learn(empty)
+    assert lm_score.score(train, learnt).where("n_known > 0").count() == 0
+    assert lm_score.score(train.limit(0), learnt).count() == 0
 
 
 def test_line_dedup(spark, docs, empty):
@@ -278,7 +316,7 @@ def test_toxicity(spark, empty):
     rows += [(900, None), (901, ""), (902, "thingsh " * 30_000), (903, "you scu-mbag"), (904, "s c u m b a g it is")]
     frame = spark.createDataFrame(rows, "doc_id long, text string").withColumn("score", F.lit("mine"))
     labels = spark.createDataFrame([*marks, (None, 1), (5000, 1), (3, None)], "doc_id long, toxic int")
-    got = {r["doc_id"]: r["score"] for r in toxicity.scores(frame, labels).collect()}
+    got = {r["kept"]["doc_id"]: r["score"] for r in toxicity.scores(frame, labels).collect()}
     held = [k for k in range(400) if zlib.crc32(str(k).encode()) % 5 == 0]
     assert np.mean([(got[k] >= 0.5) == (k % 4 == 0) for k in held]) > 0.95
     assert all(0 <= s <= 1 for s in got.values()) and got[903] >= 0.5 and got[904] >= 0.5 and got[900] < 0.5 and got[901] < 0.5
