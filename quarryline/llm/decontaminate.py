@@ -1,59 +1,66 @@
-"""Benchmark decontamination over a positional inverted index.
+"""Benchmark decontamination over a distributed positional inverted index.
 
-The index is partitioned by document: each task turns its documents into posting lists (term ->
-positions) of the terms that a block of test items uses. A phrase is answered from its rarest term
-there: that term's positions, less its offset, are the possible starts; the other lists, adjusted by
-their offsets, are intersected from the next rarest on. A proximity match lets every term be up to
-``slop`` words away from its place. Which term is rarest changes the work, never the answer.
+The index is a table that is written once: documents are read in segments of a few megabytes of text, and a row holds one
+term's postings in one segment, the places where it stands, in order. One more row a segment tells of its documents. Places
+count through a segment, with a gap after each document.
 
-Test items are read in blocks of at most ``block_words`` words; only one block's terms and phrases are
-broadcast at a time, and every block is held against all documents. No shuffle is needed. Postings can
-also be stored (``build_index``) and searched later (``search_index``).
+Test items are read in blocks of at most ``block_words`` words; one block is held at a time. Its terms select the postings
+(a join with a broadcast list of at most that many hashes), which come together by segment. There every phrase is answered from its rarest
+term: that term's places, less its offset, are the possible starts; the other lists, adjusted by their offsets, are intersected
+from the next rarest on, for all phrases of one length at once. A proximity match lets every term be up to ``slop`` words away from its
+place. Which term is rarest changes the work, never the answer. What is found is written down before the next block is read.
 
 Edge cases: a null or empty text has no words; an item without words, or with a null id, matches
 nothing; items with equal ids are one item; phrases shared by items count for each; rows given twice
-are judged twice. Other columns are ignored.
+are judged twice. Columns of documents that are not kept are ignored; those kept may have any name.
 """
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarryline.llm.common import PLAIN_WORD, U64, ascii_lower, ragged, table
-from quarryline.llm.words import PLAIN, Words, slices, word_hash
+from quarryline.llm.common import PLAIN_WORD, U64, as_signed, ascii_lower, cut, named, table
+from quarryline.llm.words import PLAIN, Words, pieces, slices, word_hash
 
 GAP = 64
+#: Bytes of text in a segment, and possible starts that are looked at together.
+SEGMENT, AT_ONCE = 4 << 20, 2_000_000
 
 
 class Block:
     """The phrases of some test items: windows of ``window`` words, or the whole of a shorter item."""
 
     def __init__(self, items: list[tuple[str, list[str]]], window: int) -> None:
-        self.vocabulary: dict[str, int] = {}
+        terms: dict[str, int] = {}
         self.items = sorted({name for name, _ in items})
         number = {name: k for k, name in enumerate(self.items)}
         owners: dict[tuple[int, ...], set[int]] = {}
         for name, words in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words]
+            ids = [terms.setdefault(w, len(terms)) for w in words]
             for at in range(max(1, len(ids) - window + 1)):
                 owners.setdefault(tuple(ids[at : at + window]), set()).add(number[name])
-        self.terms = Vocabulary(list(self.vocabulary))
-        self.phrases = list(owners)
-        self.owners = [np.array(sorted(x)) for x in owners.values()]
-        self.by_length = {}
-        for n in sorted({len(p) for p in self.phrases}):
-            at = [k for k, p in enumerate(self.phrases) if len(p) == n]
-            self.by_length[n] = (np.array(at), np.array([self.phrases[k] for k in at], dtype=np.int32))
+        self.by_length: dict[int, tuple[np.ndarray, list[np.ndarray]]] = {}
+        for n in sorted({len(p) for p in owners}):
+            some = [p for p in owners if len(p) == n]
+            self.by_length[n] = (np.array(some, dtype=np.int32), [np.array(sorted(owners[p]), dtype=np.int32) for p in some])
+        self.hashes = np.array([word_hash(t) for t in terms], dtype=U64)
+        self.order = np.argsort(self.hashes)
+
+    def numbers(self, hashes: np.ndarray) -> np.ndarray:
+        """The numbers of terms by their hashes; all of them must be terms."""
+        return self.order[np.searchsorted(self.hashes, hashes, sorter=self.order)]
 
 
 def blocks(items: DataFrame, window: int, block_words: int) -> Iterator[Block]:
+    """One block after the other; rows of the items come to the driver a partition at a time."""
     held, size = [], 0
     for row in items.where("item_id IS NOT NULL").select(F.col("item_id").cast("string").alias("item_id"), "text").toLocalIterator():
         words = PLAIN_WORD.findall(ascii_lower(row.text or ""))
@@ -67,204 +74,224 @@ def blocks(items: DataFrame, window: int, block_words: int) -> Iterator[Block]:
         yield Block(held, window)
 
 
-class Vocabulary:
-    """Finds the number of each hash among the terms', -1 for others."""
-
-    def __init__(self, terms: list[str]) -> None:
-        hashes = np.array([word_hash(t) for t in terms], dtype=U64)
-        self.order = np.argsort(hashes)
-        self.sorted = hashes[self.order]
-        self.bits = int(np.clip(np.ceil(np.log2(16 * max(1, len(terms)))), 16, 24))
-        slot = (self.sorted >> U64(64 - self.bits)).astype(np.int64)
-        self.slots = np.full(1 << self.bits, -1, dtype=np.int32)
-        self.slots[slot] = np.arange(len(slot))
-        self.slots[slot[1:][slot[1:] == slot[:-1]]] = -2  # shared: looked up by bisection
-
-    def numbers(self, hashes: np.ndarray) -> np.ndarray:
-        at = self.slots[(hashes >> U64(64 - self.bits)).astype(np.int64)]
-        if not len(self.sorted):
-            return at
-        shared = np.flatnonzero(at == -2)
-        at[shared] = np.minimum(np.searchsorted(self.sorted, hashes[shared]), len(self.sorted) - 1)
-        hit = np.flatnonzero(at >= 0)
-        hit = hit[self.sorted[at[hit]] == hashes[hit]]
-        out = np.full(len(hashes), -1, dtype=np.int32)
-        out[hit] = self.order[at[hit]]
-        return out
-
-
 class Postings:
-    """Posting lists of a batch of documents; places count through the batch, with a gap after each document."""
-
-    def __init__(self, n_words: np.ndarray, terms: np.ndarray, places: np.ndarray, n_terms: int) -> None:
-        """``terms`` and ``places`` of all occurrences, documents in order."""
-        self.n_words = n_words
-        self.base = np.concatenate([[0], np.cumsum(n_words + GAP)])
-        order = np.argsort(terms, kind="stable")
-        self.places = places[order]
-        self.edges = np.concatenate([[0], np.cumsum(np.bincount(terms, minlength=n_terms))])
-
-    @classmethod
-    def of_texts(cls, column: pa.Array, vocabulary: Vocabulary, n_terms: int) -> Postings:
-        words = Words(column, PLAIN)
-        numbers = vocabulary.numbers(words.hashes(lower=True))
-        at = np.flatnonzero(numbers >= 0)
-        owner = np.searchsorted(words.edges, at, side="right") - 1
-        return cls(words.counts(), numbers[at], at + owner * GAP, n_terms)
-
-    def of(self, term: int) -> np.ndarray:
-        return self.places[self.edges[term] : self.edges[term + 1]]
-
-    def counts(self) -> np.ndarray:
-        return np.diff(self.edges)
-
-    def starts(self, phrase: np.ndarray, order: np.ndarray, slop: int) -> tuple[np.ndarray, np.ndarray]:
-        """Starts at which every term is within ``slop`` of its place, and which of them are exact."""
-        first = order[0]
-        found = self.of(phrase[first]) - first
-        if slop:
-            found = np.unique(np.concatenate([found + d for d in range(-slop, slop + 1)]))
-        exact = np.ones(len(found), dtype=bool)
-        for k in order if slop else order[1:]:
-            listed = self.of(phrase[k])
-            at = np.searchsorted(listed, found + k)
-            after = listed[np.minimum(at, len(listed) - 1)] - (found + k)
-            before = listed[np.maximum(at - 1, 0)] - (found + k)
-            near = np.minimum(np.abs(after), np.abs(before))
-            keep = near <= slop
-            found, exact = found[keep], exact[keep] & (near[keep] == 0)
-            if not len(found):
-                break
-        return found, exact
-
-
-def search(postings: Postings, block: Block, slop: int) -> tuple[list[np.ndarray], dict[int, set], dict[int, set]]:
-    """Hit spans of each document, and the items that occur in it exactly and nearly."""
-    counts, base = postings.counts(), postings.base
-    steps = np.zeros(int(base[-1]) + 1, dtype=np.int32)
-    exact_items: dict[int, set] = {}
-    near_items: dict[int, set] = {}
-    for n, (numbers, phrases) in block.by_length.items():
-        frequency = counts[phrases]
-        for k in np.flatnonzero(frequency.min(axis=1) > 0):
-            found, exact = postings.starts(phrases[k], np.argsort(frequency[k], kind="stable"), slop)
-            if not len(found):
-                continue
-            owners = block.owners[numbers[k]].tolist()
-            for doc in np.unique(np.searchsorted(base, found + n // 2, side="right") - 1).tolist():
-                near_items.setdefault(doc, set()).update(owners)
-            hits = found[exact]
-            np.add.at(steps, hits, 1)
-            np.add.at(steps, hits + n, -1)
-            for doc in np.unique(np.searchsorted(base, hits, side="right") - 1).tolist():
-                exact_items.setdefault(doc, set()).update(owners)
-    edges = np.diff(np.concatenate([[0], (np.cumsum(steps) > 0).astype(np.int8)]))
-    begins, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
-    owner = np.searchsorted(base, begins, side="right") - 1
-    spans = np.stack([begins - base[owner], ends - base[owner]], axis=1) if len(begins) else np.zeros((0, 2), np.int64)
-    parts = np.searchsorted(owner, np.arange(len(postings.n_words) + 1))
-    return [spans[parts[k] : parts[k + 1]] for k in range(len(postings.n_words))], exact_items, near_items
-
-
-def union_of(spans: list[list[int]]) -> list[list[int]]:
-    out: list[list[int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(b, out[-1][1])
-        else:
-            out.append([a, b])
-    return out
-
-
-FOUND = "n_words long, spans array<array<int>>, items array<string>, near array<string>"
-FOUND_TYPES = [pa.int64(), pa.list_(pa.list_(pa.int32())), pa.list_(pa.string()), pa.list_(pa.string())]
-
-
-def _searched(batch: pa.RecordBatch, postings: Postings, block: Block, slop: int) -> list[pa.Array]:
-    """The result columns, joined with those of the blocks before."""
-    spans, exact, near = search(postings, block, slop)
-    earlier = [batch.column(n).to_pylist() for n in ("spans", "items", "near")] if "spans" in batch.schema.names else [[()] * batch.num_rows] * 3
-    cols: list[list] = [[], [], []]
-    for k, (old_spans, old_items, old_near) in enumerate(zip(*earlier, strict=True)):
-        own = [*(old_spans or ()), *spans[k].tolist()]
-        cols[0].append(union_of(own))
-        cols[1].append(sorted({*(old_items or ()), *(block.items[x] for x in exact.get(k, ()))}))
-        cols[2].append(sorted({*(old_near or ()), *(block.items[x] for x in near.get(k, ()))}))
-    return [pa.array(c, kind) for c, kind in zip([postings.n_words.tolist(), *cols], FOUND_TYPES, strict=True)]
-
-
-def matches(documents: DataFrame, items: DataFrame, window: int = 8, slop: int = 1, block_words: int = 1_000_000, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """documents (doc_id, text), items (item_id, text) -> the columns ``keep``, n_words, spans, items, near.
-
-    ``spans``: [start, end) of the words inside exact matches, merged. ``items``: ids, as sorted strings,
-    of the items with an exactly matching phrase; ``near``: with a match within ``slop``, exact ones included.
-    """
-    spark = documents.sparkSession
-    own = [f"_{n}" for n in range(len(keep))]  # no name of theirs can clash with an added one
-    found = documents.select(*[F.col(c).alias(n) for c, n in zip(keep, own, strict=True)], F.col("text").cast("string").alias("text"))
-    fields = found.schema.fields[:-1]
-    passes = list(blocks(items, window, block_words)) or [Block([], window)]
-    for number, block in enumerate(passes):
-        last = number == len(passes) - 1
-        held = spark.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pa.RecordBatch], held=held, last=last) -> Iterator[pa.RecordBatch]:
-            for whole in batches:
-                for batch in slices(whole, most=16 << 20):
-                    postings = Postings.of_texts(batch.column("text"), held.value.terms, len(held.value.vocabulary))
-                    cols = _searched(batch, postings, held.value, slop)
-                    yield pa.RecordBatch.from_arrays([*map(batch.column, own), *([] if last else [batch.column("text")]), *cols], [*own, *([] if last else ["text"]), "n_words", "spans", "items", "near"])
-
-        added = T.StructType.fromDDL(f"{'' if last else 'text string, '}{FOUND}")
-        found = found.mapInArrow(run, T.StructType([*fields, *added.fields]))
-    return found.select(*[F.col(n).alias(c) for c, n in zip(keep, own, strict=True)], *[F.col(c) for c in ("n_words", "spans", "items", "near") if c not in keep])
-
-
-def build_index(documents: DataFrame, items: DataFrame, window: int = 8, block_words: int = 1_000_000) -> tuple[DataFrame, Block]:
-    """Postings of the test terms as a table to store: doc_id, n_words, terms, places (sorted by term). One block of items only."""
-    passes = list(blocks(items, window, block_words)) or [Block([], window)]
-    if len(passes) > 1:
-        raise ValueError("the items exceed one block; index them block by block")
-    held = documents.sparkSession.sparkContext.broadcast(passes[0])
+    """Posting lists of one segment for a block's terms, as one sorted array of term and place."""
+
+    def __init__(self, terms: np.ndarray, places: list[np.ndarray], n_terms: int) -> None:
+        counts = np.zeros(n_terms, dtype=np.int64)
+        counts[terms] = [len(p) for p in places]
+        self.counts, self.edges = counts, np.concatenate([[0], np.cumsum(counts)])
+        order = np.argsort(terms)
+        self.places = np.concatenate([*(places[k] for k in order), np.zeros(0, np.int32)]).astype(np.int64)
+        self.span = int(self.places.max(initial=0)) + 4 * GAP
+        self.keys = np.repeat(np.arange(n_terms), counts) * self.span + self.places + GAP
+
+    def nearest(self, term: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """How far the nearest place of each term is from the one given; GAP for farther ones. Each term has a place."""
+        low, high = self.edges[term], self.edges[term + 1]
+        at = np.clip(np.searchsorted(self.keys, term * self.span + place + GAP), low, high)
+        after = self.places[np.minimum(at, high - 1)] - place
+        before = self.places[np.maximum(at - 1, low)] - place
+        return np.minimum(np.minimum(np.abs(after), np.abs(before)), GAP)
+
+    def matches(self, phrases: np.ndarray, slop: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Number of the phrase, start, and whether it is exact, of all places where its terms are within ``slop`` of theirs."""
+        frequency = self.counts[phrases]
+        possible = np.flatnonzero(frequency.min(axis=1) > 0)
+        order = np.argsort(frequency[possible], axis=1, kind="stable")
+        least = np.take_along_axis(frequency[possible], order[:, :1], 1)[:, 0]
+        total = np.concatenate([[0], np.cumsum(least * (2 * slop + 1))])
+        at = 0
+        while at < len(possible):
+            to = max(at + 1, int(np.searchsorted(total, total[at] + AT_ONCE, side="right")) - 1)
+            rows, n = np.arange(at, to), least[at:to]
+            row = np.repeat(rows, n)
+            rarest = phrases[possible[row], order[row, 0]]
+            start = self.places[self.edges[rarest] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)] - order[row, 0]
+            if slop:
+                row, start = np.repeat(row, 2 * slop + 1), (start[:, None] + np.arange(-slop, slop + 1)).ravel()
+                pad = phrases.shape[1] + GAP
+                key = np.unique(row * (self.span + 2 * pad) + start + pad)  # a start is met from several places
+                row, start = key // (self.span + 2 * pad), key % (self.span + 2 * pad) - pad
+            exact = np.ones(len(row), dtype=bool)
+            for k in range(phrases.shape[1]):
+                offset = order[row, k]
+                far = self.nearest(phrases[possible[row], offset], start + offset)
+                keep = far <= slop
+                row, start, exact = row[keep], start[keep], (exact & (far == 0))[keep]
+            yield possible[row], start, exact
+            at = to
+
+
+def union_of(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ranges [first, last) as the fewest ranges that cover the same, in order."""
+    order = np.argsort(first, kind="stable")
+    first, reach = first[order], np.maximum.accumulate(last[order]) if len(last) else last
+    head = np.flatnonzero(np.concatenate([[True], first[1:] > reach[:-1]])) if len(first) else np.zeros(0, np.int64)
+    return first[head], reach[np.append(head[1:], len(first)) - 1] if len(first) else reach
+
+
+HITS = "segment binary, k int, spans array<array<int>>, items array<string>, near array<string>"
+
+
+def searched(segment: bytes, begins: np.ndarray, postings: Postings, block: Block, slop: int) -> pa.Table:
+    """Documents of a segment (numbered by where they begin) with their hit spans and the items that occur exactly and nearly."""
+    firsts, lasts, exact_items, near_items = [], [], set(), set()
+    for n, (phrases, owners) in block.by_length.items():
+        for phrase, start, exact in postings.matches(phrases, slop):
+            doc = np.searchsorted(begins, start + GAP // 2, side="right") - 1  # a start can be ``slop`` words before its document
+            firsts.append(start[exact])
+            lasts.append(start[exact] + n)
+            pairs = np.unique(np.stack([doc, phrase, ~exact], axis=1), axis=0)
+            for d, p, near in pairs.tolist():
+                (near_items if near else exact_items).update((d, x) for x in owners[p].tolist())
+    first, last = union_of(np.concatenate([*firsts, np.zeros(0, np.int64)]), np.concatenate([*lasts, np.zeros(0, np.int64)]))
+    doc = np.searchsorted(begins, first, side="right") - 1
+    out: dict[int, tuple[list, list, list]] = {}
+    for d, a, b in zip(doc.tolist(), (first - begins[doc]).tolist(), (last - begins[doc]).tolist(), strict=True):
+        out.setdefault(d, ([], [], []))[0].append([a, b])
+    for place, found in ((1, exact_items), (2, exact_items | near_items)):
+        for d, x in sorted(found):
+            out.setdefault(d, ([], [], []))[place].append(block.items[x])
+    kinds = [pa.list_(pa.list_(pa.int32())), pa.list_(pa.string()), pa.list_(pa.string())]
+    columns = [pa.array([v[k] for v in out.values()], kind) for k, kind in enumerate(kinds)]
+    return pa.Table.from_arrays([pa.array([segment] * len(out), pa.binary()), pa.array(list(out), pa.int32()), *columns], names=["segment", "k", "spans", "items", "near"])
+
+
+def build_index(documents: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The stored index: segment, term, places of postings, and docs (the columns ``keep``, as _0, _1 and so on, and words) of segments."""
+    own = [f"_{n}" for n in range(len(keep))]  # no name of theirs can clash with ours
+    read = documents.select(*[named(c).alias(n) for c, n in zip(keep, own, strict=True)], F.col("text").cast("string").alias("text"))
+    entry = T.StructType([*read.schema.fields[:-1], T.StructField("words", T.LongType())])
+    schema = T.StructType([T.StructField("segment", T.BinaryType()), T.StructField("term", T.LongType()), T.StructField("places", T.BinaryType()), T.StructField("docs", T.ArrayType(entry))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole):
+            for batch in slices(whole, most=SEGMENT):
+                segment = os.urandom(16)  # the index is written before it is read, so a segment has one name
                 words = Words(batch.column("text"), PLAIN)
-                numbers = held.value.terms.numbers(words.hashes(lower=True))
-                at = np.flatnonzero(numbers >= 0)
-                owner = np.searchsorted(words.edges, at, side="right") - 1
-                order = np.lexsort((at, numbers[at], owner))
-                sizes = np.bincount(owner, minlength=batch.num_rows)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(words.counts()), ragged(numbers[at][order], sizes, pa.int32()), ragged((at - words.edges[owner])[order], sizes, pa.int32())], ["doc_id", "n_words", "terms", "places"])
-
-    index = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_words long, terms array<int>, places array<int>")
-    return index, passes[0]
-
-
-def search_index(index: DataFrame, block: Block, slop: int = 1) -> DataFrame:
-    """Answers a block's phrases from stored postings: doc_id and the columns of :func:`matches`."""
-    held = index.sparkSession.sparkContext.broadcast(block)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n_words = batch.column("n_words").to_numpy()
-            sizes = pa.compute.list_value_length(batch.column("terms")).to_numpy(zero_copy_only=False)
-            base = np.repeat(np.cumsum(n_words + GAP) - n_words - GAP, sizes)
-            terms, places = (batch.column(n).flatten().to_numpy() for n in ("terms", "places"))
-            postings = Postings(n_words, terms, places + base, len(held.value.vocabulary))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *_searched(batch.select(["doc_id"]), postings, held.value, slop)], ["doc_id", "n_words", "spans", "items", "near"])
+                n, hashes = words.counts(), words.hashes(lower=True)
+                docs = pa.StructArray.from_arrays([*(batch.column(c) for c in own), pa.array(n)], [*own, "words"])
+                listed = pa.ListArray.from_arrays(pa.array([0, len(docs)], pa.int32()), docs)
+                yield pa.RecordBatch.from_arrays([pa.array([segment], pa.binary()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), listed], ["segment", "term", "places", "docs"])
+                place = (np.arange(len(hashes)) + np.repeat(np.arange(len(n)) * GAP, n)).astype("<i4")
+                order = np.argsort(hashes, kind="stable")
+                hashes, place = hashes[order], place[order]
+                head = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]])) if len(hashes) else np.zeros(0, np.int64)
+                for at in range(0, len(head), 20_000):
+                    part = head[at : at + 20_000]
+                    stop = head[at + 20_000] if at + 20_000 < len(head) else len(hashes)
+                    lists = pieces(place[part[0] : stop].view(np.uint8), (part - part[0]) * 4)
+                    yield pa.RecordBatch.from_arrays([pa.array([segment] * len(part), pa.binary()), as_signed(hashes[part]), lists, pa.nulls(len(part), listed.type)], ["segment", "term", "places", "docs"])
+
+    return cut(read.mapInArrow(run, schema))
+
+
+def search_index(index: DataFrame, items: DataFrame, window: int = 8, slop: int = 1, block_words: int = 200_000) -> DataFrame:
+    """segment, k (from 0), spans, items, near of the documents in which some item occurs, nearly at least.
 
-    return index.mapInArrow(run, f"doc_id long, {FOUND}")
-
-
-def report(found: DataFrame, least_items: int = 2, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The digest of :func:`matches`; a document with ``least_items`` items or more is contaminated."""
-    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + (s[1] - s[0]).cast("long"))
-    n = F.size("items").cast("long")
-    return found.select(*keep, "n_words", hit.alias("n_hit"), n.alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (n >= least_items).alias("contaminated"), F.size("near").cast("long").alias("n_near_items"))
+    ``spans``: [start, end) of the words inside exact matches, merged. ``items``: ids, as sorted strings,
+    of the items with an exactly matching phrase; ``near``: with a match within ``slop``, exact ones included.
+    """
+    if not 0 <= slop < GAP // 2:
+        raise ValueError(f"slop must be below {GAP // 2}")
+    spark = index.sparkSession
+    begins = index.where("docs IS NOT NULL").select("segment", F.transform("docs", lambda d: d["words"]).alias("words"), F.lit(None).cast("long").alias("term"), F.lit(None).cast("binary").alias("places"))
+    found = spark.createDataFrame([], HITS)
+    for number, block in enumerate(blocks(items, window, block_words)):
+        held = spark.sparkContext.broadcast(block)
+        terms = F.broadcast(spark.createDataFrame(pa.table({"term": as_signed(block.hashes)})))  # at most block_words
+
+        def run(key: tuple, rows: pa.Table) -> pa.Table:  # runs before the next block is read
+            block = held.value
+            own = rows.filter(pc.is_valid(rows.column("words")))
+            rows = rows.filter(pc.is_valid(rows.column("term"))).combine_chunks()
+            if not own.num_rows or not rows.num_rows:
+                return pa.schema([("segment", pa.binary()), ("k", pa.int32()), ("spans", pa.list_(pa.list_(pa.int32()))), ("items", pa.list_(pa.string())), ("near", pa.list_(pa.string()))]).empty_table()
+            words = np.array(own.column("words")[0].as_py(), dtype=np.int64)
+            numbers = block.numbers(rows.column("term").to_numpy().view(U64))
+            places = [np.frombuffer(p.as_py(), dtype="<i4") for p in rows.column("places")]
+            postings = Postings(numbers, places, len(block.hashes))
+            return searched(key[0].as_py(), np.cumsum(words + GAP) - words - GAP, postings, block, slop)
+
+        chosen = index.where("term IS NOT NULL").join(terms, "term", "left_semi").select("segment", F.lit(None).cast("array<long>").alias("words"), "term", "places")
+        hits = cut(chosen.unionByName(begins).groupBy("segment").applyInArrow(run, HITS))
+        held.destroy()
+        if number:  # what a document has of several blocks is put together
+            both = found.unionByName(hits).groupBy("segment", "k")
+            merged = both.agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("spans", "items", "near")])
+            hits = cut(merged.select("segment", "k", merged_spans(F.col("spans")).alias("spans"), F.array_sort(F.array_distinct("items")).alias("items"), F.array_sort(F.array_distinct("near")).alias("near")))
+        found = hits
+    return found
+
+
+def merged_spans(spans: Column) -> Column:
+    """Ranges as the fewest ranges that cover the same, in order."""
+
+    def step(done: Column, x: Column) -> Column:
+        last = F.try_element_at(done, F.lit(-1))
+        joined = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.array(last[0], F.greatest(last[1], x[1]))))
+        return F.when((F.size(done) > 0) & (x[0] <= last[1]), joined).otherwise(F.concat(done, F.array(x)))
+
+    return F.aggregate(F.array_sort(spans), F.array().cast("array<array<int>>"), step)
+
+
+def matches(documents: DataFrame, items: DataFrame, window: int = 8, slop: int = 1, block_words: int = 200_000, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """documents (doc_id, text), items (item_id, text) -> found: a struct of n_words, spans, items, near, and kept: one of the columns ``keep``."""
+    index = build_index(documents, keep)
+    hits = search_index(index, items, window, slop, block_words)
+    docs = index.where("docs IS NOT NULL").select("segment", F.posexplode("docs").alias("k", "doc"))
+    none, empty = F.array().cast("array<string>"), F.array().cast("array<array<int>>")
+    found = F.struct(F.col("doc.words").alias("n_words"), F.coalesce("spans", empty).alias("spans"), F.coalesce("items", none).alias("items"), F.coalesce("near", none).alias("near"))
+    kept = F.struct(*[F.col(f"doc._{n}").alias(c) for n, c in enumerate(keep)]) if keep else F.struct(F.lit(None).alias("none"))
+    return docs.join(hits, ["segment", "k"], "left").select(kept.alias("kept"), found.alias("found"))
+
+
+def report(found: DataFrame, least_items: int = 2) -> DataFrame:
+    """The digest of :func:`matches`, without the kept columns but ``kept``; a document with ``least_items`` items or more is contaminated."""
+    hit = F.aggregate("found.spans", F.lit(0).cast("long"), lambda n, s: n + (s[1] - s[0]).cast("long"))
+    n = F.size("found.items").cast("long")
+    return found.select("kept", F.col("found.n_words").alias("n_words"), hit.alias("n_hit"), n.alias("n_items"), F.sha2(F.concat_ws(",", "found.items"), 256).alias("items_sha256"), (n >= least_items).alias("contaminated"), F.size("found.near").cast("long").alias("n_near_items"))
+
+
+def text_key() -> tuple[Column, Column]:
+    """Two hashes that tell texts apart."""
+    text = F.coalesce("text", F.lit(""))
+    return F.xxhash64(text).alias("a"), F.xxhash64(F.lit("key"), F.reverse(text)).alias("b")
+
+
+def contaminated_texts(documents: DataFrame, items: DataFrame, **settings) -> DataFrame:
+    """The keys (a, b) of all texts in which some item occurs exactly, once each."""
+    index = build_index(documents.select(*text_key(), "text"), ("a", "b"))
+    hits = search_index(index, items, slop=0, **settings).where(F.size("items") > 0)
+    docs = index.where("docs IS NOT NULL").select("segment", F.posexplode("docs").alias("k", "doc"))
+    return docs.join(hits, ["segment", "k"], "left_semi").select(F.col("doc._0").alias("a"), F.col("doc._1").alias("b")).distinct()
 
 
 def op3_decontaminate(spark, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return report(matches(documents, table(spark, sf_dir, "benchmark")))
+    return report(matches(documents, table(spark, sf_dir, "benchmark"))).select("kept.doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "n_near_items")
+
+
+_WORDS = r"regexp_extract_all(translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+LEAKS_SQL = f"""
+WITH words AS (SELECT row_number() OVER () AS r, doc_id, coalesce({_WORDS.format(text="text")}, []) AS w FROM documents),
+places AS (SELECT r, unnest(w) AS term, generate_subscripts(w, 1) AS place FROM words),
+items AS (SELECT DISTINCT item_id::VARCHAR AS item, {_WORDS.format(text="text")} AS w FROM benchmark WHERE item_id IS NOT NULL),
+windows AS (
+  SELECT item, w[s:s + 7] AS phrase FROM (SELECT item, w, unnest(range(1, greatest(1, len(w) - 7) + 1)) AS s FROM items WHERE len(w) > 0)),
+phrases AS (SELECT phrase, row_number() OVER () AS p, list(DISTINCT item) AS owners FROM windows GROUP BY phrase),
+parts AS (SELECT p, len(phrase) AS n, unnest(phrase) AS term, generate_subscripts(phrase, 1) AS k FROM phrases),
+met AS (
+  SELECT r, p, n, k, place - k + d AS start, d = 0 AS exact
+  FROM places JOIN parts USING (term), (SELECT unnest([-1, 0, 1]) AS d)),
+starts AS (
+  SELECT r, p, n, start, count(DISTINCT k) FILTER (WHERE exact) = n AS exact FROM met GROUP BY r, p, n, start HAVING count(DISTINCT k) = n),
+hits AS (SELECT r, count(DISTINCT place) AS n_hit FROM (SELECT r, unnest(range(start + 1, start + n + 1)) AS place FROM starts WHERE exact) GROUP BY r),
+owned AS (
+  SELECT r, list(DISTINCT item) FILTER (WHERE exact) AS items, count(DISTINCT item) AS near
+  FROM (SELECT DISTINCT r, exact, unnest(owners) AS item FROM starts JOIN phrases USING (p)) GROUP BY r)
+SELECT doc_id::BIGINT AS doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(len(items), 0)::BIGINT AS n_items,
+  sha256(coalesce(array_to_string(list_sort(items), ','), '')) AS items_sha256, coalesce(len(items), 0) >= 2 AS contaminated, coalesce(near, 0)::BIGINT AS n_near_items
+FROM words LEFT JOIN hits USING (r) LEFT JOIN owned USING (r)
+"""

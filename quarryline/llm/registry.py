@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from corpus_pipeline import pipeline
-from quarryline.llm.decontaminate import op3_decontaminate
+from quarryline.llm.decontaminate import LEAKS_SQL, op3_decontaminate
 from quarryline.llm.line_dedup import LINES_SQL, op1_line_dedup
 from quarryline.llm.lm_score import op7_lm_score
 from quarryline.llm.mixing import MIX_SQL, op10_mixing
@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": LINES_SQL, "op6_url_filter": URL_SQL, "op10_mixing": MIX_SQL}
+    return {"op1_line_dedup": LINES_SQL, "op3_decontaminate": LEAKS_SQL, "op6_url_filter": URL_SQL, "op10_mixing": MIX_SQL}
