@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarryline.llm.common import cut, table
+from quarryline.llm.common import boxed, cut, table, unboxed
 
 #: Poisson draws of a larger mean are sums of draws of equal smaller ones, for exp(-mean) must not vanish.
 LARGEST_MEAN = 200.0
@@ -74,16 +74,16 @@ def rates(documents: DataFrame, weights: dict[str, float] | None = None, power:
 
 def mix(documents: DataFrame, weights: dict[str, float] | None = None, power: float = 0.5, epochs: float = 1.0, seed: str = "mix-1") -> DataFrame:
     """The documents replicated to the target mix and shuffled; adds ``copy`` (from 1) and ``shuffle_key``."""
-    added = ("copy", "shuffle_key")
-    own = [c for c in documents.columns if c not in added]
-    means = rates(documents, weights, power, epochs).select(F.col("source").alias("_source"), F.col("rate").alias("_rate"))
+    means = rates(documents, weights, power, epochs).select("source", "rate")
     if means.limit(MOST_SOURCES + 1).count() <= MOST_SOURCES:
         means = F.broadcast(means)
-    met = documents.select(*own).join(means, F.col("source").eqNullSafe(F.col("_source")))
-    drawn = met.withColumn("_n", poisson_count(F.col("_rate"), seed, F.col("doc_id"))).where("_n > 0")
-    copies = drawn.select(*own, F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("copy"))
-    keyed = copies.withColumn("shuffle_key", uniform(seed, F.lit("order"), F.col("doc_id"), F.col("copy")))
-    return keyed.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+    keys = boxed(documents, doc=F.col("doc_id"), origin=F.col("source"))
+    met = keys.join(means, F.col("origin").eqNullSafe(F.col("source")))
+    drawn = met.withColumn("n", poisson_count(F.col("rate"), seed, F.col("doc"))).where("n > 0")
+    copies = drawn.select("row", "doc", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy"))
+    shuffled = copies.withColumn("shuffle_key", uniform(seed, F.lit("order"), F.col("doc"), F.col("copy"))).drop("doc")
+    shuffled = shuffled.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+    return unboxed(shuffled, documents, copy=F.col("copy"), shuffle_key=F.col("shuffle_key"))
 
 
 def op10_mixing(spark, sf_dir: str) -> DataFrame:

@@ -195,7 +195,7 @@ def runs(doc: np.ndarray, t: np.ndarray, start: np.ndarray) -> list[pa.Array]:
     doc, t, start = doc[order], t[order], start[order]
     head = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (t[1:] != t[:-1]) | (start[1:] > start[:-1] + 1)]))
     length = start[np.append(head[1:], len(start)) - 1] - start[head] + 1
-    return [pa.array(doc[head], pa.int64()), pa.array(t[head], pa.int32()), pa.array(start[head], pa.int32()), pa.array(length, pa.int32())]
+    return [pa.array(doc[head], pa.int64()), pa.array(t[head], pa.int64()), pa.array(start[head], pa.int32()), pa.array(length, pa.int32())]
 
 
 def candidates(window: int, repeats):
@@ -267,12 +267,12 @@ def repeated_windows(docs: DataFrame, window: int = 20, cells_per_word: float =
     parts = docs.select("text").mapInArrow(sketches(window, bits), "segment long, once binary, more binary")
     rows = parts.groupBy("segment").applyInArrow(merged, "segment long, bits binary").toLocalIterator()  # at most max_cells / 4 bytes
     repeats = spark.sparkContext.broadcast(Repeats(bits, rows))
-    places = docs.select("text", "doc", "t").mapInArrow(candidates(window, repeats), "m long, h long, doc long, t int, start int, n int")
-    return places.repartition("m").sortWithinPartitions(*NAMES[:5]).mapInArrow(later_places, "doc long, t int, start int, n int")
+    places = docs.select("text", "doc", "t").mapInArrow(candidates(window, repeats), "m long, h long, doc long, t long, start int, n int")
+    return places.repartition("m").sortWithinPartitions(*NAMES[:5]).mapInArrow(later_places, "doc long, t long, start int, n int")
 
 
 def keyed(documents: DataFrame) -> DataFrame:
-    return documents.select("doc_id", "text", F.coalesce("doc_id", F.lit(LAST)).cast("long").alias("doc"), F.hash(F.coalesce("text", F.lit(""))).alias("t"))
+    return documents.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64(F.col("doc_id").isNull(), F.coalesce("text", F.lit(""))).alias("t"))
 
 
 def remove_repeats(documents: DataFrame, window: int = 20, **sketch) -> DataFrame:

@@ -19,7 +19,8 @@ clean labelled rows, those with the smallest hashes, no longer than ``longest``
 texts and all rows. Training happens on the driver within these bounds.
 
 Edge cases: null and empty texts get the score of a text without units; rows given twice are scored twice; with
-no labels of either kind to learn from every score is 0; labels that are null or name no document are left out.
+no labels of either kind to learn from every score is 0; labels that are null or name no document are left out, and so are ids
+that have both labels.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarryline.llm.common import ascii_lower, crc_fold, table
+from quarryline.llm.common import ascii_lower, crc_fold, named, table
 from quarryline.llm.words import Words, slices
 
 #: Fixed settings of the kernel.
@@ -367,8 +368,9 @@ def hash_of(text: str) -> int:
 
 
 def training_rows(documents: DataFrame, labels: DataFrame, most: int, longest: int) -> tuple[list[str], list[bool]]:
-    """A bounded sample of labelled rows of the learning folds: those with the smallest hashes of their ids."""
-    usable = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").where(crc_fold() != 0).select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").dropDuplicates(["doc_id"])
+    """A bounded sample of labelled rows of the learning folds: those with the smallest hashes of their ids. Ids with both labels are left out."""
+    usable = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").where(crc_fold() != 0).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
+    usable = usable.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("other")).where("toxic = other").drop("other")
     order = F.xxhash64("doc_id")
     drawn = usable.where("toxic = 1").orderBy(order, "doc_id").limit(most).unionByName(usable.where("toxic = 0").orderBy(order, "doc_id").limit(2 * most))
     texts = documents.where(F.length("text") <= longest).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -377,26 +379,23 @@ def training_rows(documents: DataFrame, labels: DataFrame, most: int, longest: i
 
 
 def scores(documents: DataFrame, labels: DataFrame, most: int = 500, longest: int = 6_000, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns of documents, and score (which takes the place of one so named)."""
+    """kept: a struct of the ``keep`` columns of documents; and score."""
     machine = fit(*training_rows(documents, labels, most, longest))
-    own = [f"_{n}" for n in range(len(keep))]  # no name of theirs can clash with an added one
-    named = [F.col(n).alias(c) for c, n in zip(keep, own, strict=True) if c != "score"]
-    judged = documents.select(*[F.col(c).alias(n) for c, n in zip(keep, own, strict=True)], F.col("text").cast("string").alias("judged"))
+    judged = documents.select(F.struct(*[named(c) for c in keep]).alias("kept"), F.col("text").cast("string").alias("judged"))
     if machine is None:
-        return judged.select(*named, F.lit(0.0).alias("score"))
+        return judged.select("kept", F.lit(0.0).alias("score"))
     held = documents.sparkSession.sparkContext.broadcast(machine)
-    fields = judged.schema.fields[:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "judged", 4 << 20):
                 p = held.value.probability(held.value.highest(batch.column("judged")))
-                yield pa.RecordBatch.from_arrays([*map(batch.column, own), pa.array(p)], [*own, "score"])
+                yield pa.RecordBatch.from_arrays([batch.column("kept"), pa.array(p)], ["kept", "score"])
 
-    return judged.mapInArrow(run, T.StructType([*fields, T.StructField("score", T.DoubleType())])).select(*named, "score")
+    return judged.mapInArrow(run, T.StructType([judged.schema.fields[0], T.StructField("score", T.DoubleType())]))
 
 
 def op5_toxicity(spark, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text", (crc_fold() == 0).alias("held_out"))
     judged = scores(documents, table(spark, sf_dir, "labels"), keep=("doc_id", "held_out"))
-    return judged.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    return judged.select("kept.doc_id", "kept.held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
