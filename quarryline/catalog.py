@@ -45,6 +45,9 @@ class Table:
     json: tuple[str, ...] = ()
     updated_at: str | None = None
     generated: tuple[str, ...] = ()
+    formulas: dict[str, str] = field(default_factory=dict, hash=False)
+    columns: tuple[str, ...] = ()
+    checks: dict[str, str] = field(default_factory=dict, hash=False)
     view: bool = False
     relations: dict[str, Relation] = field(default_factory=dict, hash=False)
 
@@ -53,12 +56,11 @@ class Table:
 
 
 def singular(name: str) -> str:
-    """The singular of a plural table name, by ending."""
-    if name.endswith("ies") and len(name) > 4:
-        return name[:-3] + "y"
-    if name.endswith(("sses", "xes", "ches", "shes", "zes")):
-        return name[:-2]
-    return name[:-1] if name.endswith("s") and not name.endswith(("ss", "us", "is")) else name
+    """The singular of a plural table name, by its ending alone."""
+    for ending, put, cut in (("ies", "y", 3), ("ses", "", 2), ("xes", "", 2), ("zes", "", 2), ("ss", "", 0), ("s", "", 1)):
+        if name.endswith(ending):
+            return name[: len(name) - cut] + put
+    return name
 
 
 def _free(name: str, taken: dict) -> str:
@@ -103,16 +105,19 @@ class Catalog:
             self._junction(table)
 
     def _junction(self, table: Table) -> None:
-        """Two single-column keys to different tables that make up the whole primary key are a many-to-many link."""
+        """Two single-column keys to different tables that are a table's whole key, or without a primary key a unique
+        one, are a many-to-many link, if the table has no other columns (where its columns are told). No name is taken away."""
         if len(table.foreign) != 2 or any(len(f.columns) != 1 for f in table.foreign):
             return
         a, b = table.foreign
-        if a.target == b.target or {*a.columns, *b.columns} != set(table.key):
+        both = {*a.columns, *b.columns}
+        keys = [table.key] if table.key else table.unique
+        if a.target == b.target or len(both) != 2 or not any(len(k) == 2 and set(k) == both for k in keys) or (table.columns and set(table.columns) != both):
             return
         for x, y in ((a, b), (b, a)):
-            if x.target in self.tables:
-                relations = self.tables[x.target].relations
-                relations[_free(y.target, relations)] = Relation("through", y.target, x.references, y.references, table.name, x.columns, y.columns)
+            if x.target in self.tables and y.target not in self.tables[x.target].relations:
+                target = self.tables[x.target]
+                target.relations[_free(y.target, dict.fromkeys(target.columns))] = Relation("through", y.target, x.references, y.references, table.name, x.columns, y.columns)
 
 
 def _fk(column: str, target: str, reference: str) -> ForeignKey:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import json
 import math
 import re
@@ -46,28 +47,68 @@ def json_path(path: list) -> str:
 
 
 def json_text(value: object) -> str:
-    return value if isinstance(value, str) else json.dumps(value)
+    return value if isinstance(value, str) else json.dumps(value, separators=(",", ":"))
 
 
 def finite(value: object) -> bool:
     return isinstance(value, int | float) and not isinstance(value, bool) and math.isfinite(value)
 
 
-def contained(column: Column, pattern: object, path: str = "$") -> Column:
-    """Deep containment of a constant JSON pattern: objects by key, arrays by some element, scalars by value."""
-    at = F.get_json_object(column, path)
+NUMBER = r"^(TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL.*)$"
+
+
+def _variant_step(key: object) -> str:
+    """One step of a variant's path: an array place, or a name in whichever quotes it does not hold."""
+    if isinstance(key, int) and not isinstance(key, bool):
+        return f"[{key}]"
+    text = str(key)
+    if "'" not in text:
+        return f"['{text}']"
+    if '"' not in text:
+        return f'["{text}"]'
+    raise ValidationError("a JSON name holds both kinds of quotes")
+
+
+def _held(value: Column, pattern: object) -> Column:
+    """Whether a variant contains a constant; type and null count, numbers are equal by value."""
+    kind = F.schema_of_variant(value)
     if isinstance(pattern, dict):
-        inner = [contained(column, v, f"{path}['{k}']") for k, v in pattern.items()]
-        return reduce(lambda a, b: a & b, inner, F.coalesce(F.startswith(F.ltrim(at), F.lit("{")), F.lit(False)))
-    if isinstance(pattern, list):
-        items = F.from_json(at, "array<string>")
+        inside = [_held(F.try_variant_get(value, "$" + _variant_step(k), "variant"), v) for k, v in pattern.items()]
+        found = reduce(lambda a, b: a & b, inside, F.startswith(kind, F.lit("OBJECT")))
+    elif isinstance(pattern, list):
+        items = F.try_variant_get(value, "$", "array<variant>")
 
         def some(wanted: object) -> Column:
-            return F.coalesce(F.exists(items, lambda x: contained(x, wanted) if isinstance(wanted, dict | list) else x == json_text(wanted)), F.lit(False))
-
-        inner = [some(p) for p in pattern]
-        return reduce(lambda a, b: a & b, inner, F.coalesce(F.startswith(F.ltrim(at), F.lit("[")), F.lit(False)))
-    return F.coalesce(at == json_text(pattern), F.lit(False))
+            return F.coalesce(F.exists(items, lambda x: _held(x, wanted)), F.lit(False))
+
+        inside = list(map(some, pattern))
+        found = reduce(lambda a, b: a & b, inside, F.startswith(kind, F.lit("ARRAY")))
+    elif pattern is None:
+        found = F.is_variant_null(value)
+    elif isinstance(pattern, bool):
+        found = (kind == "BOOLEAN") & (F.try_variant_get(value, "$", "boolean") == pattern)
+    elif isinstance(pattern, str):
+        found = (kind == "STRING") & (F.try_variant_get(value, "$", "string") == pattern)
+    elif finite(pattern):
+        # as decimals where they fit, so that large whole numbers keep apart
+        exact = F.try_variant_get(value, "$", "decimal(38,10)") == F.lit(str(pattern)).try_cast("decimal(38,10)")
+        found = F.rlike(kind, F.lit(NUMBER)) & F.coalesce(exact, F.try_variant_get(value, "$", "double") == float(pattern))
+    else:
+        raise ValidationError("a JSON value is an object, a list, a text, a number, a truth value or null")
+    return F.coalesce(found, F.lit(False))
+
+
+def contained(column: Column, pattern: object, path: list | None = None) -> Column:
+    """Deep containment of a constant JSON pattern: objects by key, arrays by some element, scalars by type and value.
+
+    An outermost array contains a scalar that is one of its elements. Text that is no JSON contains nothing.
+    """
+    value = F.try_parse_json(column)
+    if path:
+        steps = "".join(_variant_step(int(str(p)) if str(p).isdigit() else p) for p in path)
+        value = F.try_variant_get(value, "$" + steps, "variant")
+    found = _held(value, pattern)
+    return found if isinstance(pattern, dict | list) else found | _held(value, [pattern])
 
 
 def json_condition(column: Column, spec: dict) -> Column:
@@ -86,7 +127,7 @@ def json_condition(column: Column, spec: dict) -> Column:
         if key == "equals":
             out.append(text == json_text(value) if path else contained(column, value))
         elif key == "contains":
-            out.append(contained(column, value, json_path(path) if path else "$"))
+            out.append(contained(column, value, path))
         elif key == "hasKey":
             out.append(F.array_contains(F.json_object_keys(column), value))
         elif text is None:
@@ -219,7 +260,20 @@ def text_search(column: Column, query: str, config: str = "simple") -> Column:
     return found
 
 
-def scalar_condition(column: Column, spec: dict, ref: Callable[[str], Column]) -> Column:
+def operand_for(kind: T.DataType | None, value: object) -> Column:
+    """A constant for comparing with a column of ``kind``: dates and times take the column's type, texts are read in UTC."""
+    if isinstance(kind, T.TimestampType | T.TimestampNTZType | T.DateType) and isinstance(value, str | dt.date | dt.datetime):
+        if isinstance(value, dt.datetime) and value.tzinfo is not None:
+            value = value.astimezone(dt.UTC).replace(tzinfo=None)
+        text = value.isoformat(sep=" ") if isinstance(value, dt.datetime) else value.isoformat() if isinstance(value, dt.date) else value
+        at = F.lit(text).cast("timestamp") if re.search(r"(Z|[+-]\d\d:?\d\d)$", text) else F.lit(text).cast("timestamp_ntz")
+        return at.cast(kind)
+    if isinstance(kind, T.StringType) and isinstance(value, dt.time):
+        return F.lit(value.strftime("%H:%M:%S"))
+    return F.lit(value)
+
+
+def scalar_condition(column: Column, spec: dict, ref: Callable[[str], Column], kind: T.DataType | None = None) -> Column:
     spec = given(spec)
     unknown = set(spec) - SCALAR
     if unknown:
@@ -233,7 +287,7 @@ def scalar_condition(column: Column, spec: dict, ref: Callable[[str], Column]) -
             return ref(value["col"])
         if isinstance(value, list | set | tuple):
             raise ValidationError("an operand is one value")
-        return F.lit(value)
+        return operand_for(kind, value)
 
     out = []
     for key, value in spec.items():
@@ -246,9 +300,9 @@ def scalar_condition(column: Column, spec: dict, ref: Callable[[str], Column]) -
         elif key in COMPARE:
             out.append(COMPARE[key](column, operand(value)))
         elif key == "in":
-            out.append(column.isin(list(value)) if value else F.lit(False))
+            out.append(column.isin([operand_for(kind, v) for v in value]) if value else F.lit(False))
         elif key == "notIn":
-            out.append(~column.isin(list(value)) if value else F.lit(True))
+            out.append(~column.isin([operand_for(kind, v) for v in value]) if value else F.lit(True))
         else:
             out.append(LIKE[key](F.lower(column) if fold else column, F.lit(value.lower() if fold else value)))
     found = everything(out)
@@ -272,7 +326,7 @@ def field_condition(column: Column, kind: T.DataType, is_json: bool, value: obje
             raise ValidationError("a JSON filter on a column that is not JSON")
         if set(value) == {"col"}:
             return column == ref(value["col"])
-        return scalar_condition(column, value, ref)
+        return scalar_condition(column, value, ref, kind)
     if isinstance(value, list | set | tuple):
         raise ValidationError("a field takes one value; use in for several")
-    return column == F.lit(value)
+    return column == operand_for(kind, value)

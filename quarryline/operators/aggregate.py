@@ -76,6 +76,8 @@ def _compare(column: Column, spec: object) -> Column:
 
 def group_by(query, by: list, where: dict | None = None, having: dict | None = None, orderBy=None, limit=None, offset=None, distinctOn: dict | None = None, includePii: object = None, skipGlobalFilters: object = None, nested: bool = False, **args) -> DataFrame:
     """where, then the distinct rows, then groups, having, order, offset and limit."""
+    from quarryline.plans.engine import direction_of, natural, ordered, tie_break
+
     if not by:
         raise ValidationError("groupBy needs keys")
     df = query.filtered(where, skipGlobalFilters)
@@ -84,7 +86,7 @@ def group_by(query, by: list, where: dict | None = None, having: dict | None = N
         if not order:
             raise ValidationError("distinctOn needs an orderBy")
         df, keys = query._order(df, order if isinstance(order, list) else [order], skipGlobalFilters)
-        at = Window.partitionBy(*distinctOn["fields"]).orderBy(*keys, *[F.col(k).asc() for k in query.meta.key])
+        at = Window.partitionBy(*distinctOn["fields"]).orderBy(*keys, *tie_break(query.meta, query.engine.base(query.meta.name)))
         df = df.withColumn("_rn", F.row_number().over(at)).where("_rn = 1")
     names, keys = [], []
     for key in by:
@@ -113,7 +115,8 @@ def group_by(query, by: list, where: dict | None = None, having: dict | None = N
         out = []
         for key, value in given(spec).items():
             if key in ("AND", "OR", "NOT"):
-                members = [reduce(lambda a, b: a & b, wanted(m)) for m in (value if isinstance(value, list) else [value]) if given(m)]
+                parts = [wanted(m) for m in (value if isinstance(value, list) else [value])]
+                members = [reduce(lambda a, b: a & b, p) for p in parts if p]
                 if members:
                     both = reduce((lambda a, b: a | b) if key == "OR" else (lambda a, b: a & b), members)
                     out.append(~both if key == "NOT" else both)
@@ -132,8 +135,6 @@ def group_by(query, by: list, where: dict | None = None, having: dict | None = N
     out = df.groupBy(*keys).agg(*[c.alias(n) for n, c in measures.items()])
     if conditions:
         out = out.where(reduce(lambda a, b: a & b, conditions))
-    from quarryline.plans.engine import direction_of, natural, ordered
-
     sort = []
     for spec in orderBy if isinstance(orderBy, list) else [orderBy] if orderBy else []:
         for key, value in spec.items():
@@ -142,8 +143,8 @@ def group_by(query, by: list, where: dict | None = None, having: dict | None = N
                 if name not in shown:
                     raise ValidationError(f"order field {name} is not requested")
                 sort.append(ordered(F.col(name), *direction_of(how)))
-    if sort:
-        out = out.orderBy(*sort)
+    if sort or limit not in (None, UNSET) or offset not in (None, UNSET):
+        out = out.orderBy(*sort, *[F.col(n).asc_nulls_last() for n in names])  # a cut follows a total order
     if offset is not None and offset is not UNSET:
         out = out.offset(natural(offset, "offset"))
     if limit is not None and limit is not UNSET:

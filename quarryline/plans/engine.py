@@ -2,18 +2,23 @@
 
 Order of a read: where (with the table's global filter), cursor, distinct, order, offset and limit; then projection,
 and relations are attached to the page only. Relations are aggregated by key before they are joined, never after.
+
+A page that is cut is kept (:meth:`Engine.release` lets it go), for it is read as parents and for the keys of their
+children. Every cut follows a total order: what was asked for, then the table's key, or all columns where there is none.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarryline.catalog import Catalog, Relation, Table, star_schema
-from quarryline.errors import UNSAFE, UNSET, DepthError, NotFoundError, RelationError, ValidationError, is_unsafe
+from quarryline.errors import UNSAFE, UNSET, DepthError, NotFoundError, PipelineError, RelationError, ValidationError, is_unsafe
 from quarryline.functions.predicate import COMPARE, distance, everything, field_condition, finite, given, json_path
 
 DEPTH = 10
@@ -35,6 +40,17 @@ def direction_of(spec: object) -> tuple[str, str | None]:
     return sort, nulls
 
 
+def sortable(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return all(sortable(f.dataType) for f in kind.fields)
+    return sortable(kind.elementType) if isinstance(kind, T.ArrayType) else not isinstance(kind, T.MapType | T.VariantType)
+
+
+def tie_break(meta: Table, df: DataFrame) -> list[Column]:
+    """What makes any order of a table's rows total: its key, else all columns."""
+    return [F.col(k).asc_nulls_last() for k in meta.key or [f.name for f in df.schema.fields if sortable(f.dataType)] if k in df.columns]
+
+
 def natural(value: object, name: str) -> int:
     if isinstance(value, bool) or not isinstance(value, int) or value < 0:
         raise ValidationError(f"{name} must be a natural number")
@@ -47,14 +63,26 @@ class Engine:
     ``filters`` maps a table to a where (or a function giving one) that every read of it obeys, at any depth.
     """
 
-    def __init__(self, spark: SparkSession, folder: str | None = None, catalog: Catalog | None = None, frames: dict[str, DataFrame] | None = None, filters: dict | None = None, default_limit: int | None = None) -> None:
+    def __init__(self, spark: SparkSession, folder: str | None = None, catalog: Catalog | None = None, frames: dict[str, DataFrame] | None = None, filters: dict | None = None, default_limit: int | None = None, scoped_connect: bool = False) -> None:
         self.spark, self.folder = spark, folder
         self.catalog = catalog or star_schema()
         self.frames = dict(frames or {})
         self.filters = filters or {}
         self.default_limit = default_limit
+        self.scoped_connect = scoped_connect
         self.middleware: list[Callable] = []
         self.listeners: list[Callable] = []
+        self.pages: list[DataFrame] = []
+
+    def held(self, df: DataFrame) -> DataFrame:
+        """The rows of a page, kept once read."""
+        self.pages.append(df.persist())
+        return self.pages[-1]
+
+    def release(self) -> None:
+        """Lets the kept pages go."""
+        while self.pages:
+            self.pages.pop().unpersist()
 
     def table(self, name: str) -> TableQuery:
         return TableQuery(self, self.catalog[name])
@@ -90,6 +118,16 @@ class Engine:
                 self.base(name).createOrReplaceTempView(name)
         return self.spark.sql(query, args=args)
 
+    def sql(self, query: str, args: dict | list | None = None) -> RawQuery:
+        """As :meth:`raw`, to be read as rows, one row or one value."""
+        return RawQuery(self.raw(query, args))
+
+    def view(self, name: str, query: str, key: tuple[str, ...] = ()) -> TableQuery:
+        """Registers SQL over the tables as a view: it is read like a table and cannot be written."""
+        self.frames[name] = self.raw(query)
+        self.catalog.tables[name] = Table(name, tuple(key), view=True)
+        return self.table(name)
+
     def use(self, step: Callable) -> None:
         """Adds middleware: step(call, next) with call = (table, method, args)."""
         self.middleware.append(step)
@@ -97,8 +135,35 @@ class Engine:
     def on_query(self, listener: Callable) -> None:
         self.listeners.append(listener)
 
-    def pipeline(self, *reads: Callable[[], object]) -> list:
-        return [read() for read in reads]
+    def pipeline(self, *reads: Callable[[], object], transactional: bool = True, threads: int = 4) -> list:
+        """The results of several reads, in order; they run side by side. Unless ``transactional`` is False one failure fails all,
+        else each failed read gives its error, in a PipelineError with ``results`` where nothing else was asked for."""
+        with ThreadPoolExecutor(max(1, min(threads, len(reads) or 1))) as pool:
+            running = [pool.submit(read) for read in reads]
+        errors = [r.exception() for r in running]
+        results = [e if e is not None else r.result() for r, e in zip(running, errors, strict=True)]
+        if transactional and any(errors):
+            failed = PipelineError(f"{sum(e is not None for e in errors)} of {len(reads)} reads failed")
+            failed.results = results
+            raise failed from next(e for e in errors if e is not None)
+        return results
+
+
+class RawQuery:
+    """The result of SQL: ``rows``, ``one`` (a row, or None) and ``scalar`` (its first value, or None)."""
+
+    def __init__(self, df: DataFrame) -> None:
+        self.df = df
+
+    def rows(self) -> DataFrame:
+        return self.df
+
+    def one(self) -> Row | None:
+        return self.df.first()
+
+    def scalar(self) -> object:
+        row = self.one()
+        return None if row is None else row[0]
 
 
 class Compiler:
@@ -187,7 +252,7 @@ class Compiler:
         return [(op, sub) for op, sub in value.items() if sub is not UNSET]
 
     def _keys(self, relation: Relation, op: str, sub: object) -> tuple[DataFrame | None, bool]:
-        """Distinct keys of this table's rows for which the match exists, and whether it must."""
+        """Keys of this table's rows for which the match exists (some of them more than once), and whether it must."""
         positive = op in ("some", "is")
         if sub is None:  # is null: no target; isNot null: some target
             positive, sub = not positive, {}
@@ -272,12 +337,40 @@ class TableQuery:
     def explain(self, **args) -> list[str]:
         return self.find_many(**args)._jdf.queryExecution().toString().splitlines()
 
-    def search(self, text: str, columns: list[str], limit: int = 50, offset: int = 0, **args) -> DataFrame:
-        """Rows with the text, in any case, in one of the columns; at most 500 a page."""
+    def search(self, text: str = "", columns: list[str] | None = None, limit: int = 50, offset: int = 0, filters: list[dict] | None = None, orderBy: str | None = None, dir: str = "asc", **args) -> DataFrame:
+        """A page (1 to 500 rows) of the rows with the text, in any case, in one of the columns (all text columns but personal ones), and all filters."""
         if not 1 <= limit <= 500:
             raise ValidationError("a page has 1 to 500 rows")
-        any_of = {"OR": [{c: {"contains": text, "mode": "insensitive"}} for c in columns]}
-        return self.find_many(**(args | {"where": {"AND": [args.get("where") or {}, any_of]}, "limit": limit, "offset": offset}))
+        order = {"orderBy": {orderBy: dir}} if orderBy and orderBy not in self.meta.pii else {}
+        return self.find_many(**(order | args | {"where": self._searched(text, columns, filters, args.get("where")), "limit": limit, "offset": offset}))
+
+    def search_total(self, text: str = "", columns: list[str] | None = None, filters: list[dict] | None = None, where: dict | None = None) -> DataFrame:
+        """How many rows :meth:`search` has on all pages."""
+        return self.count(self._searched(text, columns, filters, where))
+
+    def _searched(self, text: str, columns: list[str] | None, filters: list[dict] | None, where: dict | None) -> dict:
+        schema = self.engine.base(self.meta.name).schema
+        words = [f.name for f in schema.fields if isinstance(f.dataType, T.StringType) and f.name not in self.meta.pii and f.name not in self.meta.json]
+        parts = [where or {}]
+        if text.strip():
+            parts.append({"OR": [{c: {"contains": text.strip(), "mode": "insensitive"}} for c in (words if columns is None else columns)]})
+        if len(filters or []) > 10:
+            raise ValidationError("a page takes up to ten filters")
+        for one in filters or []:
+            column, op, value = one.get("column"), one.get("op"), one.get("value")
+            if column not in schema.names or column in self.meta.pii:
+                raise ValidationError(f"no filter on column {column}")
+            if op in ("isNull", "notNull"):
+                parts.append({column: None if op == "isNull" else {"not": None}})
+            elif op not in ("equals", "not", "gt", "gte", "lt", "lte", "contains") or not isinstance(value, str | int | float):
+                raise ValidationError(f"a filter takes an operator and one value, {column} has not")
+            elif op == "contains":
+                if column not in words:
+                    raise ValidationError(f"contains is for text columns, {column} is none")
+                parts.append({column: {"contains": value, "mode": "insensitive"}})
+            else:
+                parts.append({column: {op: value}})
+        return {"AND": parts}
 
     def sample(self, n: int = 50) -> DataFrame:
         return self.find_many(limit=min(n, 50))
@@ -313,14 +406,14 @@ class TableQuery:
         df = self._cursor(df, args.get("cursor"), order)
         limit = args.get("take", args.get("limit", self.engine.default_limit))
         paged = limit is not None or args.get("offset")
-        if paged and not order and not args.get("distinct"):
-            order = [{k: "asc"} for k in (list(args["cursor"])[:1] if args.get("cursor") and len(args["cursor"]) == 1 else self.meta.key)]
+        if paged and not order and not args.get("distinct") and args.get("cursor") and len(args["cursor"]) == 1:
+            order = [{k: "asc"} for k in args["cursor"]]
         if args.get("distinct"):
             df, keys = self._distinct(df, args["distinct"], order, skip)
         else:
             df, keys = self._order(df, order, skip)
-        if keys:
-            df = df.orderBy(*keys)
+        if keys or paged:
+            df = df.orderBy(*keys, *tie_break(self.meta, df.select(*columns)))
         if args.get("offset"):
             df = df.offset(natural(args["offset"], "offset"))
         if limit is not None:
@@ -332,9 +425,10 @@ class TableQuery:
         with_ = args.get("with", args.get("with_"))
         df = self.page(args)
         shown = self.shown(df.columns, args.get("select"), args.get("omit"), args.get("includePii"))
-        if with_:
-            return attach(self.engine, self.meta, df, with_, shown, args.get("skipGlobalFilters"))
-        return df.select(*shown)
+        if not with_:
+            return df.select(*shown)
+        cut = args.get("take", args.get("limit", self.engine.default_limit)) is not None
+        return attach(self.engine, self.meta, self.engine.held(df) if cut else df, with_, shown, args.get("skipGlobalFilters"), cut)
 
     def shown(self, columns: list[str], select: dict | None, omit: dict | None, pii: object = None) -> list[str]:
         return projection(self.meta, columns, select, omit, pii)
@@ -354,8 +448,7 @@ class TableQuery:
             if any(k not in df.columns for k in o):
                 raise ValidationError("distinct takes column orders only")
         df, keys = self._order(df, order, skip)
-        tie = [F.col(k).asc() for k in self.meta.key]
-        at = Window.partitionBy(*fields).orderBy(*(keys + tie or [F.lit(1)]))
+        at = Window.partitionBy(*fields).orderBy(*keys, *tie_break(self.meta, self.engine.base(self.meta.name)))
         return df.withColumn("_rn", F.row_number().over(at)).where("_rn = 1"), keys
 
     def _order(self, df: DataFrame, order: list[dict], skip: object) -> tuple[DataFrame, list[Column]]:
@@ -393,7 +486,7 @@ class TableQuery:
             query = TableQuery(self.engine, self.engine.catalog[relation.target])
             child = Compiler(self.engine, query.meta, skip).filtered(self.engine.rows(relation.target, skip), pick.get("where"))
             child, keys = query._order(child, pick["orderBy"] if isinstance(pick["orderBy"], list) else [pick["orderBy"]], skip)
-            at = Window.partitionBy(*relation.there).orderBy(*keys, *[F.col(k).asc() for k in query.meta.key])
+            at = Window.partitionBy(*relation.there).orderBy(*keys, *tie_break(query.meta, self.engine.base(relation.target)))
             by = spec["by"]
             value = F.get_json_object(F.col(by["field"]), json_path(by["path"])) if isinstance(by, dict) else F.col(by)
             child = child.withColumn("_rn", F.row_number().over(at)).where("_rn = 1").select(*[F.col(c).alias(f"_k{n}") for n, c in enumerate(relation.there)], value.alias(extra))
@@ -501,8 +594,11 @@ def counted(engine: Engine, relation: Relation, where: dict | None, skip: object
     return target.groupBy(*[F.col(c).alias(n) for c, n in zip(relation.there, names, strict=True)]).agg(F.count("*").alias("_n"))
 
 
-def attach(engine: Engine, meta: Table, page: DataFrame, with_: dict, shown: list[str], skip: object, depth: int = 0) -> DataFrame:
-    """The page with a column a relation: an array of structs, or a struct (null where there is no match)."""
+def attach(engine: Engine, meta: Table, page: DataFrame, with_: dict, shown: list[str], skip: object, cut: bool, depth: int = 0) -> DataFrame:
+    """The page with a column a relation: an array of structs, or a struct (null where there is no match).
+
+    Children are looked up by the page's keys only where the page is cut, so few; else all are gathered and joined.
+    """
     if depth >= DEPTH:
         raise DepthError("relations are nested too deeply")
     out, extra = page, []
@@ -518,7 +614,7 @@ def attach(engine: Engine, meta: Table, page: DataFrame, with_: dict, shown: lis
             raise ValidationError(f"unknown relation {name} of {meta.name}; known: {', '.join(sorted(meta.relations))}")
         if spec is False or spec is None:
             continue
-        child = related(engine, relation, page, {} if spec is True else given(spec), skip, depth, f"_r_{name}")
+        child = related(engine, relation, page if cut else None, {} if spec is True else given(spec), skip, depth, f"_r_{name}")
         own = [f"_c{depth}_{n}" for n in range(len(relation.here))]  # the page may have keys of its own
         child = child.withColumnsRenamed({f"_k{n}": c for n, c in enumerate(own)})
         on = everything([out[c] == child[n] for n, c in zip(own, relation.here, strict=True)])
@@ -528,37 +624,51 @@ def attach(engine: Engine, meta: Table, page: DataFrame, with_: dict, shown: lis
     return out.select(*[F.col(c) for c in shown], *extra)
 
 
-def related(engine: Engine, relation: Relation, page: DataFrame, spec: dict, skip: object, depth: int, out: str) -> DataFrame:
-    """_k…, and the children of the page's keys, gathered into ``out``."""
+def related(engine: Engine, relation: Relation, page: DataFrame | None, spec: dict, skip: object, depth: int, out: str) -> DataFrame:
+    """_k…, and the children (of the page's keys, if a page is given), gathered into ``out``."""
     target = engine.catalog[relation.target]
     query = TableQuery(engine, target)
     names = [f"_k{n}" for n in range(len(relation.here))]
-    keys = page.select(*[F.col(c).alias(n) for c, n in zip(relation.here, names, strict=True)]).distinct()
+    keys = None if page is None else page.select(*[F.col(c).alias(n) for c, n in zip(relation.here, names, strict=True)]).distinct()
     child = Compiler(engine, target, skip, depth).filtered(engine.rows(relation.target, skip), spec.get("where"))
     fields = child.columns
     if relation.kind == "through":
         link = engine.rows(relation.junction, skip).select(*[F.col(c).alias(n) for c, n in zip(relation.junction_here, names, strict=True)], *[F.col(c).alias(f"_j{k}") for k, c in enumerate(relation.junction_there)])
-        link = link.join(keys, names, "left_semi").distinct()  # a pair that the junction repeats is one link
+        link = link if keys is None else link.join(keys, names, "left_semi")
+        link = link.distinct()  # a pair that the junction repeats is one link
         child = link.join(child, everything([link[f"_j{k}"] == child[c] for k, c in enumerate(relation.there)])).drop(*[f"_j{k}" for k in range(len(relation.there))])
     else:
-        child = child.withColumns({n: F.col(c) for c, n in zip(relation.there, names, strict=True)}).join(keys, names, "left_semi")
+        child = child.withColumns({n: F.col(c) for c, n in zip(relation.there, names, strict=True)})
+        child = child.where(everything([F.col(n).isNotNull() for n in names])) if keys is None else child.join(keys, names, "left_semi")
     shown = projection(target, fields, spec.get("select"), spec.get("omit"))
-    nested = given(spec.get("with") or {})
+    nested = {k: v for k, v in given(spec.get("with") or {}).items() if v is not False and v is not None}
+
+    def nest(rows: DataFrame) -> DataFrame:
+        if not nested:
+            return rows
+        return attach(engine, target, rows if page is None else engine.held(rows), nested, [*rows.columns], skip, page is not None, depth + 1)
+
     if relation.single:
         child = one_each(child, Relation(relation.kind, relation.target, relation.here, tuple(names)), target) if not target.is_unique(relation.there) else child
-        child = attach(engine, target, child, nested, [*child.columns], skip, depth + 1) if nested else child
-        return child.select(*names, F.struct(*shown, *nested).alias(out))
-    order = spec.get("orderBy") or []
-    child, keys_ = query._order(child, [o for o in (order if isinstance(order, list) else [order]) if o], skip)
-    tie = [F.col(k).asc() for k in target.key] or [F.col(c).asc_nulls_last() for c in fields]
-    at = Window.partitionBy(*names).orderBy(*keys_, *tie)
-    child = child.withColumn("_rn", F.row_number().over(at))
-    if spec.get("limit") is not None:
-        child = child.where(F.col("_rn") <= natural(spec["limit"], "limit"))
-    if nested:
-        child = attach(engine, target, child, nested, [*child.columns], skip, depth + 1)
-    gathered = child.groupBy(*names).agg(F.array_sort(F.collect_list(F.struct("_rn", F.struct(*shown, *nested).alias("row")))).alias("_rows"))
-    return gathered.select(*names, F.transform("_rows", lambda x: x["row"]).alias(out))
+        return nest(child).select(*names, F.struct(*shown, *nested).alias(out))
+    order, limit = spec.get("orderBy") or [], spec.get("limit")
+    order = [o for o in (order if isinstance(order, list) else [order]) if o]
+    child, sort = query._order(child, order, skip)
+    tie = tie_break(target, child.select(*fields))
+    if order or limit is not None:
+        child = child.withColumn("_rn", F.row_number().over(Window.partitionBy(*names).orderBy(*sort, *tie)))
+        if limit is not None:
+            child = child.where(F.col("_rn") <= natural(limit, "limit"))
+        place = [F.col("_rn")]
+    else:  # by the key, or all columns: sorting each array is enough
+        place = [F.struct(F.col(c).isNull(), F.col(c)).alias(f"_p{k}") for k, c in enumerate(target.key or [f.name for f in child.select(*fields).schema.fields if sortable(f.dataType)])]
+    child = nest(child)
+    one = F.struct(F.struct(*place).alias("place"), F.struct(*shown, *nested).alias("row"))
+    gathered = child.groupBy(*names).agg(F.collect_list(one).alias("_rows"))
+    by_place = F.array_sort("_rows")  # places differ, so rows are never compared
+    if not sortable(gathered.schema["_rows"].dataType):
+        by_place = F.array_sort("_rows", lambda a, b: F.when(a["place"] < b["place"], -1).when(a["place"] > b["place"], 1).otherwise(0))
+    return gathered.select(*names, F.transform(by_place, lambda x: x["row"]).alias(out))
 
 
 def _counts(engine: Engine, meta: Table, df: DataFrame, spec: object, skip: object) -> tuple[DataFrame, Column]:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarryline import showcase_more
 from quarryline.operators import write
 from quarryline.plans.engine import Engine
 from quarryline.streaming.rollup import minute_rollup
@@ -189,6 +190,9 @@ QUERIES: dict[str, tuple[Callable[[Engine], DataFrame], str]] = {
 }
 
 
+QUERIES |= showcase_more.QUERIES
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: (lambda spark, sf_dir, run=run: run(Engine(spark, sf_dir))) for name, (run, _) in QUERIES.items()}
 

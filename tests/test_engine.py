@@ -4,8 +4,8 @@ import random
 
 import pytest
 from quarryline.catalog import Catalog, ForeignKey, Table
-from quarryline.errors import UNSAFE, UNSET, DepthError, NotFoundError, OptimisticLockError, ValidationError
-from quarryline.operators import write
+from quarryline.errors import UNSAFE, UNSET, DepthError, ForeignKeyError, NotFoundError, OptimisticLockError, PipelineError, RelationError, TimeoutError_, UniqueError, ValidationError
+from quarryline.operators import checks, write
 from quarryline.plans.engine import Engine
 
 
@@ -106,8 +106,8 @@ def test_projection_and_guards(engine):
     assert ids(users.find_unique(where={"org_id_email": {"org_id": 1, "email": "b@x"}})) == [2]
     deep: dict = {}
     for _ in range(11):
-        deep = {"boss": {"with": deep}}
-    with pytest.raises((DepthError, ValidationError)):
+        deep = {"user": {"with": deep}}
+    with pytest.raises(DepthError, match="E007"):
         users.find_many(**{"with": deep})
 
 
@@ -185,3 +185,93 @@ def test_where_fuzz(engine):
     for _ in range(25):
         where = spec(3)
         assert ids(engine.table("posts").find_many(where=where)) == [r["id"] for r in rows if _holds(r, where) is True], where
+
+
+def test_names_of_relations():
+    from quarryline.catalog import singular
+
+    assert [singular(x) for x in ("posts", "categories", "ties", "boxes", "cases", "status", "glass", "quizzes", "fish")] == ["post", "category", "ty", "box", "cas", "statu", "glass", "quizz", "fish"]
+    a, b = Table("as", ("id",)), Table("bs", ("id",))
+    junction = {"foreign": (_fk("a_id", "as"), _fk("b_id", "bs"))}
+    assert "bs" in Catalog([a, b, Table("ab", (), unique=(("b_id", "a_id"),), **junction)])["as"].relations
+    assert "bs" not in Catalog([a, b, Table("ab", ("id",), unique=(("b_id", "a_id"),), **junction)])["as"].relations
+    assert "bs" not in Catalog([a, b, Table("ab", ("a_id", "b_id"), columns=("a_id", "b_id", "rank"), **junction)])["as"].relations
+
+
+def test_stream_middleware_explain(engine):
+    own = Engine(engine.spark, catalog=CATALOG, frames=engine.frames)
+    calls, events = [], []
+    own.use(lambda call, go: (calls.append(("outer", call[0], call[1])), go())[1])
+    own.use(lambda call, go: (calls.append(("inner", call[0], call[1])), go().where("id > 1"))[1])
+    own.on_query(events.append)
+    posts = own.table("posts")
+    batches = list(posts.stream(batch=2, where={"views": {"not": None}}, **{"with": {"user": True}}))
+    assert [len(b) for b in batches] == [2] and batches[0][0]["user"]["id"] == 2
+    assert calls == [("outer", "posts", "find_many"), ("inner", "posts", "find_many")] and events == [{"table": "posts", "method": "find_many", "keys": ["where", "with"]}]
+    assert any("Filter" in line for line in posts.explain(where={"views": 5}))
+
+
+def test_pages_are_read_once(spark, tmp_path):
+    for name, rows, schema in (("users", USERS, "id long, org_id long, boss_id long, email string, name string"), ("posts", POSTS, "id long, user_id long, title string, views int, meta string"), ("post_tags", [(1, 1), (3, 1)], "post_id long, tag_id long")):
+        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    own = Engine(spark, str(tmp_path), CATALOG)
+    deep = {"with": {"posts": {"with": {"post_tags": True}}}}
+    whole = own.table("users").find_many(where={"name": {"not": "x"}}, **deep)
+    plan = whole._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parquet") == 3 and "LeftSemi" not in plan and not own.pages
+    page = own.table("users").find_many(limit=2, orderBy={"org_id": "asc"}, **deep)
+    assert len(own.pages) == 2 and [len(r["posts"]) for r in page.collect()] == [2, 1]
+    own.release()
+    assert not own.pages
+
+
+def test_sql_and_pipeline(engine):
+    own = Engine(engine.spark, catalog=CATALOG, frames=engine.frames)
+    assert own.sql("SELECT id, name FROM tags WHERE id = :k", {"k": 2}).one()["name"] == "t2"
+    assert own.sql("SELECT count(*) FROM tags").scalar() == 2 and own.sql("SELECT id FROM tags WHERE id > 9").scalar() is None
+    assert own.sql("SELECT id FROM tags WHERE id > 9").one() is None and own.sql("SELECT id FROM tags").rows().count() == 2
+    reads = [lambda: own.table("tags").count().first()[0], lambda: own.table("tags").find_first_or_throw(where={"id": 9})]
+    with pytest.raises(PipelineError) as failed:
+        own.pipeline(*reads)
+    assert failed.value.results[0] == 2 and isinstance(failed.value.results[1], NotFoundError)
+    partial = own.pipeline(*reads, transactional=False)
+    assert partial[0] == 2 and isinstance(partial[1], NotFoundError)
+    with pytest.raises(RelationError, match="E005"):
+        own.table("users").find_many(**{"with": {"posts": {"with": {"_count": True}}}})
+
+
+def test_personal_fields_stay_in(engine):
+    users = engine.table("users")
+    assert "email" not in write.update(users, {"id": 1}, {"name": "A"})[1] and "email" in write.update(users, {"id": 1}, {"name": "A"}, includePii=UNSAFE)[1]
+    assert "email" not in write.delete(users, {"id": 2})[1]
+    with pytest.raises(ValidationError):
+        users.aggregate(_max={"email": True})
+    assert users.aggregate(_max={"email": True}, includePii=UNSAFE).first()[0] == "d@x"
+    with pytest.raises(ValidationError):
+        users.search(filters=[{"column": "email", "op": "equals", "value": "a@x"}])
+    assert ids(users.search("ann")) == [1] and users.search_total("a@x").first()[0] == 0
+    with pytest.raises(ValidationError):
+        users.group_by(by=["org_id"], _count=True, _max={"id": True}, _min={"id": True}, orderBy={"_sum": {"id": "asc"}})
+
+
+def test_unique_rows_and_stages(engine):
+    users = engine.table("users")
+    rows = [{"id": 10, "org_id": 1, "email": "a@x"}, {"id": 11, "org_id": None, "email": "n"}, {"id": 12, "org_id": None, "email": "n"}, {"id": 13, "org_id": 2, "email": "new"}, {"id": 14, "org_id": 2, "email": "new"}]
+    assert ids(write.create_many(users, rows, skipDuplicates=True)[1]) == [11, 12, 13]
+    own = Engine(engine.spark, catalog=CATALOG, frames=engine.frames)
+    with pytest.raises(TimeoutError_), write.Staged(own, timeout=0) as staged:
+        staged.put("tags", own.base("tags").where("id = 1"))
+    assert own.table("tags").count().first()[0] == 2
+    with write.Staged(own) as outer:
+        outer.put("tags", own.base("tags").where("id = 1"))
+        with pytest.raises(RuntimeError), write.Staged(own) as inner:
+            inner.put("tags", own.base("tags").where("id = 99"))
+            raise RuntimeError
+    assert ids(own.base("tags")) == [1]
+    doubled = Engine(engine.spark, catalog=CATALOG, frames=engine.frames | {"users": engine.base("users").unionByName(engine.base("users").where("id = 1")), "profiles": engine.spark.createDataFrame([(1, 77, "x")], "id long, user_id long, bio string")})
+    with pytest.raises(UniqueError, match="E008"):
+        checks.enforce(doubled, "users")
+    with pytest.raises(ForeignKeyError, match="E009"):
+        checks.enforce(doubled, "profiles")
+    checks.enforce(engine, "users")
+    assert checks.introspected(engine)["users"]["relations"]["posts"]["kind"] == "many" and checks.advice(engine, 1 << 64) == []

@@ -27,6 +27,21 @@ def test_create_with_relations(engine):
     assert sorted(r["id"] for r in engine.table("posts").find_many(where={"user_id": 5}).collect()) == [4, 5, 6]
 
 
+def test_children_in_one_change(engine):
+    row = nw.create(engine, "users", {"name": "Many", "posts": {"create": [{"title": f"t{k}", "views": k} for k in range(40)]}})
+    assert "email" not in row
+    assert engine.table("posts").count({"user_id": row["id"]}).first()[0] == 40
+    assert engine.base("posts")._jdf.queryExecution().analyzed().toString().count("Union") == 1  # one layer for all of them
+
+
+def test_scoped_connect(engine):
+    scoped = Engine(engine.spark, catalog=CATALOG, frames=engine.frames, scoped_connect=True)
+    with pytest.raises(ValidationError):
+        nw.update(scoped, "users", {"id": 2}, {"posts": {"connect": {"id": 1}}})
+    nw.update(engine, "users", {"id": 2}, {"posts": {"connect": {"id": 1}}})
+    assert engine.table("posts").find_unique(where={"id": 1}).first()["user_id"] == 2
+
+
 def test_update_relations(engine):
     nw.update(engine, "posts", {"id": 1}, {"views": {"increment": 1}, "user": {"connect": {"id": 3}}, "tags": {"set": [{"id": 2}]}})
     post = engine.table("posts").find_unique(where={"id": 1}).first()
