@@ -288,19 +288,27 @@ def test_token_counts(docs, empty):
     encoder = token_counts.Encoder(open(token_counts.RANKS, "rb").read())
     rnd = random.Random(1)
     bits = ["a", "b", " ", "  ", "\n", "'", "s", "'ll", " 12", "é", "日", "!", "don't", "\t"]
-    for _ in range(300):
-        tree = token_counts.Tree("".join(rnd.choice(bits) for _ in range(rnd.randint(0, 400))), encoder)
-        for _ in range(4):
-            a = rnd.randint(0, len(tree.text))
-            tree.edit(a, min(len(tree.text), a + rnd.randint(0, 40)), "".join(rnd.choice(bits) for _ in range(rnd.randint(0, 8))))
-            assert tree.total == len(encoder.coder.encode_ordinary(tree.text))
+    for n in [400] * 300 + [20_000] * 4:
+        tree = token_counts.Tree("".join(rnd.choice(bits) for _ in range(rnd.randint(0, n))), encoder)
+        for _ in range(4 if n == 400 else 100):
+            a, text = rnd.randint(0, len(tree.text)), tree.text
+            b, put = min(len(text), a + rnd.randint(0, 40)), "".join(rnd.choice(bits) for _ in range(rnd.choice([0, 3, 8, 2000])))
+            tree.edit(a, b, put)
+            assert tree.text == text[:a] + put + text[b:]
+            if n == 400 or rnd.random() < 0.1:
+                assert tree.total == len(encoder.coder.encode_ordinary(tree.text))
+        assert tree.total == len(encoder.coder.encode_ordinary(tree.text))
     with pytest.raises(ValueError, match="overlap"):
         token_counts.Tree("abcdef", encoder).edit_all([(0, 3, "x"), (2, 4, "y")])
-    edited = docs.withColumn("edits", token_counts.replaced(F.col("text"), "stone", "a pebble"))
-    for r in token_counts.counts(edited).join(docs.select("doc_id", "text").distinct(), "doc_id").collect():
-        assert r["n_tokens"] == len(encoder.coder.encode_ordinary(r["text"] or ""))
-        assert r["n_tokens_edited"] == len(encoder.coder.encode_ordinary((r["text"] or "").replace("stone", "a pebble")))
-    assert token_counts.counts(empty.withColumn("edits", token_counts.replaced(F.col("text"), "x", "y"))).count() == 0
+    texts = {r[0]: r[1] or "" for r in corpus()}
+    size = lambda t: len(encoder.coder.encode_ordinary(t))
+    by_pattern = token_counts.counts(docs, replace=("stone", "a pebble"), hint="stone").collect()
+    assert Counter((r["doc_id"], r["n_tokens"], r["n_tokens_edited"], r["n_edits"]) for r in by_pattern) == Counter((d, size(t or ""), size((t or "").replace("stone", "a pebble")), (t or "").count("stone")) for d, t, *_ in corpus())
+    edited = docs.withColumn("edits", F.expr("CASE WHEN doc_id = 3 THEN array(named_struct('start', 0, 'end', 5, 'put', 'x'), named_struct('start', 9, 'end', 9, 'put', ' y')) END"))
+    for r in token_counts.counts(edited).collect():
+        t = texts[r["doc_id"]]
+        assert r["n_tokens_edited"] == size("x" + t[5:9] + " y" + t[9:] if r["doc_id"] == 3 else t) and r["n_tokens"] == size(t)
+    assert token_counts.counts(empty, replace=("x", "y")).count() == 0
 
 
 def test_toxicity(spark, empty):
