@@ -13,8 +13,8 @@ and their probes are dealt out by hash into groups of about ``block`` rows, and
 query's nearest there: pairs are never rows.
 
 Edge cases: vectors that are null, zero, or hold null, NaN or infinite numbers take no part, nor do null ids;
-queries are compared with vectors of their own length only; ids given twice are one candidate; of queries with equal ids one is
-asked; a query for which fewer than ``k`` are found is compared with all vectors of its length, block by block; other columns are ignored.
+queries are compared with vectors of their own length only; ids given twice are one candidate; of queries with equal ids the one with the
+smallest vector is asked; a query for which fewer than ``k`` are found is compared with all vectors of its length, block by block; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,11 +25,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quarryline.llm.common import cut, table
+from quarryline.llm.common import cut, dealt, table
 
 SEED = 20_11
 BLOCK = 50_000
+TABLES, PROBES = 16, 400
+#: Up to so many buckets above the block size are broadcast (some 50 bytes each).
+MOST_LARGE = 100_000
 
 
 def turned(x: np.ndarray, number: int) -> np.ndarray:
@@ -142,28 +146,31 @@ def nearest_within(k: int):
     return run
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 10, tables: int = 16, probes: int = 200, block: int = BLOCK) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = 10, tables: int = TABLES, probes: int = PROBES, block: int = BLOCK) -> DataFrame:
     """vectors, queries (vec_id, embedding) -> query_id, rank, vec_id, score: each query's ``k`` nearest found, its own id left out."""
+    kind = vectors.schema["embedding"].dataType
+    single = isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.FloatType)
 
     def clean(df: DataFrame) -> DataFrame:
-        v = F.col("embedding").cast("array<float>")
+        v = F.col("embedding").cast("array<float>" if single else "array<double>")
         sound = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
         return df.where(F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("id"), v.alias("v")).where(F.col("v").isNotNull() & sound).select("id", F.size("v").alias("dim"), "v")
 
     copies = Window.partitionBy("v").orderBy("id")
-    kept = clean(vectors).distinct().withColumn("_n", F.row_number().over(copies)).where(F.col("_n") <= k + 1).select("id", "dim", "v")
-    schema = "bucket long, id long, dim int, v array<float>"
-    index = cut(kept.mapInArrow(hashed(tables, 1), schema))
+    kept = cut(clean(vectors).distinct().withColumn("_n", F.row_number().over(copies)).where(F.col("_n") <= k + 1).select("id", "dim", "v"))
+    schema = f"bucket long, id long, dim int, v array<{'float' if single else 'double'}>"
+    index = cut(dealt(kept, "id").mapInArrow(hashed(tables, 1), schema))
     rows = index.count()
     groups = max(1, -(-rows // block))
-    # buckets above the block size are at most rows / block
-    large = F.broadcast(index.groupBy("bucket", "dim").count().where(F.col("count") > block).select("bucket", "dim", F.least(F.lit(4000), F.ceil(F.col("count") / block)).cast("int").alias("blocks")))
+    large = cut(index.groupBy("bucket", "dim").count().where(F.col("count") > block).select("bucket", "dim", F.ceil(F.col("count") / block).cast("int").alias("blocks")))
+    if large.count() <= MOST_LARGE:
+        large = F.broadcast(large)
     split = F.coalesce(F.col("blocks"), F.lit(1))
     filed = index.join(large, ["bucket", "dim"], "left").withColumn("block", F.pmod(F.xxhash64("id"), split).cast("int"))
-    own = clean(queries).dropDuplicates(["id"])
-    asked = own.mapInArrow(hashed(tables, probes), "bucket long, id long, dim int").join(large, ["bucket", "dim"], "left").withColumn("block", F.explode(F.sequence(F.lit(0), split - 1)))
+    own = cut(clean(queries).groupBy("id").agg(F.min("v").alias("v")).select("id", F.size("v").alias("dim"), "v"))
+    asked = dealt(own, "id").mapInArrow(hashed(tables, probes), "bucket long, id long, dim int").join(large, ["bucket", "dim"], "left").withColumn("block", F.explode(F.sequence(F.lit(0), split - 1)))
     group = F.pmod(F.xxhash64("bucket", "dim", "block"), F.lit(groups)).alias("g")
-    place = F.col("bucket") * 4096 + F.col("block")
+    place = F.col("bucket") * (1 << 20) + F.col("block")
     left = filed.select(group, place.alias("place"), "id", "dim", "v")
     right = asked.select(group, place.alias("place"), "id").groupBy("g", "id").agg(F.collect_list("place").alias("places")).join(own, "id").select("g", "id", "dim", "v", "places")
     found = left.groupBy("g").cogroup(right.groupBy("g")).applyInArrow(lambda a, b: nearest_within(k)(a, b), FOUND)
