@@ -13,7 +13,7 @@ from quarryline.llm.lm_score import op7_lm_score
 from quarryline.llm.mixing import MIX_SQL, op10_mixing
 from quarryline.llm.neighbours import op4_neighbours
 from quarryline.llm.simhash import op8_simhash
-from quarryline.llm.substring_dedup import op9_substring_dedup
+from quarryline.llm.substring_dedup import REPEATS_SQL, op9_substring_dedup
 from quarryline.llm.token_counts import op2_token_counts
 from quarryline.llm.toxicity import op5_toxicity
 from quarryline.llm.url_filter import URL_SQL, op6_url_filter
@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": LINES_SQL, "op3_decontaminate": LEAKS_SQL, "op6_url_filter": URL_SQL, "op10_mixing": MIX_SQL}
+    return {"op1_line_dedup": LINES_SQL, "op3_decontaminate": LEAKS_SQL, "op6_url_filter": URL_SQL, "op9_substring_dedup": REPEATS_SQL, "op10_mixing": MIX_SQL}

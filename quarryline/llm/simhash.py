@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarryline.llm.common import as_signed, components, cut, mix64, ragged, table
+from quarryline.llm.common import as_signed, components, cut, dealt, mix64, ragged, table
 from quarryline.llm.words import Words, slices, xxh64
 
 SEED = 42
@@ -88,7 +88,7 @@ def links(prints: DataFrame, radius: int = 2, segments: int = 2) -> DataFrame:
         raise ValueError("segments must divide 64, and at most one bit a segment may differ")
     mask = (1 << width) - 1
     parts = F.array(*[F.shiftrightunsigned("print", width * k).bitwiseAND(F.lit(mask).cast("long")) for k in range(segments)])
-    filed = prints.select("print", F.posexplode(parts).alias("segment", "value"))
+    filed = dealt(prints, "print").select("print", F.posexplode(parts).alias("segment", "value"))
     flips = F.array(F.lit(0).cast("long"), *([F.lit(1 << k).cast("long") for k in range(width)] if ball else []))
     probes = filed.select(F.col("print").alias("other"), "segment", F.explode(flips).alias("flip"), "value").select("other", "segment", F.col("value").bitwiseXOR(F.col("flip")).alias("value"))
     near = (F.col("other") < F.col("print")) & (F.bit_count(F.col("other").bitwiseXOR(F.col("print"))) <= radius)

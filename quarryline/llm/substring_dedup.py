@@ -302,3 +302,18 @@ def remove_repeats(documents: DataFrame, window: int = 20, **sketch) -> DataFram
 def op9_substring_dedup(spark, sf_dir: str) -> DataFrame:
     found = remove_repeats(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+REPEATS_SQL = r"""
+WITH words AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+starts AS (SELECT doc_id, unnest(range(1, len(w) - 18)) AS s FROM words WHERE len(w) >= 20),
+windows AS (SELECT doc_id, s, sha256(array_to_string(w[s:s + 19], ' ')) AS passage FROM starts JOIN words USING (doc_id)),
+later AS (SELECT doc_id, s FROM windows QUALIFY row_number() OVER (PARTITION BY passage ORDER BY doc_id, s) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS k FROM later),
+left_over AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY k) AS kept
+  FROM (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS k FROM words) ANTI JOIN gone USING (doc_id, k) GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) AS n_removed FROM gone GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM words LEFT JOIN n USING (doc_id) LEFT JOIN left_over USING (doc_id)
+"""
