@@ -17,6 +17,8 @@ PLAIN_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 ASCII_LOWER = {code: code + 32 for code in range(65, 91)}
 
 U64 = np.uint64
+#: Folders of the tables that ``cut`` wrote in this process.
+CUTS: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,10 +37,24 @@ def shared_folder(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """Cuts lineage: the rows are written as a table in the shared folder and read again, column by column."""
     path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    CUTS.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def removed(spark: SparkSession, *paths: str) -> None:
+    """Deletes folders, wherever Spark finds them."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def forget(spark: SparkSession, since: int) -> None:
+    """Deletes the tables that :func:`cut` wrote from number ``since`` on: what was read from them must be written by now."""
+    removed(spark, *CUTS[since:])
+    del CUTS[since:]
+
+
 def dealt(df: DataFrame, *columns: str) -> DataFrame:
     """Rows dealt out over all shuffle partitions, however few bytes they are: for what grows in the next step."""
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)

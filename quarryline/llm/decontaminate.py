@@ -282,9 +282,13 @@ windows AS (
   SELECT item, w[s:s + 7] AS phrase FROM (SELECT item, w, unnest(range(1, greatest(1, len(w) - 7) + 1)) AS s FROM items WHERE len(w) > 0)),
 phrases AS (SELECT phrase, row_number() OVER () AS p, list(DISTINCT item) AS owners FROM windows GROUP BY phrase),
 parts AS (SELECT p, len(phrase) AS n, unnest(phrase) AS term, generate_subscripts(phrase, 1) AS k FROM phrases),
+off AS (SELECT unnest([-1, 0, 1]) AS d),
+often AS (SELECT term, count(*) AS f FROM places GROUP BY term),
+rarest AS (SELECT p, n, term, k FROM parts LEFT JOIN often USING (term) QUALIFY row_number() OVER (PARTITION BY p ORDER BY coalesce(f, 0), k) = 1),
+possible AS (SELECT DISTINCT r, p, n, place - k + d AS start FROM places JOIN rarest USING (term), off),
 met AS (
-  SELECT r, p, n, k, place - k + d AS start, d = 0 AS exact
-  FROM places JOIN parts USING (term), (SELECT unnest([-1, 0, 1]) AS d)),
+  SELECT x.r, x.p, x.n, x.start, parts.k, d = 0 AS exact
+  FROM possible x JOIN parts ON parts.p = x.p, off JOIN places ON places.r = x.r AND places.term = parts.term AND places.place = x.start + parts.k + d),
 starts AS (
   SELECT r, p, n, start, count(DISTINCT k) FILTER (WHERE exact) = n AS exact FROM met GROUP BY r, p, n, start HAVING count(DISTINCT k) = n),
 hits AS (SELECT r, count(DISTINCT place) AS n_hit FROM (SELECT r, unnest(range(start + 1, start + n + 1)) AS place FROM starts WHERE exact) GROUP BY r),

@@ -39,6 +39,8 @@ from quarryline.llm.words import Words, slices
 END = U64(0xE7037ED1A0B428DB)
 PIECE = 1 << 20
 PROBES = 3
+#: Tokens whose counts one task sums.
+TASK_TOKENS = 1 << 22
 #: The levels that a count can have.
 LEVELS = 64
 PAIR = (U64(0x9E3779B97F4A7C15), U64(0xD1B54A32D192ED03))
@@ -253,6 +255,9 @@ def learn(training: DataFrame, base: float = 2.0, mu: float = 50.0, head: int =
     tokens = (size["chars"] or 0) / 6 + size["texts"]
     segment_bits = int(np.clip(np.ceil(np.log2(max(1, tokens / part_tokens))), 8, 24))
     pieces = training.select("text").mapInArrow(counted(segment_bits), "part int, hashes binary, counts binary")
+    # the tasks that sum grow in number, not in size
+    tasks = max(int(training.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(tokens / TASK_TOKENS))
+    pieces = pieces.repartition(tasks, "part")
     found = cut(gathered(pieces, segment_bits, base, bits_each))
     counts, parts = found.where("h IS NOT NULL").select("h", "c"), found.where("bits IS NOT NULL").select("part", "bits")
     totals = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
@@ -289,7 +294,7 @@ def by_broadcast(documents: DataFrame, model: Model, segment_bits: int, parts: D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, counts = held.value
         for whole in batches:
-            for batch in slices(whole, most=4 << 20):
+            for batch in slices(whole, most=2 << 20):
                 flat, edges = tokens_of(batch.column("text"))
                 grams = Grams(flat)
                 yield scored(m, flat, np.diff(edges), grams, counts.levels(grams.words, 0), counts.levels(grams.pairs, 1), batch.column("doc_id"), batch.column("held_out"))

@@ -117,8 +117,11 @@ def _bands(batches: Iterator[pa.RecordBatch], shingle: int, bands: int, rows: in
             for k, salt in enumerate(salts if len(full) else []):
                 least = np.minimum.reduceat((hashes ^ salt) * factors[k], begins[full])
                 values[:, k // rows] = mix64(values[:, k // rows] ^ least)
-            n = np.where(np.diff(begins) > 0, bands, 0)  # a text without words has no bands
-            yield pa.RecordBatch.from_arrays([batch.column("node"), ragged(values.view(np.int64).ravel(), n)], ["node", "bands"])
+            rows_of = np.zeros((batch.num_rows, bands), dtype=np.uint64)  # texts without words have zeros in common
+            rows_of[full] = values
+            n = np.where(np.diff(begins) > 0, bands, 1)
+            keep = np.arange(bands) < n[:, None]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), ragged(rows_of[keep].view(np.int64), n)], ["node", "bands"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
@@ -139,7 +142,6 @@ def similar(texts: DataFrame, shingle: int = 5, similarity: float = 0.8, bands:
     """
     made = texts.select("node", "text").mapInArrow(lambda x: _bands(x, shingle, bands, rows), "node long, bands array<long>")
     made = cut(made.groupBy("node").agg(F.first("bands").alias("bands")))
-    blank = made.where(F.size("bands") == 0).select("node")
     under = made.select("node", F.posexplode("bands").alias("band", "value"))
     shared = under.groupBy("band", "value").agg(F.count("*").alias("_n"), F.min(F.struct(F.xxhash64("node", "band").alias("h"), "node")).getField("node").alias("head")).where("_n > 1").drop("_n")
     met = cut(under.join(shared, ["band", "value"]))
@@ -153,7 +155,6 @@ def similar(texts: DataFrame, shingle: int = 5, similarity: float = 0.8, bands:
 
     order = (F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b"))
     linked = checked(met.where("node <> head").select(*order))
-    linked = linked.unionByName(blank.crossJoin(blank.agg(F.min("node").alias("a"))).where("a < node").select("a", F.col("node").alias("b")))
     roots = cut(components(linked))
     rooted = met.join(roots, "node", "left").select("band", "value", "node", F.coalesce("root", "node").alias("root"))
     split = rooted.groupBy("band", "value").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
