@@ -66,8 +66,7 @@ def changed(column: Column, kind: T.DataType, spec: object) -> Column:
 
 def _flagged(query: TableQuery, where: dict | None, skip: object = None) -> tuple[DataFrame, Column]:
     df = query.engine.base(query.meta.name)
-    spec = query.engine.filters.get(query.meta.name)
-    spec = spec() if callable(spec) else spec
+    spec = query.engine.filter_of(query.meta.name)
     if query.engine._skipped(query.meta.name, skip):
         spec = None
     df, condition = Compiler(query.engine, query.meta, skip).condition(df, {"AND": [where or {}, spec or {}]})

@@ -9,6 +9,11 @@ children. Every cut follows a total order: what was asked for, then the table's
 
 from __future__ import annotations
 
+import copy
+import inspect
+import random
+import re
+import time
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
@@ -18,10 +23,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarryline.catalog import Catalog, Relation, Table, star_schema
-from quarryline.errors import UNSAFE, UNSET, DepthError, NotFoundError, PipelineError, RelationError, ValidationError, is_unsafe
+from quarryline.errors import UNSAFE, UNSET, ConnectionError_, DeadlockError, DepthError, NotFoundError, PipelineError, RelationError, SerializationError, TimeoutError_, ValidationError, is_unsafe
 from quarryline.functions.predicate import COMPARE, distance, everything, field_condition, finite, given, json_path
 
 DEPTH = 10
+RETRYABLE = (ConnectionError_, DeadlockError, SerializationError, TimeoutError_)
 TO_MANY = ("some", "every", "none")
 TO_ONE = ("is", "isNot")
 
@@ -60,7 +66,8 @@ def natural(value: object, name: str) -> int:
 class Engine:
     """Entry point: ``Engine(spark, folder).table("orders").find_many(where=…)``.
 
-    ``filters`` maps a table to a where (or a function giving one) that every read of it obeys, at any depth.
+    ``filters`` maps a table to a where (or a function giving one, of nothing or of the session's context) that every read
+    of it obeys, at any depth.
     """
 
     def __init__(self, spark: SparkSession, folder: str | None = None, catalog: Catalog | None = None, frames: dict[str, DataFrame] | None = None, filters: dict | None = None, default_limit: int | None = None, scoped_connect: bool = False) -> None:
@@ -73,6 +80,35 @@ class Engine:
         self.middleware: list[Callable] = []
         self.listeners: list[Callable] = []
         self.pages: list[DataFrame] = []
+        self.context: dict[str, object] = {}
+
+    def with_session(self, **context: object) -> Engine:
+        """The same tables, seen under a context that filters are told of, such as a tenant."""
+        for name in context:
+            if not re.fullmatch(r"[A-Za-z_][A-Za-z0-9_]*", name):
+                raise ValidationError("a context has plain names")
+        out = copy.copy(self)
+        out.context = self.context | context
+        return out
+
+    def filter_of(self, name: str) -> dict | None:
+        """A table's global filter in this session."""
+        spec = self.filters.get(name)
+        if not callable(spec):
+            return spec
+        return spec(self.context) if inspect.signature(spec).parameters else spec()
+
+    @staticmethod
+    def retry(run: Callable[[], object], tries: int = 3, wait: float = 0.05) -> object:
+        """What ``run`` gives; errors that may pass (a lost connection, a timeout, a changed table) are tried again, ever later."""
+        for attempt in range(tries):
+            try:
+                return run()
+            except RETRYABLE:
+                if attempt == tries - 1:
+                    raise
+                time.sleep(min(5.0, wait * 2**attempt * (1 + random.random())))
+        raise ValidationError("a retry takes one try or more")
 
     def held(self, df: DataFrame) -> DataFrame:
         """The rows of a page, kept once read."""
@@ -97,8 +133,7 @@ class Engine:
     def rows(self, name: str, skip: object = None) -> DataFrame:
         """The one place where a table's global filter is applied."""
         df = self.base(name)
-        spec = self.filters.get(name)
-        spec = spec() if callable(spec) else spec
+        spec = self.filter_of(name)
         if not spec or self._skipped(name, skip):
             return df
         return Compiler(self, self.catalog[name], skip).filtered(df, spec)

@@ -275,3 +275,31 @@ def test_unique_rows_and_stages(engine):
         checks.enforce(doubled, "profiles")
     checks.enforce(engine, "users")
     assert checks.introspected(engine)["users"]["relations"]["posts"]["kind"] == "many" and checks.advice(engine, 1 << 64) == []
+
+
+def test_session_and_retry(engine):
+    own = Engine(engine.spark, catalog=CATALOG, frames=engine.frames, filters={"posts": lambda context: {"user_id": context["user"]} if "user" in context else {}})
+    assert ids(own.with_session(user=1).table("posts").find_many()) == [1, 2] and own.table("posts").count().first()[0] == 4
+    assert [len(r["posts"]) for r in own.with_session(user=2).table("users").find_many(orderBy={"id": "asc"}, **{"with": {"posts": True}}).collect()] == [0, 1, 0, 0]
+    kept = write.delete_many(own.with_session(user=2).table("posts"), {"id": {"gt": 0}})[0]
+    assert ids(kept) == [1, 2, 4]
+    with pytest.raises(ValidationError):
+        own.with_session(**{"a b": 1})
+    tried = []
+
+    def fails(error):
+        tried.append(1)
+        if len(tried) < 3:
+            raise error("x")
+        return "done"
+
+    assert Engine.retry(lambda: fails(TimeoutError_), wait=0.001) == "done"
+    tried.clear()
+    with pytest.raises(NotFoundError):
+        Engine.retry(lambda: fails(NotFoundError), wait=0.001)
+    assert len(tried) == 1
+
+
+def test_update_of_nothing_gives_the_row(engine):
+    rows, row = write.update(engine.table("posts"), {"id": 3}, {})
+    assert row["title"] == "one" and sorted(map(tuple, rows.collect()), key=str) == sorted(POSTS, key=str)

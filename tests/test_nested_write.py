@@ -66,3 +66,15 @@ def test_other_spellings(engine):
     assert at(cursor={"id": 2}, take=2) == [2, 3] and at(cursor={"id": 2}, skip=1, take=2) == [3, 4] and at(skip=1, take=1) == [2]
     with pytest.raises(UnsupportedError):
         at(take=-1)
+
+
+def test_other_spellings_of_relations(engine):
+    users = engine.table("users")
+    args = {"select": {"name": True, "posts": {"take": 1, "orderBy": {"id": "desc"}, "include": {"tags": True}}, "_count": {"select": {"posts": True}}}, "orderBy": {"id": "asc"}, "distinct": "name"}
+    rows = users.find_many(**translated(users.meta, args, engine.catalog)).collect()
+    first = next(r for r in rows if r["name"] == "Ann")
+    assert [p["id"] for p in first["posts"]] == [2] and first["_count"]["posts"] == 2 and set(first.asDict()) == {"name", "posts", "_count"}
+    with pytest.raises(UnsupportedError):
+        translated(users.meta, {"include": {"posts": {"skip": 1}}}, engine.catalog)
+    with pytest.raises(ValidationError):
+        translated(users.meta, {"include": {"nope": {"take": 1}}}, engine.catalog)
