@@ -55,9 +55,13 @@ class Table:
         return any(k and set(k) <= set(columns) for k in (self.key, *self.unique))
 
 
+#: Fixed endings of plural names, in this order: ending, what takes its place, how many letters go.
+ENDINGS = (("ies", "y", 3), ("ses", "", 2), ("xes", "", 2), ("zes", "", 2), ("ss", "", 0), ("s", "", 1))
+
+
 def singular(name: str) -> str:
     """The singular of a plural table name, by its ending alone."""
-    for ending, put, cut in (("ies", "y", 3), ("ses", "", 2), ("xes", "", 2), ("zes", "", 2), ("ss", "", 0), ("s", "", 1)):
+    for ending, put, cut in ENDINGS:
         if name.endswith(ending):
             return name[: len(name) - cut] + put
     return name

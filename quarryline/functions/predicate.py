@@ -274,6 +274,8 @@ def operand_for(kind: T.DataType | None, value: object) -> Column:
 
 
 def scalar_condition(column: Column, spec: dict, ref: Callable[[str], Column], kind: T.DataType | None = None) -> Column:
+    if not spec:
+        raise ValidationError("an empty filter; give a value or an operator")
     spec = given(spec)
     unknown = set(spec) - SCALAR
     if unknown:

@@ -31,19 +31,19 @@ def minute_rollup(events: DataFrame, by: list[str], value: str, error: str | Non
 
 
 def merged_rollup(old: DataFrame, new: DataFrame, by: list[str]) -> DataFrame:
-    """Two rollups as one: counts and errors add up, means are weighed by them, percentiles are those of the larger part."""
-    both = old.unionByName(new).groupBy("minute", *by)
+    """Two rollups as one: counts and errors add up, means are weighed by them, percentiles are the new ones where there are such."""
+    both = old.withColumn("_later", F.lit(0)).unionByName(new.withColumn("_later", F.lit(1))).groupBy("minute", *by)
     errors = [F.sum("errors").alias("errors")] if "errors" in old.columns else []
     mean = F.sum(F.col("mean") * F.col("n")) / F.sum("n")
-    ranks = [F.max_by(p, "n").alias(p) for p in ("p50", "p95", "p99") if p in old.columns]
+    ranks = [F.max_by(p, "_later").alias(p) for p in ("p50", "p95", "p99") if p in old.columns]
     return both.agg(F.sum("n").alias("n"), mean.alias("mean"), *ranks, *errors)
 
 
 class MetricsSink:
-    """Rollups in a folder, a version a flush; a late minute is merged into what the folder has of it."""
+    """Rollups in a folder, a version a flush; a late minute is merged into what the folder has of it, and minutes older than ``days`` go."""
 
-    def __init__(self, spark: SparkSession, folder: str, by: list[str]) -> None:
-        self.spark, self.folder, self.by, self.version = spark, folder.rstrip("/"), by, 0
+    def __init__(self, spark: SparkSession, folder: str, by: list[str], days: int | None = None) -> None:
+        self.spark, self.folder, self.by, self.version, self.days = spark, folder.rstrip("/"), by, 0, days
 
     def read(self) -> DataFrame | None:
         return self.spark.read.parquet(f"{self.folder}/v={self.version}") if self.version else None
@@ -52,6 +52,8 @@ class MetricsSink:
         """Takes a rollup; also a handler for foreachBatch."""
         old = self.read()
         rows = rows if old is None else merged_rollup(old, rows, self.by)
+        if self.days is not None:
+            rows = rows.where(F.col("minute") >= F.current_timestamp() - F.make_dt_interval(F.lit(self.days)))
         rows.write.parquet(f"{self.folder}/v={self.version + 1}")
         self.version += 1
 

@@ -94,7 +94,7 @@ def test_projection_and_guards(engine):
     users = engine.table("users")
     assert users.find_many(select={"email": True}).columns == ["email"]
     assert "email" in users.find_many(includePii=UNSAFE).columns
-    for bad in ({"select": {"id": True}, "omit": {"id": True}}, {"includePii": True}, {"where": {"nope": 1}}, {"where": {"name": {"like": 1}}}, {"limit": -1}, {"orderBy": {"id": "up"}}, {"odd": 1}):
+    for bad in ({"select": {"id": True}, "omit": {"id": True}}, {"includePii": True}, {"where": {"nope": 1}}, {"where": {"name": {"like": 1}}}, {"where": {"name": {}}}, {"limit": -1}, {"orderBy": {"id": "up"}}, {"odd": 1}):
         with pytest.raises(ValidationError):
             users.find_many(**bad)
     with pytest.raises(ValidationError):

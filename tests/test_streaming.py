@@ -52,5 +52,9 @@ def test_metrics_sink_merges_late_minutes(spark, tmp_path):
     assert got.keys() == whole.keys()
     for key, r in whole.items():
         assert (got[key]["n"], got[key]["errors"]) == (r["n"], r["errors"]) and abs(got[key]["mean"] - r["mean"]) < 1e-9
+    assert all(got[k]["p99"] == r["p99"] for k, r in whole.items())  # the later flush had the longest
+    old = MetricsSink(spark, str(tmp_path / "old"), ["action"], days=30)
+    old.flush(minute_rollup(events, ["action"], "duration"))
+    assert old.read().count() == 0
     near = minute_rollup(events, ["action"], "duration", approximate=1000).collect()
     assert {(r["minute"], r["action"]): r["p95"] for r in near} == {k: r["p95"] for k, r in whole.items()}
