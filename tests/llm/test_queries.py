@@ -100,7 +100,7 @@ def test_toxicity(run, documents, spark):
     found = {r["doc_id"]: r for r in toxicity.op5_toxicity(spark, "/root/testdata/sf0.1").collect()}
     held = [(found[r["doc_id"]]["predicted"], r["toxic"]) for r in spark.read.parquet("/root/testdata/sf0.1/labels.parquet").collect() if found[r["doc_id"]]["held_out"]]
     right = Counter(held)
-    print("held out:", right)
+    print("\nheld out (predicted, label):", right)
     assert np.mean([a == b for a, b in held]) >= 0.9 and right[1, 1] >= 0.8 * (right[0, 1] + right[1, 1])
 
 
