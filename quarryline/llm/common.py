@@ -57,7 +57,8 @@ def forget(spark: SparkSession, since: int) -> None:
 
 def dealt(df: DataFrame, *columns: str) -> DataFrame:
     """Rows dealt out over all shuffle partitions, however few bytes they are: for what grows in the next step."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
+    # by a hash of the columns, for a repartition by columns that already part the rows is optimised away
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64(*columns))
 
 
 def named(column: str) -> Column:
