@@ -61,6 +61,11 @@ def dealt(df: DataFrame, *columns: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64(*columns))
 
 
+def merging(df: DataFrame) -> DataFrame:
+    """Rows whose joins are by sorting and merging, whatever their estimated size: none of them goes through the driver."""
+    return df.hint("merge")
+
+
 def named(column: str) -> Column:
     """A column by its whole name, dots and all."""
     return F.col("`" + column.replace("`", "``") + "`")
@@ -112,7 +117,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     ``edges`` has ``a`` and ``b`` (one orderable type). Returns ``node`` and ``root``, the smallest
     node that can be reached, for each node that has an edge to another. Every step is a few joins
-    and aggregations on edges; only the number of edges and a checksum reach the driver. An empty
+    and aggregations on edges; only the number of edges and a checksum reach the driver (no join broadcasts). An empty
     graph gives no rows. Stops when nothing changes; raises after ``rounds`` steps.
     """
     links = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
@@ -120,9 +125,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = both.where("b > a").join(merging(least), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         down = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(down, "a").select("a", "b", "m")
+        small = large.join(merging(down), "a").select("a", "b", "m")
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b")))
         links = cut(small.where("a <> b").distinct())
         now = links.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()

@@ -4,7 +4,8 @@ Fingerprints are computed once a document and collapsed to distinct values at on
 copies is one row from there on. Two fingerprints within ``radius`` bits agree, up to
 ``radius // segments`` bits, on at least one of their segments. So every distinct fingerprint is
 filed under each segment's value, looks up the small Hamming ball around it, and the full distance of
-what it meets is checked. Links join distinct fingerprints only; components come from star steps.
+what it meets is checked. Links join distinct fingerprints only; components come from star steps. No join
+broadcasts a side, for each may have as many rows as there are documents, however few bytes their files have.
 
 The pipeline's stage is on sets of five-word shingles at a similarity of 0.8 (``near_copies``). Such texts
 differ in some ten bits of a fingerprint, a radius that no index of segments serves; their candidates
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarryline.llm.common import as_signed, components, cut, dealt, mix64, ragged, table
+from quarryline.llm.common import as_signed, components, cut, dealt, merging, mix64, ragged, table
 from quarryline.llm.words import Words, slices, xxh64
 
 SEED = 42
@@ -92,7 +93,7 @@ def links(prints: DataFrame, radius: int = 2, segments: int = 2) -> DataFrame:
     flips = F.array(F.lit(0).cast("long"), *([F.lit(1 << k).cast("long") for k in range(width)] if ball else []))
     probes = filed.select(F.col("print").alias("other"), "segment", F.explode(flips).alias("flip"), "value").select("other", "segment", F.col("value").bitwiseXOR(F.col("flip")).alias("value"))
     near = (F.col("other") < F.col("print")) & (F.bit_count(F.col("other").bitwiseXOR(F.col("print"))) <= radius)
-    return probes.join(filed, ["segment", "value"]).where(near).select(F.col("other").alias("a"), F.col("print").alias("b")).distinct()
+    return probes.join(merging(filed), ["segment", "value"]).where(near).select(F.col("other").alias("a"), F.col("print").alias("b")).distinct()
 
 
 def groups(documents: DataFrame, radius: int = 2) -> DataFrame:
@@ -100,10 +101,10 @@ def groups(documents: DataFrame, radius: int = 2) -> DataFrame:
     found = cut(fingerprints(documents))  # two numbers a document; texts are read once
     classes = found.groupBy("print").agg(F.min("doc_id").alias("least"))
     roots = components(links(classes.select("print"), radius))
-    named = classes.join(roots, classes.print == roots.node, "left").select("print", "least", F.coalesce("root", "print").alias("root"))
+    named = classes.join(merging(roots), classes.print == roots.node, "left").select("print", "least", F.coalesce("root", "print").alias("root"))
     smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = named.join(smallest, "root").select("print", "component_id")
-    return found.join(labels, "print").select("doc_id", "print", "component_id")
+    labels = named.join(merging(smallest), "root").select("print", "component_id")
+    return found.join(merging(labels), "print").select("doc_id", "print", "component_id")
 
 
 def _bands(batches: Iterator[pa.RecordBatch], shingle: int, bands: int, rows: int) -> Iterator[pa.RecordBatch]:

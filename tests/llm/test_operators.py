@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
-from quarryline.llm import decontaminate, line_dedup, lm_score, mixing, neighbours, simhash, substring_dedup, token_counts, toxicity, url_filter, words
+from quarryline.llm import common, decontaminate, line_dedup, lm_score, mixing, neighbours, simhash, substring_dedup, token_counts, toxicity, url_filter, words
 
 SPACED, PLAIN = re.compile(r"[^\x20\x09-\x0D]+"), re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 VOCABULARY = "the of and éa über tion Thand wh 12x you're stone river moon lamp".split()
@@ -96,6 +96,24 @@ def test_simhash(docs, empty):
     assert simhash.groups(empty).count() == 0
 
 
+def test_simhash_broadcasts_nothing(spark, docs, monkeypatch):
+    """Tables of few bytes can have as many rows as there are documents: none of them may pass through the driver."""
+    plans = []
+
+    def watched(df, cut=common.cut):
+        df.collect()
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return cut(df)
+
+    monkeypatch.setattr(common, "cut", watched)
+    monkeypatch.setattr(simhash, "cut", watched)
+    found = simhash.groups(docs)
+    found.collect()
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 3 and sum("SortMergeJoin" in p for p in plans) > 1
+    assert not any("Broadcast" in p for p in plans)
+
+
 def test_decontaminate(spark, docs, empty):
     rows = corpus()
     items = [(1, " ".join(PLAIN.findall(rows[3][1])[2:15])), (2, "one"), (3, ""), (4, None), (None, "river moon"), (5, " ".join(PLAIN.findall(rows[5][1])[:9]))]
