@@ -9,7 +9,7 @@ parts are built apart and put side by side. A count is read back by probing leve
 
 Every part has ``bits_each`` bits for each level it holds, so the share of false positives is the same at every size of input
 and the filter grows with what is learnt. Up to ``max_bytes`` it is broadcast. A larger one stays a table: the distinct
-n-grams of each batch of texts are sent to their parts, probed there, and the levels sent back to the batch. Both ways
+n-grams of each batch of texts are sent to their parts (a range of parts takes all its questions at once), probed there, and the levels sent back to the batch. Both ways
 give the same scores. The plain base score needs exact counts:
 the ``head`` most frequent words are broadcast (a fixed bound), all others are looked up by a join on
 the word's hash, after they are summed within each document.
@@ -122,9 +122,10 @@ def summed(parts: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes and exact counts of one part, its pieces merged a few at a time."""
     seen, total = np.zeros(0, U64), np.zeros(0, np.int64)
     wait: list[tuple] = []
+    held = 0
 
     def merge() -> None:
-        nonlocal seen, total
+        nonlocal seen, total, held
         h = np.concatenate([seen, *(x[0] for x in wait)])
         c = np.concatenate([total, *(x[1] for x in wait)])
         order = np.argsort(h, kind="stable")
@@ -132,12 +133,14 @@ def summed(parts: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
         fresh = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
         seen, total = h[fresh], np.add.reduceat(c, fresh) if len(fresh) else c
         wait.clear()
+        held = 0
 
     for batch in parts:
         for hashes, counts in zip(batch.column("hashes"), batch.column("counts"), strict=True):
             h = np.frombuffer(hashes.as_py(), dtype=U64)
             wait.append((h, unpacked(counts.as_py(), len(h))))
-            if sum(len(x[0]) for x in wait) > max(500_000, len(seen)):
+            held += len(h)
+            if held > max(500_000, len(seen)):
                 merge()
     merge()
     return seen, total
@@ -221,8 +224,8 @@ class Model:
 class Grams:
     """The distinct words and pairs of a batch, sorted, and which of them stands where."""
 
-    def __init__(self, tokens: np.ndarray) -> None:
-        self.words, self.word_of = np.unique(tokens, return_inverse=True)
+    def __init__(self, tokens: np.ndarray, words: tuple[np.ndarray, np.ndarray] | None = None) -> None:
+        self.words, self.word_of = words or np.unique(tokens, return_inverse=True)
         self.pairs, self.pair_of = np.unique(pair_hash(np.concatenate([[END], tokens[:-1]]), tokens) if len(tokens) else tokens, return_inverse=True)
         self.end = int(np.searchsorted(self.words, END))  # every batch has an end token
 
@@ -303,10 +306,16 @@ def by_broadcast(documents: DataFrame, model: Model, segment_bits: int, parts: D
 
 
 def by_part(documents: DataFrame, model: Model, segment_bits: int, parts: DataFrame) -> DataFrame:
-    """Scores with each part of the filter in one place: a batch's distinct n-grams go there, and their levels come back."""
+    """Scores with each shelf of the filter in one place: a batch's distinct n-grams go there, and their levels come back.
+
+    A shelf is a range of parts, learnt from some ``TASK_TOKENS`` tokens. Its questions are answered together, so the
+    steps that are taken are as many as there are shelves, not as there are batches times parts.
+    """
     held = documents.sparkSession.sparkContext.broadcast(model)
-    names = ["batch", "part", "hashes", "ids", "held", "sizes"]
-    kinds = [pa.binary(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64())]
+    names = ["batch", "shelf", "hashes", "words", "ids", "held", "sizes"]
+    kinds = [pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64())]
+    shelf_bits = min(segment_bits, max(0, math.ceil(math.log2(max(1, model.n / TASK_TOKENS)))))
+    shelves = 1 << shelf_bits
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -314,37 +323,43 @@ def by_part(documents: DataFrame, model: Model, segment_bits: int, parts: DataFr
                 name = os.urandom(16)  # the rows are written before they are read, so each batch has one name
                 flat, edges = tokens_of(batch.column("text"))
                 grams = Grams(flat)
-                own = [[name], [-1], [flat.tobytes()], [batch.column("doc_id").to_pylist()], [batch.column("held_out").to_pylist()], [np.diff(edges).tolist()]]
+                own = [[name], [-1], [grams.words.tobytes()], [grams.word_of.astype(np.uint32).tobytes()], [batch.column("doc_id").to_pylist()], [batch.column("held_out").to_pylist()], [np.diff(edges).tolist()]]
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(own, kinds, strict=True)], names)
                 for kind, hashes in enumerate((grams.words, grams.pairs)):
-                    bounds = np.searchsorted(hashes >> U64(64 - segment_bits), np.arange((1 << segment_bits) + 1, dtype=U64))
+                    top = hashes >> U64(64 - shelf_bits) if shelf_bits else np.zeros(len(hashes), U64)
+                    bounds = np.searchsorted(top, np.arange(shelves + 1, dtype=U64))
                     full = np.flatnonzero(np.diff(bounds))
                     rows = [hashes[bounds[s] : bounds[s + 1]].tobytes() for s in full.tolist()]
                     none = [pa.nulls(len(full), k) for k in kinds[3:]]
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(full), pa.binary()), pa.array(full + (kind << segment_bits), pa.int32()), pa.array(rows, pa.binary()), *none], names)
-
-    def answered(rows: pa.Table, part: pa.Table) -> pa.Table:
-        bits = np.frombuffer(part.column("bits")[0].as_py() if part.num_rows else bytes(1), dtype=np.uint8)
-        size = len(bits) * 8 if part.num_rows else 0
-        out = []
-        for one in rows.column("hashes"):
-            h = np.frombuffer(one.as_py(), dtype=U64)
-            out.append(levels_in(bits, h, np.zeros(len(h), np.int64), np.full(len(h), size)).tobytes())
-        return pa.table({"batch": rows.column("batch"), "part": rows.column("part"), "levels": pa.array(out, pa.binary())})
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(full), pa.binary()), pa.array(full + kind * shelves, pa.int32()), pa.array(rows, pa.binary()), *none], names)
+
+    def answered(rows: pa.Table, some: pa.Table) -> pa.Table:
+        out, at = [], 0
+        counts = CountFilter(segment_bits, [{"part": p.as_py(), "bits": x.as_py()} for p, x in zip(some.column("part"), some.column("bits"), strict=True)])
+        asked_for = [np.frombuffer(x.as_py(), dtype=U64) for x in rows.column("hashes")]
+        ends = np.cumsum([0, *(len(x) for x in asked_for)])
+        while at < len(asked_for):  # about PIECE hashes at a time
+            to = max(at + 1, int(np.searchsorted(ends, ends[at] + PIECE, side="right")) - 1)
+            found = counts.levels(np.concatenate(asked_for[at:to]), int(rows.column("shelf")[0].as_py() >= shelves)).tobytes()
+            out += [found[a:b] for a, b in zip((ends[at:to] - ends[at]).tolist(), (ends[at + 1 : to + 1] - ends[at]).tolist(), strict=True)]
+            at = to
+        return pa.table({"batch": rows.column("batch"), "shelf": rows.column("shelf"), "levels": pa.array(out, pa.binary())})
 
     def put_together(own: pa.Table, answers: pa.Table) -> pa.Table:
-        flat = np.frombuffer(own.column("hashes")[0].as_py(), dtype=U64)
-        part = answers.column("part").to_numpy()
-        order, split = np.argsort(part), int((part < 1 << segment_bits).sum())
+        distinct, word_of = np.frombuffer(own.column("hashes")[0].as_py(), dtype=U64), np.frombuffer(own.column("words")[0].as_py(), dtype=np.uint32).astype(np.int64)
+        flat = distinct[word_of]
+        shelf = answers.column("shelf").to_numpy()
+        order, split = np.argsort(shelf), int((shelf < shelves).sum())
         found = answers.column("levels").to_pylist()
         words, pairs = (np.frombuffer(b"".join(found[k] for k in some), dtype=np.uint8) for some in (order[:split], order[split:]))
         sizes = np.array(own.column("sizes")[0].as_py(), dtype=np.int64)
         ids, flags = (pa.array(own.column(c)[0].as_py(), k) for c, k in (("ids", pa.int64()), ("held", pa.bool_())))
-        return pa.Table.from_batches([scored(held.value, flat, sizes, Grams(flat), words, pairs, ids, flags)])
+        return pa.Table.from_batches([scored(held.value, flat, sizes, Grams(flat, (distinct, word_of)), words, pairs, ids, flags)])
 
-    rows = cut(documents.select("doc_id", "held_out", "text").mapInArrow(asked, "batch binary, part int, hashes binary, ids array<long>, held array<boolean>, sizes array<long>"))
-    levels = rows.where("part >= 0").select("batch", "part", "hashes").groupBy("part").cogroup(parts.groupBy("part")).applyInArrow(lambda a, b: answered(a, b), "batch binary, part int, levels binary")
-    return rows.where("part < 0").groupBy("batch").cogroup(levels.groupBy("batch")).applyInArrow(lambda a, b: put_together(a, b), SCORED)
+    rows = cut(documents.select("doc_id", "held_out", "text").mapInArrow(asked, "batch binary, shelf int, hashes binary, words binary, ids array<long>, held array<boolean>, sizes array<long>"))
+    shelved = parts.select(F.shiftright("part", segment_bits - shelf_bits).alias("shelf"), "part", "bits")
+    levels = rows.where("shelf >= 0").select("batch", "shelf", "hashes").groupBy("shelf").cogroup(shelved.groupBy("shelf")).applyInArrow(lambda a, b: answered(a, b), "batch binary, shelf int, levels binary")
+    return rows.where("shelf < 0").groupBy("batch").cogroup(levels.groupBy("batch")).applyInArrow(lambda a, b: put_together(a, b), SCORED)
 
 
 def score(documents: DataFrame, learnt: tuple[Model, int, DataFrame, DataFrame], max_bytes: int = 1 << 27) -> DataFrame:

@@ -198,6 +198,16 @@ def test_lm_score(docs, empty):
     assert lm_score.score(train.limit(0), learnt).count() == 0
 
 
+def test_lm_score_asks_shelves_not_parts(docs, monkeypatch):
+    """The rows that a batch sends must not grow with the filter's parts, of which there are 512 here."""
+    train, made = docs.select("doc_id", "text", F.lit(False).alias("held_out")), []
+    learnt = lm_score.learn(train)
+    monkeypatch.setattr(lm_score, "cut", lambda df, cut=lm_score.cut: made.append(cut(df)) or made[-1])
+    assert lm_score.score(train, learnt, max_bytes=0).count() == train.count()
+    batches = made[0].select("batch").distinct().count()
+    assert learnt[1] == 8 and made[0].count() == 3 * batches
+
+
 def test_line_dedup(spark, docs, empty):
     rows = [(1, "alpha beta gamma 12 delta\nkeep me here now\nx"), (2, "alpha beta gamma 99 delta\nx\n\nnew line of text"), (3, None), (None, "keep me here now"), (4, ""),
             (5, "a b c d e f g h i j"), (6, "a b c d e f g h i Z"), (7, "1 2 3"), (8, "4 5 6"), (2, "alpha beta gamma 99 delta\nx\n\nnew line of text")]
