@@ -7,8 +7,12 @@ import random
 from collections import Counter
 
 import corpus_pipeline
+import numpy as np
 import pytest
 
+from quarryline.llm import simhash
+from quarryline.llm.common import components, mix64
+
 DATA = "/root/testdata/sf0.001"
 
 
@@ -67,3 +71,51 @@ def test_other_text_of_one_id_stays(spark):
     rows = [(1, "one two three four five six"), (1, "seven eight nine ten eleven twelve"), (1, "seven eight nine ten eleven twelve"), (2, "one two three four five six")]
     got = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
     assert sorted(map(tuple, got)) == rows[:2]
+
+
+def test_long_simhash():
+    """Majorities of each bit over a set's elements, with sets larger than a block of sums and than a piece."""
+    rnd = np.random.default_rng(3)
+    sizes = np.array([0, 1, 4, 255, 256, 0, 700, simhash.PIECE // 8 + 300, 5])
+    flat = rnd.integers(0, 1 << 63, int(sizes.sum()), dtype=np.uint64)
+    got = simhash.long_simhash(flat, sizes, 130)
+    salts = mix64(np.arange(1, 4, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    at = 0
+    for row, n in zip(got, sizes, strict=True):
+        for bit in (0, 63, 64, 129):
+            word = mix64((flat[at : at + n] ^ salts[bit // 64]) * (mix64(salts) | np.uint64(1))[bit // 64])
+            assert row[bit] == (int((word >> np.uint64(bit % 64) & np.uint64(1)).sum()) * 2 > n)
+        at += n
+
+
+def test_spread():
+    for most in (1, 3, 100):
+        parts = list(simhash._spread(np.array([2, 0, 5, 1]), most))
+        assert [(int(i), int(k)) for which, offset in parts for i, k in zip(which, offset, strict=True)] == [(0, 0), (0, 1), *((2, k) for k in range(5)), (3, 0)]
+
+
+@pytest.mark.parametrize("together", [simhash.TOGETHER, 16])
+def test_similar(spark, together):
+    """Components of similar texts as by brute force, in one group a segment and in many: copies of few changes, of which many are near and not
+    similar, texts that one word more makes five shingles of four, and texts without words."""
+    rnd = random.Random(5)
+    base = [f"w{rnd.randrange(900)}" for _ in range(60)]
+    texts = ["", " ", "\n "]
+    for k in range(90):
+        copy = list(base)
+        for at in rnd.sample(range(60), 1 + k % 3):
+            copy[at] = f"x{rnd.randrange(900)}"
+        texts.append(" ".join(copy))
+    for k in range(20):
+        words = [f"t{rnd.randrange(900)}" for _ in range(9)]
+        texts += [" ".join(words), " ".join(words[:8]).upper(), " ".join(words[:4]), "  ".join(words)]
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := t.lower().split()) else set() for t in texts]
+    root = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                root = [min(root[a], root[b]) if r in (root[a], root[b]) else r for r in root]
+    assert 1 < len({r for t, r in zip(texts, root, strict=True) if t[:1] in "wx"}) < 91
+    rows = spark.createDataFrame(list(enumerate(texts)), "node long, text string").repartition(3)
+    got = {r["node"]: r["root"] for r in components(simhash.similar(rows, len(texts), together=together)).collect()}
+    assert [got.get(k, k) for k in range(len(texts))] == root
