@@ -89,7 +89,7 @@ class Postings:
     def nearest(self, term: np.ndarray, place: np.ndarray) -> np.ndarray:
         """How far the nearest place of each term is from the one given; GAP for farther ones. Each term has a place."""
         low, high = self.edges[term], self.edges[term + 1]
-        at = np.clip(np.searchsorted(self.keys, term * self.span + place + GAP), low, high)
+        at = np.clip(np.searchsorted(self.keys, term.astype(np.int64) * self.span + place + GAP), low, high)  # terms are 32 bits wide, keys are not
         after = self.places[np.minimum(at, high - 1)] - place
         before = self.places[np.maximum(at - 1, low)] - place
         return np.minimum(np.minimum(np.abs(after), np.abs(before)), GAP)

@@ -144,6 +144,16 @@ def test_decontaminate(spark, docs, empty):
     assert decontaminate.report(decontaminate.matches(empty, bench.limit(0))).count() == 0
 
 
+def test_decontaminate_many_terms_in_a_large_segment(spark):
+    """Number of a term times places of its segment exceeds 32 bits."""
+    words = [f"w{k}" for k in range(4_000)]
+    docs = spark.createDataFrame([(1, "x " * 800_000), (2, " ".join(words)), (3, "y " + " ".join(words[-9:]))], "doc_id long, text string").coalesce(1)
+    items = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[-8:]))], "item_id long, text string").coalesce(1)
+    for slop in (0, 1):
+        found = decontaminate.report(decontaminate.matches(docs, items, slop=slop)).select("kept.doc_id", "n_words", "n_hit", "n_items", "contaminated", "n_near_items")
+        assert sorted(map(tuple, found.collect())) == [(1, 800_000, 0, 0, False, 0), (2, 4_000, 4_000, 2, True, 2), (3, 10, 9, 2, True, 2)]
+
+
 def test_decontaminate_near(spark):
     rnd = random.Random(7)
     rows = [(k, " ".join(rnd.choice("abcd") + rnd.choice("xy") for _ in range(rnd.randint(0, 30)))) for k in range(60)]
