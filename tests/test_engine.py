@@ -225,6 +225,27 @@ def test_pages_are_read_once(spark, tmp_path):
     assert not own.pages
 
 
+def test_order_holds_however_relations_are_joined(engine):
+    """Joins that are not broadcast deal the page's rows out."""
+    own, conf = Engine(engine.spark, catalog=CATALOG, frames=engine.frames), engine.spark.conf
+    threshold = conf.get("spark.sql.autoBroadcastJoinThreshold")
+    conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        at = lambda **args: [r["id"] for r in own.table("users").find_many(select={"id": True}, **args, **{"with": {"org": True, "posts": {"limit": 1}}}).collect()]
+        for cut in ({}, {"limit": 4}, {"limit": 4, "offset": 0}):
+            assert at(orderBy={"id": "desc"}, **cut) == [4, 3, 2, 1]
+            assert at(orderBy={"name": "asc"}, **cut) == [4, 1, 2, 3]
+            assert at(orderBy={"org": {"name": "desc"}}, **cut) == [4, 3, 1, 2]
+            assert at(orderBy=[{"posts": {"_count": "asc"}}, {"id": "desc"}], **cut) == [4, 3, 2, 1]
+        assert at(orderBy={"id": "desc"}, limit=2, offset=1) == [3, 2] and at(orderBy={"id": "desc"}, offset=1) == [3, 2, 1]
+        assert at(distinct=["org_id"], orderBy={"email": "desc"}) == [4, 3, 2]
+        rows = own.table("posts").find_many(orderBy={"meta": {"path": ["n"], "type": "numeric", "sort": "desc"}}, **{"with": {"user": True, "tags": True}}).collect()
+        assert [r["id"] for r in rows] == [4, 1, 2, 3] and rows[0].asDict().keys() == {"id", "user_id", "title", "views", "meta", "user", "tags"}
+    finally:
+        conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        own.release()
+
+
 def test_sql_and_pipeline(engine):
     own = Engine(engine.spark, catalog=CATALOG, frames=engine.frames)
     assert own.sql("SELECT id, name FROM tags WHERE id = :k", {"k": 2}).one()["name"] == "t2"

@@ -34,3 +34,21 @@ def test_equal(spark, duck, name):
     assert sorted(names) == sorted(df.columns)
     at = [names.index(c) for c in sorted(names)]
     assert got == sorted(tuple(norm(r[k]) for k in at) for r in found.fetchall())
+
+
+@pytest.mark.parametrize("threshold", ["10m", "-1"])
+def test_tied_page_in_order(spark, duck, tmp_path, threshold):
+    """Row for row, in the order of the SQL, whether joins broadcast or not; with orders whose customers are missing."""
+    for name in ("orders", "lineitem"):
+        os.symlink(f"{DATA}/{name}.parquet", tmp_path / f"{name}.parquet")
+    own = duck.cursor()
+    own.execute(f"copy (select * from '{DATA}/customer.parquet' where c_custkey % 3 = 0) to '{tmp_path}/customer.parquet' (format parquet)")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        df = showcase.queries()["with_tied_page"](spark, str(tmp_path))
+        found = own.execute(showcase.oracle_sql()["with_tied_page"])
+        assert df.columns == [d[0] for d in found.description]
+        assert list(map(tuple, df.collect())) == found.fetchall()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
